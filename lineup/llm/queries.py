@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineup.llm import bpe_reuse, chat, packing, vectors
+from lineup.llm import bpe_reuse, chat, license_scan, packing, vectors
 
 QUERIES = {
     "op1_nearest_neighbours": vectors.query_nearest,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe_chunk_reuse": bpe_reuse.query,
     "op5_mixture_packing": packing.query,
     "op7_chat_parts": chat.query,
+    "op9_license_scan": license_scan.query,
 }
 SQL = {
     "op1_nearest_neighbours": vectors.SQL_NEAREST,
