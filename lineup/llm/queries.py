@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lineup.llm import bpe_reuse, chat, license_scan, packing, vectors
+from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, vectors
 
 QUERIES = {
     "op1_nearest_neighbours": vectors.query_nearest,
     "op2_exact_topk": vectors.query_products,
+    "op3_chosen_path_dedup": near_dup.query,
     "op4_bpe_chunk_reuse": bpe_reuse.query,
     "op5_mixture_packing": packing.query,
     "op7_chat_parts": chat.query,
