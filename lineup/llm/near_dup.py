@@ -4,8 +4,9 @@ A document's set is its distinct five-word shingles. Equal sets are one class, f
 anything else is shuffled. The classes are joined by repeated random trees: the root of each tree sends a class to the node named by
 its minwise token at the tree's coordinate; nodes of at most ``SMALL`` classes are compared exhaustively by their
 signatures; larger nodes compare every class with one pivot and branch on, each class following ``BRANCH`` minwise tokens chosen
-by the node. Classes that are plainly linked to one pivot need no comparison with each other, so groups of
-thousands of near copies stop at their pivot. Nodes that are still large after ``DEPTH`` levels are compared block by block, so no
+by the node. Classes whose signatures say that they are linked to one pivot form a group, and need no comparison with each other, so
+groups of thousands of near copies stop at their pivots; if a link that others relied on is not confirmed, the
+classes of its group are compared again, across what the confirmed links leave apart. Nodes that are still large after ``DEPTH`` levels are compared block by block, so no
 pair of a node is left out. Every link is confirmed on the full shingle sets of both texts.
 
 With TREES = 10 and BRANCH = 2 a pair at similarity 0.75 shares no compared node with probability below 1e-4.
@@ -27,9 +28,9 @@ from lineup.llm.common import _draws, column, documents, materialize, mix64, shi
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-COORDS, TREES, BRANCH, SMALL, DEPTH = 128, 10, 2, 64, 8
-#: Shares of equal signature coordinates: what is worth confirming, what is likely linked, what is plainly linked.
-MAYBE, LIKELY, PLAIN = 0.55, 0.85, 0.9
+COORDS, TREES, BRANCH, SMALL, DEPTH = 128, 10, 2, 32, 8
+#: Shares of equal signature coordinates: what is worth confirming, and what is relied on before it is confirmed.
+MAYBE, LIKELY = 0.55, 0.8
 _MUL, _ADD = _draws(COORDS, 101) | np.uint64(1), _draws(COORDS, 202)
 
 
@@ -75,7 +76,7 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(ids: np.ndarray, sigs: np.ndarray, groups: list, block: np.ndarray | None = None) -> tuple[list, list, list]:
-    """Pairs (larger id, smaller id, kind) of a small node: kind 1 is to be confirmed, kind 0 is implied by likely links."""
+    """Pairs (larger id, smaller id, relied) of a small node that are to be confirmed; pairs joined by likely links are implied."""
     n = len(ids)
     order = np.argsort(ids, kind="stable")
     ids, sigs = ids[order], sigs[order]
@@ -101,7 +102,8 @@ def _compare(ids: np.ndarray, sigs: np.ndarray, groups: list, block: np.ndarray
             else:
                 rest.append((k, j))
     for k, j in rest:
-        x.append(ids[k]), y.append(ids[j]), kind.append(0 if find(k) == find(j) else 1)
+        if find(k) != find(j):
+            x.append(ids[k]), y.append(ids[j]), kind.append(0)
     return x, y, kind
 
 
@@ -130,22 +132,20 @@ def _compare_nodes(rows: DataFrame, keys: list[str], both: bool) -> DataFrame:
 def _branch(batches):
     """Likeness to the pivot and the child nodes of a class in a large node."""
     for b in batches:
-        ids, sigs, node = column(b, "doc_id"), column(b, "sig").to_pylist(), column(b, "node").to_numpy().astype(np.int64).view(np.uint64)
-        pivots, groups, pivot = column(b, "pivot_sig").to_pylist(), column(b, "grp").to_pylist(), column(b, "pivot").to_pylist()
-        n = len(sigs)
+        node = column(b, "node").to_numpy().astype(np.int64).view(np.uint64)
+        n = len(node)
         if not n:
             continue
-        own = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(n, COORDS)
-        like = _likeness(own, np.frombuffer(b"".join(pivots), dtype=np.uint8).reshape(n, COORDS))
+        own = np.frombuffer(b"".join(column(b, "sig").to_pylist()), dtype=np.uint8).reshape(n, COORDS)
+        like = _likeness(own, np.frombuffer(b"".join(column(b, "pivot_sig").to_pylist()), dtype=np.uint8).reshape(n, COORDS))
         children = []
         for j in range(BRANCH):
             at = (mix64(node + np.uint64(j + 1)) % np.uint64(COORDS)).astype(np.int64)
             value = own[np.arange(n), at].astype(np.uint64)
             children.append(signed(mix64(mix64(node + np.uint64(j + 1)) + value)))
-        groups = [g if g is not None else (p if s >= PLAIN else None) for g, p, s in zip(groups, pivot, like.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [ids, column(b, "pivot"), pa.array(like), pa.array(groups, pa.int64()), pa.array(np.stack(children, axis=1).tolist(), pa.list_(pa.int64()))],
-            names=["doc_id", "pivot", "like", "grp", "children"],
+            [column(b, "node"), column(b, "doc_id"), column(b, "grp"), column(b, "pivot"), pa.array(like), pa.array(np.stack(children, axis=1).tolist(), pa.list_(pa.int64()))],
+            names=["node", "doc_id", "grp", "pivot", "like", "children"],
         )
 
 
@@ -177,22 +177,52 @@ def candidates(sigs: DataFrame) -> DataFrame:
             break
         pivots = byclass.select(F.col("doc_id").alias("pivot"), F.col("sig").alias("pivot_sig"))
         next_ = large.join(pivots, "pivot").select("node", "doc_id", "sig", "grp", "pivot", "pivot_sig")
-        next_ = next_.mapInArrow(_branch, "doc_id long, pivot long, like double, grp long, children array<long>")
+        next_ = next_.mapInArrow(_branch, "node long, doc_id long, grp long, pivot long, like double, children array<long>")
         next_ = materialize(next_, "neardup-branch")
-        star = next_.where((F.col("like") >= MAYBE) & (F.col("doc_id") != F.col("pivot")))
-        found.append(star.select(F.greatest("doc_id", "pivot").alias("x"), F.least("doc_id", "pivot").alias("y"), F.lit(1).alias("kind")))
-        rows = next_.select(F.explode("children").alias("node"), "doc_id", "grp")
+        # the pivot joins the group of a class that is like it, if there is one
+        near = (F.col("like") >= LIKELY) & (F.col("doc_id") != F.col("pivot"))
+        joined = next_.groupBy("node").agg(F.min(F.when(near & F.col("grp").isNotNull(), F.struct("grp", "doc_id"))).alias("by"))
+        joined = materialize(joined.select("node", F.col("by.grp").alias("to"), F.col("by.doc_id").alias("via")), "neardup-joined")
+        next_ = next_.join(joined, "node").withColumn("target", F.coalesce("to", "pivot"))
+        next_ = next_.withColumn("new", F.coalesce("grp", F.when(F.col("like") >= LIKELY, F.col("target"))))
+        relied = near & (F.col("grp").isNull() | (F.col("doc_id") == F.col("via")))
+        star = next_.where((F.col("like") >= MAYBE) & (F.col("doc_id") != F.col("pivot")) & (relied | ~F.col("new").eqNullSafe(F.col("target"))))
+        found.append(star.select(F.greatest("doc_id", "pivot").alias("x"), F.least("doc_id", "pivot").alias("y"), relied.cast("int").alias("kind")))
+        rows = next_.select(F.explode("children").alias("node"), "doc_id", F.col("new").alias("grp"))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
     return pairs.groupBy("x", "y").agg(F.max("kind").alias("kind"))
 
 
+def _again(failed: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs to confirm after relied-on links ``x, y`` failed: classes of the components that they touch, met in a root node, now apart."""
+    component = own.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    component = materialize(component, "neardup-component")
+    ends = failed.select(F.col("x").alias("doc_id")).unionByName(failed.select(F.col("y").alias("doc_id"))).distinct()
+    touched = materialize(component.join(ends, "doc_id").select("component").distinct(), "neardup-touched")
+    rows = component.join(touched, "component").join(own, "doc_id").select("doc_id", "component", F.explode("nodes").alias("node"))
+    rows = materialize(rows, "neardup-again")
+    # the smaller side of each pair of components is met with the rest of the node
+    other = rows.select("node", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    pairs = rows.join(other, "node").where((F.col("component") != F.col("cy")) & (F.col("doc_id") > F.col("y"))).select(F.col("doc_id").alias("x"), "y").distinct()
+    sig = own.select("doc_id", "sig")
+    pairs = pairs.join(sig.select(F.col("doc_id").alias("x"), F.col("sig").alias("a")), "x").join(sig.select(F.col("doc_id").alias("y"), F.col("sig").alias("b")), "y")
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            like = _likeness(*(np.frombuffer(b"".join(column(b, c).to_pylist()), dtype=np.uint8).reshape(n, COORDS) for c in "ab")) if n else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([column(b, "x"), column(b, "y")], names=["x", "y"]).filter(pa.array(like >= MAYBE))
+
+    return pairs.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``x, y, linked`` for pairs of classes, on the full shingle sets of both texts (``doc_id``, ``text``, one row per class)."""
+    """``x, y, kind, linked`` for pairs of classes, on the full shingle sets of both texts (``doc_id``, ``text``, one row per class)."""
     left = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("y_text"))
     right = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text"))
-    rows = pairs.join(left, "y").join(right, "x").select("x", "y", "x_text", "y_text")
+    rows = pairs.join(left, "y").join(right, "x").select("x", "y", "kind", "x_text", "y_text")
 
     def run(batches):
         for b in batches:
@@ -203,9 +233,9 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 c = shingle_set(t, WORDS)
                 both = len(np.intersect1d(a, c, assume_unique=True))
                 linked.append(both > 0 and 100 * both >= PERCENT * (len(a) + len(c) - both))
-            yield pa.RecordBatch.from_arrays([column(b, "x"), column(b, "y"), pa.array(linked, pa.bool_())], names=["x", "y", "linked"])
+            yield pa.RecordBatch.from_arrays([column(b, "x"), column(b, "y"), column(b, "kind"), pa.array(linked, pa.bool_())], names=["x", "y", "kind", "linked"])
 
-    return rows.mapInArrow(run, "x long, y long, linked boolean")
+    return rows.mapInArrow(run, "x long, y long, kind int, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,17 +260,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     sigs = materialize(signatures(docs), "neardup-sets")
     classes = materialize(sigs.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "neardup-classes")
     own = sigs.where("n > 0").join(classes.select("d1", "d2", "n", F.col("rep").alias("doc_id")), ["doc_id", "d1", "d2", "n"]).dropDuplicates(["doc_id"]).select("doc_id", "sig", "nodes")
-    pairs = materialize(candidates(materialize(own, "neardup-reps")), "neardup-candidates")
+    own = materialize(own, "neardup-reps")
+    pairs = materialize(candidates(own), "neardup-candidates")
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    links = materialize(confirm(pairs.where("kind = 1").select("x", "y"), texts), "neardup-links")
+    links = materialize(confirm(pairs, texts), "neardup-links")
     labels = components(links.where("linked"))
-    # pairs that were implied by likely links are confirmed too wherever those links did not hold
-    apart = pairs.where("kind = 0").join(labels.select(F.col("doc_id").alias("x"), F.col("component").alias("cx")), "x", "left")
-    apart = apart.join(labels.select(F.col("doc_id").alias("y"), F.col("component").alias("cy")), "y", "left")
-    apart = materialize(apart.where(~F.coalesce(F.col("cx") == F.col("cy"), F.lit(False))).select("x", "y"), "neardup-apart")
-    if not apart.isEmpty():
-        links = links.unionByName(confirm(apart, texts))
-        labels = components(links.where("linked"))
+    failed = links.where("kind = 1 and not linked")
+    if not failed.isEmpty():
+        more = materialize(_again(failed, labels, own).join(links.select("x", "y"), ["x", "y"], "left_anti"), "neardup-apart")
+        if not more.isEmpty():
+            links = links.unionByName(confirm(more.withColumn("kind", F.lit(0)), texts))
+            labels = components(links.where("linked"))
     named = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "neardup-named")
     out = sigs.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, vectors
+from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, substring_dup, vectors
 
 QUERIES = {
     "op1_nearest_neighbours": vectors.query_nearest,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixture_packing": packing.query,
     "op7_chat_parts": chat.query,
     "op9_license_scan": license_scan.query,
+    "op10_fm_index_repeats": substring_dup.query,
 }
 SQL = {
     "op1_nearest_neighbours": vectors.SQL_NEAREST,
