@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, substring_dup, vectors
+from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, quality, substring_dup, token_store, vectors
 
 QUERIES = {
     "op1_nearest_neighbours": vectors.query_nearest,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_chosen_path_dedup": near_dup.query,
     "op4_bpe_chunk_reuse": bpe_reuse.query,
     "op5_mixture_packing": packing.query,
+    "op6_chunk_store": token_store.query,
     "op7_chat_parts": chat.query,
+    "op8_ftrl_quality": quality.query,
     "op9_license_scan": license_scan.query,
     "op10_fm_index_repeats": substring_dup.query,
 }
