@@ -31,7 +31,7 @@ from lineup.llm.common import column, documents, free_name, gram_hashes, materia
 
 WINDOW, GRAM = 50, 8
 SPREAD = WINDOW - GRAM + 1
-SHARD_SEGMENTS = 128
+SHARD_SEGMENTS = 512
 #: Words of one FM-index.
 INDEX_WORDS = 200_000
 _BASE = 0x9E6C63D0876A9A47
@@ -248,15 +248,22 @@ def _search(batches):
         index = FMIndex(text, len(words) + 1, owner)
         docs = np.array([r["doc_id"] for r in rows])
         first, last = matching(index, text, np.array(begin), np.array([r["windows"] for r in rows]), docs)
+        # of anchors on several shards, a window leaves its shard once: for the smallest document that holds it
+        inner = [(k, w) for k, r in enumerate(rows) if r["shards"] > 1 for w in range(int(first[k]) + 1, int(last[k]))]
+        found = set()
+        if inner:
+            at = np.array(inner)
+            hit, _ = matching(index, text, np.array(begin)[at[:, 0]] + at[:, 1], np.ones(len(at), dtype=np.int64), docs[at[:, 0]])
+            found = {pair for pair, h in zip(inner, hit.tolist(), strict=True) if h >= 0}
         out = [[] for _ in range(5)]
-        for r, w, a, z in zip(rows, hashed, first.tolist(), last.tolist(), strict=True):
+        for place, (r, w, a, z) in enumerate(zip(rows, hashed, first.tolist(), last.tolist(), strict=True)):
             if a >= 0:
                 for c, v in zip(out, (0, r["doc_id"], r["start"] + a, r["start"] + z + WINDOW, 0), strict=True):
                     c.append(v)
             if r["shards"] > 1:
                 n = np.arange(r["windows"])
                 for k, h in zip(n.tolist(), signed(Ranges(w).of(n, n + WINDOW)).tolist(), strict=True):
-                    if k not in (a, z):
+                    if k not in (a, z) and (place, k) not in found:
                         for c, v in zip(out, (1, r["doc_id"], r["start"] + k, r["start"] + k + WINDOW, h), strict=True):
                             c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["kind", "doc_id", "start", "end", "hash"])
