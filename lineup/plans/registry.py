@@ -1,7 +1,16 @@
-"""Queries of the roster analytics operators on the given tables, with their SQL twins."""
+"""Queries of the roster analytics operators on the given tables, with their SQL twins.
+
+The tables are not sports data, so each operator runs with its columns mapped: customers are players, nations are
+schools, order years are seasons, line items are events, and so on.
+"""
 
 from __future__ import annotations
 
+from lineup.plans import aggregate_queries, join_queries, model_queries, scalar_queries, window_queries
+
 FLAGSHIP = "C06_fit_calibration"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (window_queries, scalar_queries, join_queries, aggregate_queries, model_queries):
+    QUERIES |= _module.R.queries
+    SQL |= _module.R.sql
