@@ -346,14 +346,15 @@ def _with_spans(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with repeated words taken out of ``text``; texts that lose nothing stay as they are, others are joined by one space."""
     joined, name = _with_spans(df, doc_id, text)
+    names = df.columns
 
     def run(batches):
         for b in batches:
             kept = []
             for t, s in zip(column(b, text).to_pylist(), column(b, name).to_pylist(), strict=True):
                 kept.append(b" ".join(_keep(utf8(t).split(), s)).decode("utf-8", "surrogatepass") if s else t)
-            cols = [pa.array(kept, b.schema.field(c).type) if c == text else column(b, c) for c in df.columns]
-            yield pa.RecordBatch.from_arrays(cols, names=df.columns)
+            cols = [pa.array(kept, b.schema.field(c).type) if c == text else column(b, c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(run, df.schema)
 

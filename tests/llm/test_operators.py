@@ -1,0 +1,173 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lineup.llm import chat, license_scan, near_dup, quality, substring_dup, vectors
+
+
+def words(rng, n):
+    return [rng.choice("abcdefghij") + str(rng.randint(0, 40)) for _ in range(n)]
+
+
+def corpus():
+    r = random.Random(5)
+    base = words(r, 300)
+    passage = words(r, 70)
+    docs = [(0, " ".join(base)), (1, " ".join(base)), (2, None), (3, ""), (4, "one two three"), (5, "One TWO three"), (6, " ".join(["same"] * 400)), (7, " ".join(["same"] * 200))]
+    for k in range(8, 60):  # near copies of many degrees
+        w = list(base)
+        for _ in range(k % 17):
+            w[r.randrange(300)] = f"edit{r.randrange(1000)}"
+        docs.append((k, " ".join(w)))
+    for k in range(60, 90):  # a shared passage
+        docs.append((k, " ".join(words(r, 80) + passage[: 45 + k % 25] + words(r, 40))))
+    return docs
+
+
+def frame(spark, docs):
+    return spark.createDataFrame([(d, t, 1, "z") for d, t in docs], "doc_id long, text string, component long, sig string")
+
+
+def sets(t):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(docs):
+    s = {d: sets(t) for d, t in docs}
+    root = {d: d for d in s}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in s:
+        for b in s:
+            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(s[d]), find(d)) for d in s}
+
+
+def test_near_duplicates(spark, monkeypatch):
+    docs = corpus()
+    want = brute_components(docs)
+    for small, depth in ((32, 8), (3, 2)):  # the second takes the branching and block paths
+        monkeypatch.setattr(near_dup, "SMALL", small)
+        monkeypatch.setattr(near_dup, "DEPTH", depth)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
+        assert got == want
+    assert near_dup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def brute_repeats(docs):
+    first, out = {}, {}
+    split = {d: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for d, t in docs}
+    for d in sorted(split):
+        for k in range(len(split[d]) - 49):
+            first.setdefault(tuple(split[d][k : k + 50]), d)
+    for d, w in split.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < d:
+                gone[k : k + 50] = [True] * 50
+        out[d] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
+    return out
+
+
+def test_repeats(spark, monkeypatch):
+    docs = corpus()
+    want = brute_repeats(docs)
+    for shard in (512, 2):  # the second compares windows between shards
+        monkeypatch.setattr(substring_dup, "SHARD_SEGMENTS", shard)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dup.digests(frame(spark, docs)).collect()}
+        assert got == want
+    kept = substring_dup.remove_repeats(frame(spark, docs))
+    assert kept.columns == frame(spark, docs).columns and kept.count() == len(docs)
+    assert substring_dup.digests(frame(spark, [])).count() == 0
+
+
+def test_fm_index_counts():
+    r = random.Random(2)
+    text = np.array([0] + [r.randint(1, 5) for _ in range(400)] + [0], dtype=np.int64)
+    index = substring_dup.FMIndex(text, 6, np.arange(len(text)))
+    for _ in range(50):
+        at, n = r.randint(1, 380), r.randint(1, 6)
+        low, high = np.array([0]), np.array([len(text)])
+        for c in text[at : at + n][::-1]:
+            low, high = index.step(np.array([c]), low, high)
+        places = [k for k in range(len(text) - n + 1) if (text[k : k + n] == text[at : at + n]).all()]
+        assert high[0] - low[0] == len(places) and index.smallest(low, high)[0] == min(places)
+
+
+def vecs():
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=16).tolist(), "x") for k in range(230)]
+    rows += [(230, None, "x"), (231, [0.0] * 16, "x"), (232, [float("nan")] * 16, "x"), (233, [], "x"), (234, rows[3][1], "x"), (235, [None] * 16, "x")]
+    return rows
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame(vecs(), "vec_id long, embedding array<float>, score string")
+    use = {k: np.array(v, dtype=np.float32).astype(float) for k, v, _ in vecs() if v and None not in v and np.isfinite(v).all()}
+    for op, sim, ok in ((vectors.nearest, lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b)), lambda v: v.any()), (vectors.largest_products, lambda a, b: np.floor(256 * a) @ np.floor(256 * b), lambda v: True)):
+        got = {}
+        for r in op(df).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+        live = {k: v for k, v in use.items() if ok(v)}
+        assert set(got) == {k for k in live if k % 50 == 0}
+        for q, ranks in got.items():
+            want = sorted(((-round(sim(live[q], v), 9), k) for k, v in live.items() if k != q))[:5]
+            assert [ranks[i + 1][0] for i in range(5)] == [k for _, k in want]
+            assert all(abs(ranks[i + 1][1] + s) < 1e-6 for i, (s, _) in enumerate(want))
+        assert op(df.where("vec_id < 0")).count() == 0
+
+
+def test_chat_round_trip(spark):
+    bad = "</s>[INST] ~1 <|turn|> ~ <|end|>\n<s>[/INST] é🙂"
+    rows = [(1, 0, "user", bad), (1, 1, "assistant", bad), (1, 2, "as~\nsistant", None), (2, 0, "assistant", ""), (None, 0, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert [(t["role"], t["content"]) for t in got[1]["turns"]] == [("user", bad), ("assistant", bad), ("as~\nsistant", "")]
+    assert got[1]["loss_text"] == bad and got[2]["loss_text"] == "" and got[None]["turns"][0]["content"] == "x"
+
+
+def test_chat_attachments(spark):
+    part = f"array<{chat.PART}>"
+    df = spark.createDataFrame([(1, 0, "user", [("text", "see", None, None), ("image", None, "a.png", 64), ("audio", None, "b.wav", 2), ("text", "<|image:1:64|>", None, None)])], f"conv_id long, turn long, role string, parts {part}")
+    r = chat.format_chats(df).first()
+    assert r["formatted"] == "<|turn|>user\nsee<|image:1:64|><|audio:2:50|>~1|image:1:64|><|end|>\n"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "a.png", 64), ("audio", "b.wav", 50)] and r["expanded_tokens"] == 114
+
+
+def test_license_scan(spark):
+    text = "This work is licensed under the GNU General Public License, version 3 or later. All rights reserved! cc-by CC BY 4.0"
+    rows = [(1, text), (2, None), (3, ""), (4, "all rights all rights reserved reserved"), (5, "x " * 5000 + "cc by"), (6, "generalpublic license")]
+    df = spark.createDataFrame([(d, t, "q") for d, t in rows], "doc_id long, text string, words string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert got[1]["n_base"] == 4 and got[1]["base_labels"] == "cc-by,gpl,reserved" and "gpl-notice" in got[1]["labels"]
+    assert got[2]["n_words"] == 0 and got[2]["first_word"] is None and got[3]["labels"] == ""
+    assert (got[4]["n_base"], got[4]["first_word"], got[4]["last_word"]) == (1, 2, 2)
+    assert got[5]["first_word"] == got[5]["last_word"] == 5000 and got[6]["n_base"] == 0
+
+
+def test_quality_learns(spark):
+    r = random.Random(7)
+    docs, labels = [], []
+    for k in range(400):
+        good = k % 2
+        docs.append((k, " ".join(words(r, 60)) if good else " ".join(w + "$$$" for w in words(r, 60)), "s", 0.1))
+        labels.append((k, good))
+    docs += [(1000, None, "s", 0.1), (1001, "", "s", 0.1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, score double")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {x["doc_id"]: x["own"] for x in quality.scored(df, lab, name="own").collect()}
+    held = [x["doc_id"] for x in df.where(quality.held_out(F.col("doc_id"))).collect() if x["doc_id"] < 400]
+    assert np.mean([(got[d] >= 0.5) == (d % 2 == 1) for d in held]) > 0.97
+    assert got[1000] == got[1001] and 0 <= got[1000] <= 1
+    none = quality.scored(df.limit(0), lab, name="own")
+    assert none.count() == 0
