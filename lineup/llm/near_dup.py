@@ -3,13 +3,14 @@
 A document's set is its distinct five-word shingles. Equal sets are one class, found by a digest of the set and aggregated before
 anything else is shuffled. The classes are joined by repeated random trees: the root of each tree sends a class to the node named by
 its minwise token at the tree's coordinate; nodes of at most ``SMALL`` classes are compared exhaustively by their
-signatures; larger nodes compare every class with one pivot and branch on, each class following ``BRANCH`` minwise tokens chosen
-by the node. Classes whose signatures say that they are linked to one pivot form a group, and need no comparison with each other, so
+signatures; larger nodes compare every class with one pivot (the
+member of a small sample that is like most others) and branch on, each class following ``BRANCH`` paths of ``WIDTH`` minwise
+tokens chosen by the node (several tokens a level keep the number of shuffles small). Classes whose signatures say that they are linked to one pivot form a group, and need no comparison with each other, so
 groups of thousands of near copies stop at their pivots; if a link that others relied on is not confirmed, the
 classes of its group are compared again, across what the confirmed links leave apart. Nodes that are still large after ``DEPTH`` levels are compared block by block, so no
 pair of a node is left out. Every link is confirmed on the full shingle sets of both texts.
 
-With TREES = 10 and BRANCH = 2 a pair at similarity 0.75 shares no compared node with probability below 1e-4.
+A pair at similarity 0.75 that meets large nodes only shares no compared node of any tree with probability near 1e-4; in small nodes 1e-6.
 
 Defined results: null and empty texts (no words) have an empty set, are linked with nothing and stand alone; fewer than five words are one
 shingle; repeated rows are one class, and rows that share a doc_id keep their own sets; the smallest doc_id of a group
@@ -28,9 +29,9 @@ from lineup.llm.common import _draws, column, documents, materialize, mix64, shi
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-COORDS, TREES, BRANCH, SMALL, DEPTH = 128, 10, 2, 32, 8
+COORDS, TREES, BRANCH, WIDTH, SMALL, DEPTH, SAMPLE = 256, 10, 4, 3, 32, 2, 48
 #: Shares of equal signature coordinates: what is worth confirming, and what is relied on before it is confirmed.
-MAYBE, LIKELY = 0.55, 0.8
+MAYBE, LIKELY = 0.64, 0.8
 _MUL, _ADD = _draws(COORDS, 101) | np.uint64(1), _draws(COORDS, 202)
 
 
@@ -140,15 +141,33 @@ def _branch(batches):
         like = _likeness(own, np.frombuffer(b"".join(column(b, "pivot_sig").to_pylist()), dtype=np.uint8).reshape(n, COORDS))
         children = []
         for j in range(BRANCH):
-            at = (mix64(node + np.uint64(j + 1)) % np.uint64(COORDS)).astype(np.int64)
-            value = own[np.arange(n), at].astype(np.uint64)
-            children.append(signed(mix64(mix64(node + np.uint64(j + 1)) + value)))
+            path = mix64(node + np.uint64(j + 1))
+            child = path
+            for k in range(WIDTH):
+                at = (mix64(path + np.uint64(k)) % np.uint64(COORDS)).astype(np.int64)
+                child = mix64(child + own[np.arange(n), at])
+            children.append(signed(child))
         yield pa.RecordBatch.from_arrays(
-            [column(b, "node"), column(b, "doc_id"), column(b, "grp"), column(b, "pivot"), pa.array(like), pa.array(np.stack(children, axis=1).tolist(), pa.list_(pa.int64()))],
-            names=["node", "doc_id", "grp", "pivot", "like", "children"],
+            [column(b, "node"), column(b, "doc_id"), column(b, "sig"), column(b, "grp"), column(b, "pivot"), pa.array(like), pa.array(np.stack(children, axis=1).tolist(), pa.list_(pa.int64()))],
+            names=["node", "doc_id", "sig", "grp", "pivot", "like", "children"],
         )
 
 
+def _medoid(batches):
+    """The pivot of each large node: the sampled class that is like most classes without a group."""
+    for b in batches:
+        out = [[], [], []]
+        for node, rows in zip(column(b, "node").to_pylist(), column(b, "rows").to_pylist(), strict=True):
+            rows = sorted(rows, key=lambda r: (r["grp"] is not None, r["doc_id"]))[: 4 * SAMPLE]
+            own = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint8).reshape(len(rows), COORDS)
+            free = [k for k, r in enumerate(rows) if r["grp"] is None] or list(range(len(rows)))
+            near = [int((_likeness(own[free], own[k]) >= LIKELY).sum()) for k in free]
+            best = rows[free[int(np.argmax(near))]]
+            for c, v in zip(out, (node, best["doc_id"], best["sig"]), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["node", "pivot", "pivot_sig"])
+
+
 def candidates(sigs: DataFrame) -> DataFrame:
     """Pairs (x, y, kind) of classes worth confirming, over all trees. ``sigs``: one row per class (doc_id, sig, nodes)."""
     byclass = sigs.select("doc_id", "sig")
@@ -161,9 +180,9 @@ def candidates(sigs: DataFrame) -> DataFrame:
         # a node needs work if it has two classes that are not in one group
         stats = stats.where((F.col("size") > 1) & ((F.col("grouped") < F.col("size")) | (F.col("g1") != F.col("g2")))).select("node", "size", "pivot")
         stats = materialize(stats, "neardup-nodes")
-        live = rows.join(stats, "node").join(byclass, "doc_id")
-        live = materialize(live, "neardup-live")
-        found.append(materialize(_compare_nodes(live.where(F.col("size") <= SMALL), ["node"], both=False), "neardup-pairs"))
+        live = rows.join(stats, "node")
+        live = materialize(live if level else live.join(byclass, "doc_id"), "neardup-live")
+        found.append(_compare_nodes(live.where(F.col("size") <= SMALL), ["node"], both=False))
         large = live.where(F.col("size") > SMALL)
         if stats.where(F.col("size") > SMALL).isEmpty():
             break
@@ -175,20 +194,23 @@ def candidates(sigs: DataFrame) -> DataFrame:
             found.append(_compare_nodes(part.where("b1 < b2"), ["node", "b1", "b2"], both=True))
             found.append(_compare_nodes(part.where("block = other"), ["node", "block"], both=False))
             break
-        pivots = byclass.select(F.col("doc_id").alias("pivot"), F.col("sig").alias("pivot_sig"))
-        next_ = large.join(pivots, "pivot").select("node", "doc_id", "sig", "grp", "pivot", "pivot_sig")
-        next_ = next_.mapInArrow(_branch, "node long, doc_id long, grp long, pivot long, like double, children array<long>")
+        # a sample picks the pivot only; the node's smallest class is always in it
+        few = large.where((F.pmod(F.xxhash64("doc_id", "node"), F.col("size")) < SAMPLE) | (F.col("doc_id") == F.col("pivot")))
+        pivots = few.groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig", "grp")).alias("rows")).mapInArrow(_medoid, "node long, pivot long, pivot_sig binary")
+        pivots = materialize(pivots, "neardup-pivots")
+        next_ = large.drop("pivot").join(pivots, "node").select("node", "doc_id", "sig", "grp", "pivot", "pivot_sig")
+        next_ = next_.mapInArrow(_branch, "node long, doc_id long, sig binary, grp long, pivot long, like double, children array<long>")
         next_ = materialize(next_, "neardup-branch")
         # the pivot joins the group of a class that is like it, if there is one
         near = (F.col("like") >= LIKELY) & (F.col("doc_id") != F.col("pivot"))
-        joined = next_.groupBy("node").agg(F.min(F.when(near & F.col("grp").isNotNull(), F.struct("grp", "doc_id"))).alias("by"))
+        joined = next_.groupBy("node").agg(F.min(F.when((F.col("like") >= LIKELY) & F.col("grp").isNotNull(), F.struct("grp", "doc_id"))).alias("by"))
         joined = materialize(joined.select("node", F.col("by.grp").alias("to"), F.col("by.doc_id").alias("via")), "neardup-joined")
         next_ = next_.join(joined, "node").withColumn("target", F.coalesce("to", "pivot"))
         next_ = next_.withColumn("new", F.coalesce("grp", F.when(F.col("like") >= LIKELY, F.col("target"))))
         relied = near & (F.col("grp").isNull() | (F.col("doc_id") == F.col("via")))
         star = next_.where((F.col("like") >= MAYBE) & (F.col("doc_id") != F.col("pivot")) & (relied | ~F.col("new").eqNullSafe(F.col("target"))))
         found.append(star.select(F.greatest("doc_id", "pivot").alias("x"), F.least("doc_id", "pivot").alias("y"), relied.cast("int").alias("kind")))
-        rows = next_.select(F.explode("children").alias("node"), "doc_id", F.col("new").alias("grp"))
+        rows = next_.select(F.explode("children").alias("node"), "doc_id", "sig", F.col("new").alias("grp"))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)

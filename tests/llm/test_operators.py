@@ -56,7 +56,7 @@ def brute_components(docs):
 def test_near_duplicates(spark, monkeypatch):
     docs = corpus()
     want = brute_components(docs)
-    for small, depth in ((32, 8), (3, 2)):  # the second takes the branching and block paths
+    for small, depth in ((32, 2), (3, 1)):  # the second takes the branching and block paths
         monkeypatch.setattr(near_dup, "SMALL", small)
         monkeypatch.setattr(near_dup, "DEPTH", depth)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
