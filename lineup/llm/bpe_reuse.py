@@ -13,6 +13,7 @@ repeated rows; an empty table gives an empty result. Columns beyond the id and t
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ MASK = np.uint64(511)
 SPAN = 12
 MIN_CHUNK = 128
 #: Bytes of chunk text whose ids one worker keeps.
-KEEP_BYTES = 48 << 20
+KEEP_BYTES = 96 << 20
+#: Texts that are encoded together.
+BATCH = 400
 
 
 def rolling_cuts(data: bytes) -> np.ndarray:
@@ -68,42 +71,61 @@ class ChunkEncoder:
         self.enc, self.table, self.size = enc, {}, 0
         self.joins: dict[tuple[str, str], bool] = {}
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        got = self.table.get(text)
-        if got is None:
-            ids = self.enc.encode(text)
-            got = ids, " ".join(self.enc.tokens(ids))
-            if self.size > KEEP_BYTES:
-                self.table, self.size = {}, 0
-            self.table[text] = got
-            self.size += 10 * len(text)
-        return got
-
-    def agrees(self, left: str, right: str) -> bool:
-        """Whether the ids of the joined window are those of its two sides."""
-        key = left, right
-        if key not in self.joins:
-            if len(self.joins) > 100_000:
-                self.joins.clear()
-            self.joins[key] = self.enc.plain(left + right) == self.enc.plain(left) + self.enc.plain(right)
-        return self.joins[key]
-
-    def text(self, text: str | None) -> tuple[bytes, str]:
-        """Ids of the whole text, and its tokens joined by one space."""
-        if not text:
-            return b"", ""
-        parts = chunks(text)
-        k = 1
-        while k < len(parts):  # repair: a join that does not agree is closed, and the joined chunk is encoded as one
-            left, right = parts[k - 1], parts[k]
-            cut = left.rfind(" ", 0, len(left) - 1)
-            end = right.find(" ", 1)
-            if self.agrees(left[max(cut, 0) :], right[: end if end > 0 else len(right)]):
-                k += 1
-            else:
-                parts[k - 1 : k + 1] = [left + right]
-        got = [self.chunk(p) for p in parts]
-        return b"".join(g[0] for g in got), " ".join(g[1] for g in got if g[1])
+    def _learn(self, chunks_: set[str]) -> None:
+        """Encode chunks that the table does not hold, together."""
+        new = [c for c in chunks_ if c not in self.table]
+        if self.size > KEEP_BYTES:
+            self.table, self.size = {}, 0
+            new = list(chunks_)
+        for c, ids in zip(new, self.enc.encode_batch(new), strict=True):
+            self.table[c] = ids, " ".join(self.enc.tokens(ids))
+            self.size += 10 * len(c)
+
+    def _agree(self, pairs: set[tuple[str, str]]) -> None:
+        """Whether the library's ids of joined windows are those of their two sides."""
+        new = [p for p in pairs if p not in self.joins]
+        if len(self.joins) + len(new) > 200_000:
+            self.joins.clear()
+            new = list(pairs)
+        both = self.enc.tokenizer.encode_batch_fast([a + b for a, b in new], add_special_tokens=False)
+        left, right = self.enc.encode_batch([a for a, _ in new]), self.enc.encode_batch([b for _, b in new])
+        for p, e, a, b in zip(new, both, left, right, strict=True):
+            self.joins[p] = array(self.enc.code, e.ids).tobytes() == a + b
+
+    def batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Ids of each whole text, and its tokens joined by one space."""
+        parts = [chunks(t) if t else [] for t in texts]
+        waiting = {k: 1 for k, p in enumerate(parts) if len(p) > 1}
+        self._agree({window(p[k - 1], p[k]) for p in parts for k in range(1, len(p))})
+        while waiting:  # repair: a join that does not agree is closed, and the joined chunk is encoded as one
+            closed = set()
+            for n in list(waiting):
+                p, k = parts[n], waiting.pop(n)
+                while k < len(p):
+                    pair = window(p[k - 1], p[k])
+                    if pair not in self.joins:
+                        closed.add(pair)
+                        waiting[n] = k
+                        break
+                    if self.joins[pair]:
+                        k += 1
+                    else:
+                        p[k - 1 : k + 1] = [p[k - 1] + p[k]]
+            if closed:
+                self._agree(closed)
+        self._learn({c for p in parts for c in p})
+        get = self.table.__getitem__
+        out = []
+        for p in parts:
+            got = list(map(get, p))
+            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
+        return out
+
+
+def window(left: str, right: str) -> tuple[str, str]:
+    """The last word before a join and the first after it."""
+    cut, end = left.rfind(" ", 0, len(left) - 1), right.find(" ", 1)
+    return left[max(cut, 0) :], right[: end if end > 0 else len(right)]
 
 
 _CHUNKED: dict[str, ChunkEncoder] = {}
@@ -144,7 +166,9 @@ def encode_documents(df: DataFrame, path: str, doc_id: str = "doc_id", text: str
             raise ValueError("only tokenizers whose decoder is absent join tokens with spaces")
         chunked = _CHUNKED.setdefault(path, ChunkEncoder(enc))
         for b in batches:
-            ids, texts = zip(*(chunked.text(t) for t in column(b, "text").to_pylist())) if b.num_rows else ((), ())
+            texts = column(b, "text").to_pylist()
+            got = [x for at in range(0, len(texts), BATCH) for x in chunked.batch(texts[at : at + BATCH])]
+            ids, texts = [g[0] for g in got], [g[1] for g in got]
             if digests:
                 cols = [
                     pa.array([len(x) // enc.width for x in ids], pa.int64()),
