@@ -116,7 +116,7 @@ def p54(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(S.soft_memberships(x)).alias("m")).select("p_partkey", "m.cluster", r6("m.weight", "weight"))
 
 
-@R("P55_combine_memberships", "SELECT c_nationkey, a, b, round(x * y, 6) AS weight FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT 0 AS a, 0.6 AS x UNION ALL SELECT 1, 0.4), (SELECT 0 AS b, 0.7 AS y UNION ALL SELECT 1, 0.3)")
+@R("P55_combine_memberships", "SELECT c_nationkey, a, b, round((x * y)::DOUBLE, 6) AS weight FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT 0 AS a, 0.6 AS x UNION ALL SELECT 1, 0.4), (SELECT 0 AS b, 0.7 AS y UNION ALL SELECT 1, 0.3)")
 def p55(spark, d):
     m = lambda p: F.array(*[F.struct(F.lit(k).alias("cluster"), F.lit(w).alias("weight")) for k, w in enumerate(p)])
     rows = table(spark, d, "customer").select("c_nationkey").distinct().select("c_nationkey", F.explode(E.combine_memberships(m([0.6, 0.4]), m([0.7, 0.3]), 4)).alias("m"))

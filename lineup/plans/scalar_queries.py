@@ -164,11 +164,11 @@ def p62(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(F.col("url").rlike("/(fr|de)/"), "reject").when(F.lower("html").rlike('class="ad"'), "mixed").otherwise("keep").alias("verdict"))
 
 
-@R("P63_classify_event", """SELECT page_id, CASE WHEN t AND b THEN 'the' WHEN t THEN 'the' WHEN b THEN 'und' ELSE 'none' END AS event, CASE WHEN t THEN 0.9 WHEN b THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence
-FROM (SELECT page_id, regexp_matches(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\bthe\\b') AS t, regexp_matches(lower(html), '\\bund\\b') AS b FROM pages)""".replace("\\\\b", "\\b"))
+@R("P63_classify_event", """SELECT page_id, CASE WHEN t THEN 'the' WHEN b THEN 'und' ELSE 'none' END AS event, CASE WHEN t THEN 0.9 WHEN b THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence
+FROM (SELECT page_id, regexp_matches(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '(^|[ .,])the([ .,]|$)') AS t, regexp_matches(lower(html), '(^|[ .,])und([ .,]|$)') AS b FROM pages)""")
 def p63(spark, d):
     """Candidates with confidences by where a pattern stands; the most confident wins."""
     title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    found = F.array_compact(F.array(F.when(title.rlike(r"\bthe\b"), F.struct(F.lit(0.9).alias("confidence"), F.lit("the").alias("event"))), F.when(F.lower("html").rlike(r"\bund\b"), F.struct(F.lit(0.7).alias("confidence"), F.lit("und").alias("event")))))
+    found = F.array_compact(F.array(F.when(title.rlike("(^|[ .,])the([ .,]|$)"), F.struct(F.lit(0.9).alias("confidence"), F.lit("the").alias("event"))), F.when(F.lower("html").rlike("(^|[ .,])und([ .,]|$)"), F.struct(F.lit(0.7).alias("confidence"), F.lit("und").alias("event")))))
     best = F.coalesce(F.array_max(found), F.struct(F.lit(0.0).alias("confidence"), F.lit("none").alias("event")))
     return table(spark, d, "pages").select("page_id", best["event"].alias("event"), best["confidence"].alias("confidence"))
