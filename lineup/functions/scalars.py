@@ -27,13 +27,27 @@ def _poly(coefficients, x, last=None):
 
 def normal_quantile(p: Column) -> Column:
     """Inverse of the standard normal distribution function, relative error near 1e-9."""
-    q, low = p - 0.5, 0.02425
-    r = q * q
-    tail = F.sqrt(-2 * F.log(F.when(p < 0.5, p).otherwise(1 - p)))
+    q = p - 0.5
+    return _quantile(p, q, q * q, _tail(p))
+
+
+def _tail(p: Column) -> Column:
+    return F.sqrt(-2 * F.log(F.when(p < 0.5, p).otherwise(1 - p)))
+
+
+def _quantile(p: Column, q: Column, r: Column, tail: Column) -> Column:
+    low = 0.02425
     outer = _poly(_C, tail) / _poly(_D, tail, 1.0)
     return F.when(p < low, outer).when(p > 1 - low, -outer).otherwise(_poly(_A, r) * q / _poly(_B, r, 1.0))
 
 
+def with_score(df, p: Column, out: str):
+    """P30 as a step by step addition of columns, so that no expression is written out many times."""
+    df = df.withColumn("_p", clip(p, 1e-6, 1 - 1e-6)).withColumns({"_q": F.col("_p") - 0.5, "_t": _tail(F.col("_p"))}).withColumn("_r", F.col("_q") * F.col("_q"))
+    df = df.withColumn("_z", _quantile(F.col("_p"), F.col("_q"), F.col("_r"), F.col("_t")))
+    return df.withColumn(out, clip(50 + 20 * F.col("_z"), 10.0, 90.0)).drop("_p", "_q", "_t", "_r", "_z")
+
+
 def percentile_to_score(p: Column) -> Column:
     """50 + 20 standard normal quantiles, held between 10 and 90."""
     return clip(50 + 20 * normal_quantile(clip(p, 1e-6, 1 - 1e-6)), 10.0, 90.0)

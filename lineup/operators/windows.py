@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lineup.functions.scalars import percentile_to_score
+from lineup.functions.scalars import with_score
 
 
 def _by(keys) -> list:
@@ -23,7 +23,7 @@ def average_rank(value: str, group) -> Column:
 def calibrate_within(df: DataFrame, group, value: str, out: str) -> DataFrame:
     """Mid-rank percentile in the group as a normal score between 10 and 90."""
     n = F.count(value).over(Window.partitionBy(*_by(group)))
-    return df.withColumn(out, percentile_to_score((average_rank(value, group) - 0.5) / n))
+    return with_score(df, (average_rank(value, group) - 0.5) / n, out)
 
 
 def competition_tier(df: DataFrame, group, value: str, out: str, rule: str = "min", cuts=(0.75, 0.45, 0.20)) -> DataFrame:
