@@ -29,7 +29,7 @@ from lineup.llm.common import _draws, column, documents, materialize, mix64, shi
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-COORDS, TREES, BRANCH, WIDTH, SMALL, DEPTH, SAMPLE = 256, 10, 4, 3, 32, 2, 48
+COORDS, TREES, BRANCH, WIDTH, SMALL, DEPTH, SAMPLE = 256, 10, 4, 3, 32, 3, 48
 #: Shares of equal signature coordinates: what is worth confirming, and what is relied on before it is confirmed.
 MAYBE, LIKELY = 0.64, 0.8
 _MUL, _ADD = _draws(COORDS, 101) | np.uint64(1), _draws(COORDS, 202)
