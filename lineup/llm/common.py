@@ -79,8 +79,18 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: About 64 KB that end with a whole word, so that the hashing of a very long text needs no arrays of its length.
+_PIECE = re.compile(rb"(?s).{1,65536}[^\x20\x09-\x0D]*")
+
+
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of ``data``: a polynomial over random byte values, then mixed."""
+    """A 64-bit hash for each word of ``data``, a piece of whole words at a time."""
+    parts = [_piece_hashes(m.group()) for m in _PIECE.finditer(data)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
+
+
+def _piece_hashes(data: bytes) -> np.ndarray:
+    """A polynomial over random byte values for each word, then mixed."""
     raw, start, end = word_bounds(data)
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
@@ -127,6 +137,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def values_of(batch: pa.RecordBatch, name: str):
+    """The values of a column one after the other, so that a batch of long texts or lists is not held twice."""
+    return (value.as_py() for value in column(batch, name))
+
+
 def arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

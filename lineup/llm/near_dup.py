@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineup.llm.common import _draws, column, documents, materialize, mix64, shingle_set, signed
+from lineup.llm.common import _draws, column, documents, materialize, mix64, shingle_set, signed, values_of
 
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -53,7 +53,7 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     def run(batches):
         for b in batches:
             size, one, two, sig, nodes = [], [], [], [], []
-            for text_ in column(b, "text").to_pylist():
+            for text_ in values_of(b, "text"):
                 s = shingle_set(text_, WORDS)
                 size.append(len(s))
                 if not len(s):
@@ -116,7 +116,7 @@ def _compare_nodes(rows: DataFrame, keys: list[str], both: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             x, y, kind = [], [], []
-            for rows_ in column(b, "rows").to_pylist():
+            for rows_ in values_of(b, "rows"):
                 if len(rows_) < 2:
                     continue
                 ids = np.array([r["doc_id"] for r in rows_], dtype=np.int64)
@@ -157,7 +157,7 @@ def _medoid(batches):
     """The pivot of each large node: the sampled class that is like most classes without a group."""
     for b in batches:
         out = [[], [], []]
-        for node, rows in zip(column(b, "node").to_pylist(), column(b, "rows").to_pylist(), strict=True):
+        for node, rows in zip(values_of(b, "node"), values_of(b, "rows"), strict=True):
             rows = sorted(rows, key=lambda r: (r["grp"] is not None, r["doc_id"]))[: 4 * SAMPLE]
             own = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint8).reshape(len(rows), COORDS)
             free = [k for k, r in enumerate(rows) if r["grp"] is None] or list(range(len(rows)))
@@ -249,7 +249,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             linked, last, seen = [], None, None
-            for s, t in zip(column(b, "x_text").to_pylist(), column(b, "y_text").to_pylist(), strict=True):
+            for s, t in zip(values_of(b, "x_text"), values_of(b, "y_text"), strict=True):
                 a = seen if last is not None and s == last else shingle_set(s, WORDS)
                 last, seen = s, a
                 c = shingle_set(t, WORDS)
