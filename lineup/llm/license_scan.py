@@ -2,10 +2,11 @@
 
 Texts are lower-cased in A-Z and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Templates (short licence passages) give a
 vocabulary; document frequencies of its words over the whole corpus give each word's IDF. For every file the occurrences of
-vocabulary words are kept with their positions; the file's words of highest IDF are looked up in the postings
-(word -> template, place in the template), postings are intersected by relative position (file position minus template
-place), and a template is reported where enough of its words agree on one alignment and all of its key phrases
-stand in the file. The three base phrases are found at all places: the rarest word of a phrase is looked up, and the
+indexed words are kept with their positions. Of each template the words of highest IDF are indexed, as many as it takes
+that an alignment that reaches the share has one of them in place, so none is missed. All of a file's indexed words are
+looked up in the postings (word -> template, place in the template), which gives alignments by relative position (file
+position minus template place); a template is reported where enough of its words agree on one alignment and all of its
+key phrases stand in the file. The three base phrases are found at all places: the rarest word of a phrase is looked up, and the
 phrase's words are verified around each of its occurrences.
 
 Null and empty texts have no words and no labels; repeated rows give repeated rows; ties between words of one IDF go by
@@ -30,8 +31,7 @@ TEMPLATES = {
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     "copyright-notice": ("copyright c all rights reserved", ("copyright", "all rights reserved")),
 }
-#: Rare words of a file that are looked up, share of a template's words that must agree on one alignment.
-RARE_WORDS = 8
+#: Share of a template's words that must agree on one alignment.
 AGREE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,16 +69,27 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}  # rarest, so highest IDF, first
     rarest = {id(p): min(range(len(p)), key=lambda k, p=p: rank[p[k]]) for p in every}
 
-    # occurrences of indexed words: those of the base phrases' rarest words, and all template words but the commonest
+    # occurrences of indexed words: those of the phrases' rarest words, and of each template its rarest words; the places of
+    # its other words are fewer than the share, so every alignment that is to be reported has an indexed word in place
     anchors = {p[rarest[id(p)]] for p in [*phrases.values(), *(q for v in keys.values() for q in v)]}
-    indexed = sorted({w for p in passages.values() for w in sorted(set(p), key=rank.get)[: max(4, len(set(p)) // 2)]} | anchors)
+    names = list(passages)
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, name in enumerate(names):
+        own = passages[name]
+        rest = len(own)
+        for w in sorted(set(own), key=rank.get):
+            if rest / len(own) < AGREE:
+                break
+            places_ = [at for at, x in enumerate(own) if x == w]
+            postings.setdefault(w, []).extend((t, at) for at in places_)
+            rest -= len(places_)
+    indexed = sorted(postings.keys() | anchors)
     hit = F.filter(
         F.transform("words", lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("word"))),
         lambda x: x["word"].isin(indexed),
     )
     # the words are filtered first, so that files without any indexed word cost one scan
     src = src.withColumn("hits", hit)
-    order = F.create_map(*[x for w in indexed for x in (F.lit(w), F.lit(rank[w]))])
 
     def places(phrase: list[str]) -> Column:
         k = rarest[id(phrase)]
@@ -86,25 +97,17 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
         return F.filter(starts, lambda s: (s >= 0) & _phrase_at(F.col("words"), s, phrase))
 
     src = src.withColumns({f"base_{k}": places(p) for k, p in enumerate(phrases.values())})
-    # the file's rarest indexed words, looked up in the postings; an alignment is one (template, start) pair
-    names = list(passages)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, name in enumerate(names):
-        for at, w in enumerate(passages[name]):
-            if w in indexed:
-                postings.setdefault(w, []).append((t, at))
-    none = F.array().cast("array<struct<t:int,at:int>>")
-    posting = F.create_map(*[x for w in indexed for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in postings[w]]) if w in postings else none)])
-    rare = F.slice(F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["word"])), lambda w: F.struct(F.element_at(order, w).alias("rank"), w.alias("word")))), 1, RARE_WORDS)
-    src = src.withColumn("rare", F.transform(rare, lambda r: r["word"]))
+    # all of the file's hits are looked up; an alignment is one start * 2^16 + template, a whole number so that repeats are hashed
+    posting = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in postings[w]]))])
     aligned = F.array_distinct(
         F.flatten(
             F.transform(
-                F.filter("hits", lambda h: F.array_contains("rare", h["word"])),
-                lambda h: F.transform(F.element_at(posting, h["word"]), lambda p: F.struct(p["t"].alias("t"), (h["at"].cast("int") - p["at"]).alias("start"))),
+                F.filter("hits", lambda h: h["word"].isin(sorted(postings))),
+                lambda h: F.transform(F.element_at(posting, h["word"]), lambda p: (h["at"] - p["at"]) * 65536 + p["t"]),
             )
         )
     )
+    aligned = F.transform(aligned, lambda a: F.struct(a.bitwiseAND(F.lit(65535)).cast("int").alias("t"), F.shiftright(a, 16).cast("int").alias("start")))
     src = src.withColumn("aligned", F.when(F.size("hits") > 0, aligned).otherwise(F.array().cast("array<struct<t:int,start:int>>")))
     passage = F.array(*[_strings(passages[n]) for n in names])
 
