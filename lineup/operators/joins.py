@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lineup.functions.scalars import cosine_score, first_last, initials, levenshtein_ratio
+from lineup.functions.scalars import cosine_score, first_last, initials, levenshtein_ratio, normalize_name
 from lineup.operators.windows import _by, latest_per_key
 
 #: A dimension of up to this many rows may be broadcast; larger ones are joined by a shuffle.
@@ -102,6 +102,14 @@ def last_name_block(x: Column) -> Column:
     return first_last(x)[1]
 
 
+def key_crosswalk(fields: DataFrame, known: DataFrame, key: str, place: str, field: str, canonical: str) -> DataFrame:
+    """The canonical name of the first of a key's fields that is known in its normal form, else its first field."""
+    names = known.select(normalize_name(F.col(canonical)).alias("_key"), canonical).groupBy("_key").agg(F.min(canonical).alias(canonical))
+    both = fields.withColumn("_key", normalize_name(F.col(field))).join(names, "_key", "left")
+    found = F.min_by(canonical, F.when(F.col(canonical).isNotNull(), F.col(place)))
+    return both.groupBy(key).agg(F.coalesce(found, F.min_by(field, place)).alias(canonical))
+
+
 def attach_comps(df: DataFrame, labelled: DataFrame, cell: list[str], season: str, item: str, n: int = 3) -> DataFrame:
     """Up to ``n`` latest labelled items of the row's cell in strictly earlier seasons, as an array.
 
