@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lineup.functions import scalars as S
 from lineup.operators import extras as E
 from lineup.operators import joins as J
+from lineup.operators import topk
 from lineup.plans.base import Registry, r6, table
 
 R = Registry()
@@ -84,3 +85,34 @@ def j26b(spark, d):
     second = F.concat(F.when(k % 5 == 0, "y").otherwise(" "), "c_name")
     fields = c.select("c_custkey", F.posexplode(F.array(first, second)).alias("place", "field"))
     return J.key_crosswalk(fields, c.where(k % 4 > 0).select(F.col("c_name").alias("canonical")), "c_custkey", "place", "field", "canonical")
+
+
+_WIDTH = 64  # components of an embedding
+
+
+@R("T03b_top_features", f"SELECT vec_id, array_to_string(list_transform(list_slice(list_sort(list_filter(list_transform(range(1, {_WIDTH + 1}), lambda i: {{'m': -embedding[i]::DOUBLE, 'n': 'f' || i}}), lambda s: s.m < 0)), 1, 2), lambda s: s.n), ',') AS top FROM embeddings")
+def t03b(spark, d):
+    """The two largest positive of all components."""
+    names = [f"f{k + 1}" for k in range(_WIDTH)]
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(topk.top_features(F.col("embedding").cast("array<double>"), names, 2), ",").alias("top"))
+
+
+_MEAN = ", ".join(f"avg(embedding[{k + 1}]::DOUBLE)" for k in range(_WIDTH))
+
+
+@R("J06b_all_pairs_fit", f"""WITH t AS (SELECT label, (vec_id % 25)::INT AS school, [{_MEAN}] AS v FROM embeddings GROUP BY 1, 2)
+SELECT e.vec_id, t.school, round(least(greatest(100 * list_cosine_similarity(e.embedding::DOUBLE[], t.v), 0), 100), 6) AS fit FROM embeddings e JOIN t ON e.label = t.label""")
+def j06b(spark, d):
+    """Labels are seasons and vec_id % 25 is the school: every vector with the mean vectors of all the schools of its season."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    school = (F.col("vec_id") % 25).cast("int").alias("school")
+    targets = e.groupBy("label", school).agg(F.array(*[F.avg(F.get("v", F.lit(k))) for k in range(_WIDTH)]).alias("w"))
+    return J.all_pairs_fit(e, targets, "label", "v", "w").select("vec_id", "school", r6("fit"))
+
+
+@R("J18b_knn", """WITH p AS (SELECT t.vec_id AS target, e.vec_id, list_distance(t.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS distance FROM embeddings e JOIN embeddings t ON t.vec_id % 50 = 0 AND e.vec_id <> t.vec_id)
+SELECT target, vec_id, round(distance, 6) AS distance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, vec_id) AS place FROM p) WHERE place <= 3""")
+def j18b(spark, d):
+    """The stated query set of searches against all rows."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return J.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "v", 3).select("target", "vec_id", r6("distance"), "place")

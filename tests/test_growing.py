@@ -28,3 +28,13 @@ def test_memberships_scenarios_records_and_aliases_vary(spark):
     assert {r["preferred"] for r in got} == {"a", "b", "tie"} and {r["overlap"] for r in got} == {True, False} and len(got) == 1499
     assert {(r["wins"] is None, r["losses"] is None) for r in rows(spark, "P06b_parse_record")} == {(False, False), (False, True), (True, True)}
     assert {"ALPHA", "BETA", "Brand#5"} <= {r["name"] for r in rows(spark, "P02b_canonical_name")}
+
+
+def test_features_targets_and_searches_are_whole(spark):
+    n = spark.read.parquet(f"{DIR}/embeddings.parquet").count()
+    top = rows(spark, "T03b_top_features")
+    assert len(top) == n and {int(f[1:]) for r in top for f in r["top"].split(",") if f} - {1, 2, 3, 4}
+    fit = rows(spark, "J06b_all_pairs_fit")
+    assert len(fit) > 20 * n and len({r["school"] for r in fit}) == 25
+    knn = rows(spark, "J18b_knn")
+    assert {r["target"] for r in knn} == set(range(0, n, 50)) and len(knn) == 3 * len(range(0, n, 50))
