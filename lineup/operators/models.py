@@ -47,9 +47,10 @@ def contributions(model: dict) -> Column:
     return F.array(*[F.struct(F.lit(f).alias("feature"), ((F.col(f) - m) * c).alias("value")) for f, c, m in zip(model["features"], model["coef"], model["mean"])])
 
 
-def kalman_filter(observations: Column, q: float, prior_mean: Column, prior_var: float) -> Column:
+def kalman_filter(observations: Column, q: float, prior_mean: Column, prior_var: float | Column) -> Column:
     """Local-level filter over a time-ordered array of (y, r); a NULL y only predicts. Gives the last (mean, variance)."""
-    start = F.struct(prior_mean.cast("double").alias("m"), F.lit(float(prior_var)).alias("v"))
+    var = prior_var.cast("double") if isinstance(prior_var, Column) else F.lit(float(prior_var))
+    start = F.struct(prior_mean.cast("double").alias("m"), var.alias("v"))
 
     def step(state, o):
         v = state["v"] + F.lit(float(q))
@@ -60,6 +61,37 @@ def kalman_filter(observations: Column, q: float, prior_mean: Column, prior_var:
     return F.aggregate(observations, start, step)
 
 
+def kalman_smoother(observations: Column, q: float, prior_mean: Column, prior_var: float) -> Column:
+    """Filter as above, then the Rauch-Tung-Striebel pass backwards; gives (mean, variance) of every observation."""
+    state = "array<struct<m:double,v:double>>"
+    start = F.array(F.struct(prior_mean.cast("double").alias("m"), F.lit(float(prior_var)).alias("v"))).cast(state)
+
+    def forward(states, o):
+        last = F.element_at(states, -1)
+        return F.concat(states, F.array(kalman_filter(F.array(o), q, last["m"], last["v"])))
+
+    def backward(done, s):
+        later = F.element_at(done, -1)
+        gain = s["v"] / (s["v"] + F.lit(float(q)))
+        smooth = F.struct((s["m"] + gain * (later["m"] - s["m"])).alias("m"), (s["v"] + gain * gain * (later["v"] - s["v"] - F.lit(float(q)))).alias("v"))
+        return F.concat(done, F.array(smooth))
+
+    filtered = F.reverse(F.aggregate(observations, start, forward))  # the prior is the last one
+    rest = F.slice(filtered, 2, F.greatest(F.size(filtered) - 2, F.lit(0)))
+    smoothed = F.reverse(F.aggregate(rest, F.slice(filtered, 1, 1), backward))
+    return F.when(F.size(observations) > 0, smoothed).when(observations.isNotNull(), F.array().cast(state))
+
+
+def predict_interval(model: dict, variances: dict[str, Column], z: float) -> tuple[Column, Column, Column]:
+    """Prediction, low and high end; residual variance plus the features' own variances through the coefficients."""
+    var = F.lit(model["residual_std"] ** 2)
+    for f, c in zip(model["features"], model["coef"]):
+        if f in variances:
+            var = var + c * c * F.greatest(F.coalesce(variances[f].cast("double"), F.lit(0.0)), F.lit(0.0))
+    mid, half = predict(model), F.sqrt(var) * z
+    return mid, mid - half, mid + half
+
+
 def interval_scale(df: DataFrame, y: str, p: str, half: str, coverage: float = 0.8) -> DataFrame:
     """The smallest scale of half widths that covers the wished share."""
     return df.where(F.col(half) > 0).agg(F.percentile(F.abs(F.col(y) - F.col(p)) / F.col(half), coverage).alias("scale"))
@@ -72,3 +104,16 @@ def grid_nll(df: DataFrame, y: str, offset: str, x: str, grid: list[float], ridg
     p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     loss = -(F.col(y) * F.log(p) + (1 - F.col(y)) * F.log(1 - p))
     return df.select("*", betas).groupBy("beta").agg((F.sum(loss) + ridge * F.first("beta") * F.first("beta")).alias("nll"))
+
+
+def fit_offset_beta(df: DataFrame, y: str, offset: str, x: str, low: float = -5.0, high: float = 0.0, ridge: float = 0.25, rounds: int = 8) -> float:
+    """The coefficient in [low, high] of least penalised loss: the loss is convex, so each round's grid of 17 closes in on its arg-min by 8."""
+    rows = df.dropna(subset=[y, offset, x]).select(F.col(y).cast("double").alias(y), F.col(offset).cast("double").alias(offset), F.col(x).cast("double").alias(x))
+    if (rows.agg(F.stddev_pop(x).alias("s")).first()["s"] or 0.0) < 1e-9:
+        return 0.0
+    a, b, best = low, high, low
+    for _ in range(rounds):
+        step = (b - a) / 16
+        best = grid_nll(rows, y, offset, x, [a + k * step for k in range(17)], ridge).agg(F.min_by("beta", F.struct("nll", F.abs("beta"))).alias("beta")).first()["beta"]
+        a, b = max(low, best - step), min(high, best + step)
+    return 0.0 if abs(best) < 0.01 else best

@@ -42,3 +42,18 @@ def explain_funnel(df: DataFrame, key: str, item: str, score: str, cutoff: int)
     ranked = df.withColumn("place", F.row_number().over(w.orderBy(F.desc(score), item)))
     limit = F.min(F.when(F.col("place") <= cutoff, F.col(score))).over(w)
     return ranked.withColumns({"cutoff": limit, "margin": F.col(score) - limit, "kept": F.col("place") <= cutoff})
+
+
+def explain_two_stage(df: DataFrame, key: str, item: str, weights: dict[str, float], second: Column, wide: int = 50, narrow: int = 10) -> DataFrame:
+    """Places, cut-offs and margins of both stages, the stage reached, the weakest weighted component and a reason, for every candidate."""
+    parts = [F.col(c) * w for c, w in weights.items()]
+    one = explain_funnel(df.withColumn("stage1", sum(parts[1:], parts[0])), key, item, "stage1", wide).withColumnsRenamed({"place": "place1", "cutoff": "cutoff1", "margin": "margin1", "kept": "in1"})
+    w = Window.partitionBy(key, "in1")
+    two = one.withColumn("stage2", F.when(F.col("in1"), second)).withColumn("place2", F.when(F.col("in1"), F.row_number().over(w.orderBy(F.desc("stage2"), item))))
+    two = two.withColumn("cutoff2", F.min(F.when(F.col("place2") <= narrow, F.col("stage2"))).over(w)).withColumn("margin2", F.col("stage2") - F.col("cutoff2"))
+    weakest = F.array_min(F.array(*[F.struct(p.alias("part"), F.lit(k).alias("at"), F.lit(c).alias("name")) for k, (p, c) in enumerate(zip(parts, weights))]))["name"]
+    stage = F.when(~F.col("in1"), f"top_{wide}_excluded").when(F.col("place2") > narrow, f"top_{narrow}_excluded").otherwise("selected")
+    out = two.withColumns({"weakest": weakest, "stage": stage})
+    lost = lambda k, n: F.format_string(f"Ranked %d in Stage {k}, %.4f below the Top-{n} cutoff; weakest weighted component was %s.", F.col(f"place{k}"), F.abs(f"margin{k}"), F.col("weakest"))
+    reason = F.when(~F.col("in1"), lost(1, wide)).when(F.col("place2") > narrow, lost(2, narrow)).otherwise(F.format_string("Ranked %d in Stage 2, selected.", F.col("place2")))
+    return out.withColumn("reason", reason).drop("in1")

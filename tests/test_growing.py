@@ -1,5 +1,13 @@
 """The queries on growing tables reach each of their operator's cases."""
 
+import math
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lineup.operators import models as M
+from lineup.operators import topk
 from lineup.plans import registry
 
 DIR = "/root/testdata/sf0.01"
@@ -38,3 +46,39 @@ def test_features_targets_and_searches_are_whole(spark):
     assert len(fit) > 20 * n and len({r["school"] for r in fit}) == 25
     knn = rows(spark, "J18b_knn")
     assert {r["target"] for r in knn} == set(range(0, n, 50)) and len(knn) == 3 * len(range(0, n, 50))
+
+
+def test_smoother_is_the_posterior_of_all_observations(spark):
+    ys, q, r, m0, v0 = [3.0, None, 5.0, 1.0, 4.0], 0.5, 4.0, 10.0, 100.0
+    df = spark.createDataFrame([(1, [(y, r) for y in ys]), (2, []), (3, [(7.0, r)])], "id int, o array<struct<y:double,r:double>>")
+    got = {x["id"]: x["s"] for x in df.select("id", M.kalman_smoother(F.col("o"), q, F.lit(m0), v0).alias("s")).collect()}
+    # states are jointly normal: condition them on what was seen
+    n = len(ys)
+    cov = np.array([[v0 + q * (min(i, j) + 1) for j in range(n)] for i in range(n)])
+    seen = [k for k, y in enumerate(ys) if y is not None]
+    gain = cov[:, seen] @ np.linalg.inv(cov[np.ix_(seen, seen)] + r * np.eye(len(seen)))
+    mean, var = m0 + gain @ (np.array([ys[k] for k in seen]) - m0), np.diag(cov - gain @ cov[seen])
+    assert np.allclose([s["m"] for s in got[1]], mean) and np.allclose([s["v"] for s in got[1]], var)
+    assert got[2] == [] and len(got[3]) == 1
+
+
+def test_interval_has_both_variances(spark):
+    m = {"features": ["a", "b"], "coef": [2.0, -1.0], "intercept": 1.0, "residual_std": 3.0}
+    mid, low, high = M.predict_interval(m, {"a": F.col("va")}, 2.0)
+    x = spark.createDataFrame([(1.0, 1.0, 4.0), (1.0, 1.0, None)], "a double, b double, va double").select(mid.alias("m"), low.alias("l"), high.alias("h")).collect()
+    assert (x[0]["m"], x[0]["l"], x[0]["h"]) == (2.0, -8.0, 12.0) and (x[1]["l"], x[1]["h"]) == (-4.0, 8.0)
+
+
+def test_offset_beta_is_the_arg_min(spark):
+    r = random.Random(4)
+    data = [(float(r.random() < 1 / (1 + math.exp(1.3 * x - 0.2))), 0.2, x) for x in (r.gauss(0, 1) for _ in range(400))]
+    beta = M.fit_offset_beta(spark.createDataFrame([*data, (None, 0.0, 1.0)], "y double, o double, x double"), "y", "o", "x")
+    loss = lambda b: sum(math.log1p(math.exp(-(o + b * x) * (1 if y else -1))) for y, o, x in data) + 0.25 * b * b
+    assert -1.8 < beta < -0.8 and loss(beta) <= min(loss(beta - 1e-4), loss(beta + 1e-4))
+
+
+def test_funnel_names_stage_and_weakest_part(spark):
+    df = spark.createDataFrame([(1, k, float(k), 10.0 - k, float(k % 3)) for k in range(6)], "u int, i int, a double, b double, s double")
+    got = {x["i"]: x for x in topk.explain_two_stage(df, "u", "i", {"a": 0.8, "b": 0.2}, F.col("s"), wide=4, narrow=2).collect()}
+    assert {k: x["stage"] for k, x in got.items()} == {0: "top_4_excluded", 1: "top_4_excluded", 2: "selected", 5: "selected", 4: "top_2_excluded", 3: "top_2_excluded"}
+    assert got[0]["weakest"] == "a" and got[5]["weakest"] == "b" and "Top-4 cutoff; weakest weighted component was a." in got[0]["reason"]
