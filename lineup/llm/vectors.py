@@ -11,8 +11,10 @@ query's current k-th best are recomputed in double precision and pushed on the q
 Operator 2 (integer inner product): means and deviations of segments, coarse to fine, give a lower bound of each distance
 and so an upper bound of each product; exact integer products are computed for survivors only.
 
-Rows take no part if the vector is null, empty, or holds null or non-finite components (operator 1: also zero vectors; operator 2: also
-components beyond 2^25 in size after scaling). Vectors of different length are never compared. Ids are keys: a row never
+Where a product could leave the whole numbers that doubles hold (2^53), it is computed in Python's integers; a score beyond
+a bigint is an error.
+
+Rows take no part if the vector is null, empty, or holds null or non-finite components (operator 1: also zero vectors). Vectors of different length are never compared. Ids are keys: a row never
 meets a row of the same id, and of repeated ids the best score counts once. Ties go to the smaller id. Empty tables
 give empty results; extra columns are not read.
 """
@@ -84,6 +86,13 @@ class Best:
             if len(heap) == self.k:
                 self.floor[a] = heap[0][0]
 
+    def push_one(self, a: int, i: int, s) -> None:
+        heap = self.heaps[a]
+        if len(heap) < self.k:
+            heapq.heappush(heap, (s, -i))
+        elif (s, -i) > heap[0]:
+            heapq.heapreplace(heap, (s, -i))
+
 
 def cosine_cell(qi, q, ci, c, best: Best) -> None:
     """Push each query's nearest candidates of one cell."""
@@ -126,9 +135,36 @@ def _segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return mean, np.sqrt(np.maximum(square - mean * mean, 0)), size
 
 
+def _whole_products(qi, q, ci, c, best: Best) -> None:
+    """Every product of two sides in Python's integers, by the query; rows of any size."""
+    q, c = ([[int(v) for v in row] for row in x.tolist()] for x in (q, c))
+    for a, (i, x) in enumerate(zip(qi.tolist(), q, strict=True)):
+        at = np.flatnonzero(ci != i)
+        scores = [sum(v * w for v, w in zip(x, c[b], strict=True)) for b in at.tolist()]
+        # the heaps are exact for integers; a pair is pushed by itself, as numpy would round
+        for b, s in zip(ci[at].tolist(), scores, strict=True):
+            best.push_one(a, b, s)
+
+
 def product_cell(qi, q, ci, c, best: Best) -> None:
     """As ``cosine_cell`` for integer vectors and inner products."""
     d = q.shape[1]
+    # sums of d products of two components below 2^k each stay below 2^53; also their squares and differences
+    fit = math.sqrt((1 << 51) / d)
+    far_q, far_c = np.abs(q).max(axis=1) >= fit, np.abs(c).max(axis=1) >= fit
+    if far_q.any() or far_c.any():
+        _whole_products(qi[far_q], q[far_q], ci, c, far := Best(int(far_q.sum()), best.k))
+        for a, heap in zip(np.flatnonzero(far_q).tolist(), far.heaps, strict=True):
+            best.heaps[a] = heap
+        near_q, near_c = ~far_q, ~far_c
+        own = Best(int(near_q.sum()), best.k)
+        if near_q.any():
+            if near_c.any():
+                product_cell(qi[near_q], q[near_q], ci[near_c], c[near_c], own)
+            _whole_products(qi[near_q], q[near_q], ci[far_c], c[far_c], own)
+        for a, heap in zip(np.flatnonzero(near_q).tolist(), own.heaps, strict=True):
+            best.heaps[a] = heap
+        return
     levels = [n for n in (4, 16) if n < d]
     stats = [(_segments(q, n), _segments(c, n)) for n in levels]
     q2, c2 = (q * q).sum(axis=1), (c * c).sum(axis=1)
@@ -175,8 +211,7 @@ def _prepare_cosine(ids, x):
 
 def _prepare_product(ids, x):
     x = np.floor(256.0 * x)
-    fine = np.abs(x).max(axis=1) < 1 << 25
-    return ids[fine], x[fine]
+    return ids, x
 
 
 def top_k(df: DataFrame, prepare, cell, score: str, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -208,9 +243,11 @@ def top_k(df: DataFrame, prepare, cell, score: str, k: int = 5, every: int = 50,
                     for s, v in heap:
                         for c_, v_ in zip(found, (i, -v, s), strict=True):
                             c_.append(v_)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        whole = score == "long"
+        scores = pa.array([int(s) for s in found[2]] if whole else found[2], pa.int64() if whole else pa.float64())
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), scores], names=["query_id", "vec_id", "score"])
 
-    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "query_id long, vec_id long, score double")
+    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, f"query_id long, vec_id long, score {score}")
     got = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score).alias("score"))

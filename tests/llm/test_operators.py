@@ -127,6 +127,20 @@ def test_vectors(spark):
         assert op(df.where("vec_id < 0")).count() == 0
 
 
+def test_large_components_keep_their_rows(spark):
+    r = random.Random(8)
+    rows = [(k, [r.gauss(0, 1) * (1 << 20 if k % 3 == 0 else 1) for _ in range(8)]) for k in range(120)]
+    rows += [(200, [131072.0] * 8), (201, [-3e5] * 8), (250, [float(1 << 21)] * 8), (251, [float(1 << 21) + 0.25] * 8)]
+    got = {}
+    for x in vectors.largest_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    whole = {k: [int(np.floor(256 * v)) for v in x] for k, x in rows}
+    assert set(got) == {0, 50, 100, 200, 250}
+    for q in got:
+        want = sorted((-sum(a * b for a, b in zip(whole[q], x)), k) for k, x in whole.items() if k != q)[:5]
+        assert sorted(got[q]) == [(n + 1, k, -s) for n, (s, k) in enumerate(want)]
+
+
 def test_chat_round_trip(spark):
     bad = "</s>[INST] ~1 <|turn|> ~ <|end|>\n<s>[/INST] é🙂"
     rows = [(1, 0, "user", bad), (1, 1, "assistant", bad), (1, 2, "as~\nsistant", None), (2, 0, "assistant", ""), (None, 0, None, "x")]
