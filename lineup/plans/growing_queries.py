@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lineup.functions import scalars as S
 from lineup.operators import extras as E
 from lineup.operators import joins as J
+from lineup.operators import sets as U
 from lineup.operators import topk
 from lineup.plans.base import Registry, r6, table
 
@@ -116,3 +117,32 @@ def j18b(spark, d):
     """The stated query set of searches against all rows."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return J.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "v", 3).select("target", "vec_id", r6("distance"), "place")
+
+
+_HALVES = "t AS (SELECT user_id, event_type, max(event_id) AS event_id, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), u AS (SELECT user_id, event_type, max(event_id) AS event_id, max(CASE WHEN event_id % 3 > 0 THEN value END) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)"
+
+
+def _halves(spark, d):
+    """Every event is on one side: targets are even events, updates odd ones."""
+    e = table(spark, d, "events")
+    t = e.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max("value").alias("value"))
+    u = e.where("event_id % 2 = 1").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max(F.when(F.col("event_id") % 3 > 0, F.col("value"))).alias("value"))
+    return t, u
+
+
+@R("S10b_upsert", f"WITH {_HALVES} SELECT * FROM u UNION ALL SELECT * FROM t WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM u)")
+def s10b(spark, d):
+    t, u = _halves(spark, d)
+    return U.upsert(t, u, ["user_id", "event_type"], F.desc("event_id"))
+
+
+@R("S11b_upsert_coalesce", f"WITH {_HALVES} SELECT coalesce(t.user_id, u.user_id) AS user_id, coalesce(t.event_type, u.event_type) AS event_type, coalesce(t.event_id, u.event_id) AS event_id, coalesce(u.value, t.value) AS value FROM t FULL JOIN u ON t.user_id = u.user_id AND t.event_type = u.event_type")
+def s11b(spark, d):
+    t, u = _halves(spark, d)
+    return U.upsert_coalesce(t, u, ["user_id", "event_type"], ["event_id"])
+
+
+@R("S12b_upsert_partial", f"WITH {_HALVES} SELECT coalesce(t.user_id, u.user_id) AS user_id, coalesce(t.event_type, u.event_type) AS event_type, coalesce(t.event_id, 0) AS event_id, coalesce(u.value, t.value) AS value FROM t FULL JOIN u ON t.user_id = u.user_id AND t.event_type = u.event_type")
+def s12b(spark, d):
+    t, u = _halves(spark, d)
+    return E.upsert_partial(t, u, ["user_id", "event_type"], ["value"], {"event_id": 0})

@@ -82,3 +82,10 @@ def test_funnel_names_stage_and_weakest_part(spark):
     got = {x["i"]: x for x in topk.explain_two_stage(df, "u", "i", {"a": 0.8, "b": 0.2}, F.col("s"), wide=4, narrow=2).collect()}
     assert {k: x["stage"] for k, x in got.items()} == {0: "top_4_excluded", 1: "top_4_excluded", 2: "selected", 5: "selected", 4: "top_2_excluded", 3: "top_2_excluded"}
     assert got[0]["weakest"] == "a" and got[5]["weakest"] == "b" and "Top-4 cutoff; weakest weighted component was a." in got[0]["reason"]
+
+
+def test_upserts_hold_every_user_and_type(spark):
+    want = spark.read.parquet(f"{DIR}/events.parquet").select("user_id", "event_type").distinct().count()
+    for name in ("S10b_upsert", "S11b_upsert_coalesce", "S12b_upsert_partial"):
+        got = rows(spark, name)
+        assert len(got) == want == len({(r["user_id"], r["event_type"]) for r in got})
