@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lineup-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,7 +32,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +68,6 @@ def _draws(n: int, seed: int) -> np.ndarray:
 
 _BYTE = _draws(256, 11)
 _P = 0x5851F42D4C957F2D
-_POWERS = np.array([pow(_P, k, 1 << 64) for k in range(64)], dtype=np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -68,44 +81,40 @@ def lower_ascii(data: bytes) -> bytes:
     return data.translate(_LOWER)
 
 
-def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes as an array, and first byte and end of each word ``[^\\x20\\x09-\\x0D]+``."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        none = np.zeros(0, dtype=np.int64)
-        return raw, none, none
-    word = ~_SPACE[raw]
-    edge = np.diff(word.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 #: About 64 KB that end with a whole word, so that the hashing of a very long text needs no arrays of its length.
 _PIECE = re.compile(rb"(?s).{1,65536}[^\x20\x09-\x0D]*")
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64; the tables grow with the longest piece, so with the longest word."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        _TABLES[:] = [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, p, dtype=np.uint64))]) for p in (np.uint64(_P), np.uint64(pow(_P, -1, 1 << 64)))]
+    return _TABLES
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash for each word of ``data``, a piece of whole words at a time."""
+    if len(data) <= 65536:
+        return _piece_hashes(data)
     parts = [_piece_hashes(m.group()) for m in _PIECE.finditer(data)]
-    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
 
 
 def _piece_hashes(data: bytes) -> np.ndarray:
-    """A polynomial over random byte values for each word, then mixed."""
-    raw, start, end = word_bounds(data)
-    if not len(start):
+    """A polynomial over random byte values for each word, from running sums over the piece, then mixed."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    if not len(raw):
         return np.zeros(0, dtype=np.uint64)
-    length = end - start
-    place = np.arange(len(raw), dtype=np.int64)
-    # every byte belongs to the last word that starts at or before it; bytes between words count as zero
-    inside = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(raw))))
-    place = place[start[0] :] - start[inside]
-    block, within = np.divmod(place, 64)
-    value = _BYTE[raw[start[0] :]] * _POWERS[within]
-    if block.any():
-        value = value + mix64(value + block.astype(np.uint64)) * (block > 0).astype(np.uint64)
-    value[_SPACE[raw[start[0] :]]] = 0
-    total = np.add.reduceat(value, start - start[0])
-    return mix64(total + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    space = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = np.concatenate([np.zeros(int(not space[0]), np.int64), edge, np.full(int(not space[-1]), len(raw))])
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(max(65536, len(raw)) + 1)
+    total = np.empty(len(raw) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -142,6 +151,19 @@ def values_of(batch: pa.RecordBatch, name: str):
     return (value.as_py() for value in column(batch, name))
 
 
+def fixed(values: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one width as the rows of a byte matrix."""
+    data = b"".join(v.as_buffer() for v in values)
+    return np.frombuffer(data, dtype=np.uint8).reshape(len(values), width)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bound the Arrow batches of a session by rows and bytes, so that long texts do not fill a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -56,9 +56,10 @@ def brute_components(docs):
 def test_near_duplicates(spark, monkeypatch):
     docs = corpus()
     want = brute_components(docs)
-    for small, depth in ((32, 2), (3, 1)):  # the second takes the branching and block paths
+    for small, depth, classes in ((4096, 3, 4096), (3, 1, 4096), (3, 2, 6)):  # the last two take the branching and block paths
         monkeypatch.setattr(near_dup, "SMALL", small)
         monkeypatch.setattr(near_dup, "DEPTH", depth)
+        monkeypatch.setattr(near_dup, "CLASSES", classes)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
         assert got == want
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
