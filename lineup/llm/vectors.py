@@ -8,11 +8,10 @@ Operator 1 (cosine): unit vectors are quantised to int8 with a scale per vector;
 the quantisation residuals bounds each cosine from both sides, and only pairs whose upper bound reaches the
 query's current k-th best are recomputed in double precision and pushed on the query's heap. No neighbour is lost.
 
-Operator 2 (integer inner product): means and deviations of segments, coarse to fine, give a lower bound of each distance
-and so an upper bound of each product; exact integer products are computed for survivors only.
-
-Where a product could leave the whole numbers that doubles hold (2^53), it is computed in Python's integers; a score beyond
-a bigint is an error.
+Operator 2 (integer inner product): vectors are turned to the principal axes of the cell's candidates, which changes no distance. Means and
+deviations of segments of the turned dimensions, coarse to fine (``_edges``), give a lower bound of each distance and so an upper
+bound of each product; exact products of the original whole components are computed for survivors only. Where a product
+could leave the whole numbers that doubles hold, the survivors are computed in Python's integers; a returned score beyond a bigint is an error.
 
 Rows take no part if the vector is null, empty, or holds null or non-finite components (operator 1: also zero vectors). Vectors of different length are never compared. Ids are keys: a row never
 meets a row of the same id, and of repeated ids the best score counts once. Ties go to the smaller id. Empty tables
@@ -30,17 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a tile, and the most rows of either side in a cell.
+#: Rows of a tile, and the most components (8 bytes each) of either side in a cell.
 TILE_Q, TILE_C = 256, 2048
-CELL_Q, CELL_C = 50_000, 200_000
+CELL_Q, CELL_C = 1_000_000, 4_000_000
 
 
-def _grid(spark, n_queries: int, n_rows: int) -> tuple[int, int]:
-    """Groups of queries and of candidates: bounded cells, at least a cell for each shuffle partition, little replication."""
+def _grid(spark, queries: tuple[int, int], rows: tuple[int, int]) -> tuple[int, int]:
+    """Groups of queries and of candidates, from (rows, components) of each: bounded cells, at least a cell for each shuffle partition, little replication."""
     want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ratio = max(1.0, n_rows / max(1, n_queries))
-    gq = max(math.ceil(n_queries / CELL_Q), math.ceil(math.sqrt(want / ratio)), 1)
-    return gq, max(math.ceil(n_rows / CELL_C), math.ceil(want / gq), 1)
+    ratio = max(1.0, rows[0] / max(1, queries[0]))
+    gq = max(math.ceil(queries[1] / CELL_Q), math.ceil(math.sqrt(want / ratio)), 1)
+    return gq, max(math.ceil(rows[1] / CELL_C), math.ceil(want / gq), 1)
 
 
 def _matrix(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -63,35 +62,48 @@ def _matrix(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarra
 
 
 class Best:
-    """The ``k`` best (score, smaller id) of each query, as heaps; ``floor`` is what a new score has to reach."""
+    """The ``k`` best (score, smaller id) of each query, as heaps; ``floor`` is what a new score has to reach.
+
+    ``repeated``: candidates may share an id, of which the best score is kept.
+    """
 
-    def __init__(self, n: int, k: int):
-        self.heaps, self.k = [[] for _ in range(n)], k
+    def __init__(self, n: int, k: int, repeated: bool = False):
+        self.heaps, self.k, self.repeated = [[] for _ in range(n)], k, repeated
         self.floor = np.full(n, -np.inf)
 
-    def push(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        if not len(q):
-            return
-        order = np.lexsort((ids, -scores, q))
-        q, ids, scores = q[order], ids[order], scores[order]
-        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-        keep = rank < self.k  # of repeated ids only one is pushed, see below
-        for a, i, s in zip(q[keep].tolist(), ids[keep].tolist(), scores[keep].tolist(), strict=True):
-            heap = self.heaps[a]
-            if len(heap) < self.k:
-                heapq.heappush(heap, (s, -i))
-            elif (s, -i) > heap[0]:
-                heapq.heapreplace(heap, (s, -i))
-            if len(heap) == self.k:
-                self.floor[a] = heap[0][0]
-
-    def push_one(self, a: int, i: int, s) -> None:
+    def _one(self, a: int, i: int, s) -> bool:
         heap = self.heaps[a]
+        if self.repeated:
+            for n, (old, own) in enumerate(heap):
+                if own == -i:
+                    if s > old:
+                        heap[n] = (s, -i)
+                        heapq.heapify(heap)
+                    return len(heap) == self.k
         if len(heap) < self.k:
             heapq.heappush(heap, (s, -i))
         elif (s, -i) > heap[0]:
             heapq.heapreplace(heap, (s, -i))
+        return len(heap) == self.k
+
+    def push(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(q):
+            return
+        if not self.repeated:
+            order = np.lexsort((ids, -scores, q))
+            q, ids, scores = q[order], ids[order], scores[order]
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < self.k
+            q, ids, scores = q[keep], ids[keep], scores[keep]
+        for a, i, s in zip(q.tolist(), ids.tolist(), scores.tolist(), strict=True):
+            if self._one(a, i, s):
+                self.floor[a] = self.heaps[a][0][0]
+
+    def push_whole(self, q: np.ndarray, ids: np.ndarray, scores: list[int]) -> None:
+        """As ``push`` for whole scores of any size, which are compared as they are."""
+        for a, i, s in zip(q.tolist(), ids.tolist(), scores, strict=True):
+            if self._one(a, i, s):
+                self.floor[a] = np.nextafter(float(self.heaps[a][0][0]), -np.inf)
 
 
 def cosine_cell(qi, q, ci, c, best: Best) -> None:
@@ -119,88 +131,90 @@ def cosine_cell(qi, q, ci, c, best: Best) -> None:
             same = qi[rows, None] == ci[None, cols]
             low[same], high[same] = -np.inf, -np.inf
             floor = best.floor[rows]
-            if low.shape[1] >= best.k:
+            if low.shape[1] >= best.k and not best.repeated:
                 floor = np.maximum(floor, np.partition(low, -best.k, axis=1)[:, -best.k])
             i, j = np.nonzero((high >= floor[:, None]) & ~same)
             score = np.einsum("ij,ij->i", q[a + i], c[b + j]) / (qn[a + i] * cn[b + j])
             best.push(a + i, ci[b + j], score)
 
 
-def _segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, deviations and lengths of ``n`` segments of each row."""
-    edge = np.linspace(0, x.shape[1], n + 1).astype(int)
+def _axes(x: np.ndarray) -> np.ndarray:
+    """Principal axes of the rows (of at most 4,096 of them, evenly taken), largest variance first: an orthogonal turn, which changes no distance."""
+    some = x[:: max(1, len(x) // 4096)]
+    some = some / max(1.0, np.abs(some).max())
+    some = some - some.mean(axis=0)
+    return np.linalg.eigh(some.T @ some)[1][:, ::-1]
+
+
+def _edges(d: int) -> list[np.ndarray]:
+    """Segment borders of each level, coarse to fine: on a level a fourth, half, three fourths of the (turned) dimensions stand alone and
+    the rest lies in four segments."""
+    out = [np.unique(np.linspace(0, d, min(d, 4) + 1).astype(int))]
+    for alone in (d // 4, d // 2, 3 * d // 4):
+        if alone:
+            out.append(np.unique(np.concatenate([np.arange(alone), np.linspace(alone, d, min(d - alone, 4) + 1).astype(int)])))
+    return out
+
+
+def _segments(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Means and deviations of each row's segments, weighted so that squared differences of rows add up to the bound."""
     size = np.diff(edge).astype(np.float64)
     mean = np.add.reduceat(x, edge[:-1], axis=1) / size
     square = np.add.reduceat(x * x, edge[:-1], axis=1) / size
-    return mean, np.sqrt(np.maximum(square - mean * mean, 0)), size
-
-
-def _whole_products(qi, q, ci, c, best: Best) -> None:
-    """Every product of two sides in Python's integers, by the query; rows of any size."""
-    q, c = ([[int(v) for v in row] for row in x.tolist()] for x in (q, c))
-    for a, (i, x) in enumerate(zip(qi.tolist(), q, strict=True)):
-        at = np.flatnonzero(ci != i)
-        scores = [sum(v * w for v, w in zip(x, c[b], strict=True)) for b in at.tolist()]
-        # the heaps are exact for integers; a pair is pushed by itself, as numpy would round
-        for b, s in zip(ci[at].tolist(), scores, strict=True):
-            best.push_one(a, b, s)
-
-
-def product_cell(qi, q, ci, c, best: Best) -> None:
-    """As ``cosine_cell`` for integer vectors and inner products."""
-    d = q.shape[1]
-    # sums of d products of two components below 2^k each stay below 2^53; also their squares and differences
-    fit = math.sqrt((1 << 51) / d)
-    far_q, far_c = np.abs(q).max(axis=1) >= fit, np.abs(c).max(axis=1) >= fit
-    if far_q.any() or far_c.any():
-        _whole_products(qi[far_q], q[far_q], ci, c, far := Best(int(far_q.sum()), best.k))
-        for a, heap in zip(np.flatnonzero(far_q).tolist(), far.heaps, strict=True):
-            best.heaps[a] = heap
-        near_q, near_c = ~far_q, ~far_c
-        own = Best(int(near_q.sum()), best.k)
-        if near_q.any():
-            if near_c.any():
-                product_cell(qi[near_q], q[near_q], ci[near_c], c[near_c], own)
-            _whole_products(qi[near_q], q[near_q], ci[far_c], c[far_c], own)
-        for a, heap in zip(np.flatnonzero(near_q).tolist(), own.heaps, strict=True):
-            best.heaps[a] = heap
-        return
-    levels = [n for n in (4, 16) if n < d]
-    stats = [(_segments(q, n), _segments(c, n)) for n in levels]
+    deviation = np.sqrt(np.maximum(square - mean * mean, 0))
+    several = size > 1  # a segment of one dimension has no deviation
+    return np.concatenate([mean * np.sqrt(size), deviation[:, several] * np.sqrt(size[several])], axis=1)
+
+
+def _exact(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, safe: bool) -> list[int]:
+    """Whole inner products of pairs of rows; ``safe``: all sums are whole numbers that doubles hold."""
+    if safe:
+        return np.einsum("ij,ij->i", q[i], c[j]).astype(np.int64).tolist()
+    return [sum(int(v) * int(w) for v, w in zip(q[a], c[b], strict=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def product_cell(qi, q, ci, c, best: Best) -> int:
+    """Push each query's candidates of largest integer product of one cell; the number of pairs that were computed exactly.
+
+    A pair is left out where the product that its lower-bound distance allows stays under the query's k-th best, on the
+    coarsest level that shows it. ``slack`` is more than the rounding of the bounds.
+    """
+    axes = _axes(c)
+    turned_q, turned_c = q @ axes, c @ axes
+    levels = [(_segments(turned_q, e), _segments(turned_c, e)) for e in _edges(q.shape[1])]
     q2, c2 = (q * q).sum(axis=1), (c * c).sum(axis=1)
-    slack = 1e-6 * (1 + q2[:, None] ** 0.5 * np.sqrt(c2.max()))
+    safe = bool(math.sqrt(q2.max() * c2.max()) < 1 << 52)
+    tried = 0
+
+    def survivors(a, b, i, j):
+        nonlocal tried
+        tried += len(i)
+        best.push_whole(a + i, ci[b + j], _exact(q, c, a + i, b + j, safe))
+
     for a in range(0, len(q), TILE_Q):
         rows = slice(a, a + TILE_Q)
         for b in range(0, len(c), TILE_C):
             cols = slice(b, b + TILE_C)
             alive = qi[rows, None] != ci[None, cols]
             norms = q2[rows, None] + c2[None, cols]
-            for (qm, qd, size), (cm, cd, _) in stats:
-                def near(x, y, size=size):  # sum over segments of size * (x - y)^2
-                    w = np.sqrt(size)
-                    x, y = x * w, y * w
-                    return (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
-
-                bound = near(qm[rows], cm[cols]) + near(qd[rows], cd[cols])  # at most the squared distance
-                high = np.where(alive, (norms - bound) / 2 + slack[rows], -np.inf)
-                floor = best.floor[rows]
-                if not np.isfinite(floor).all() and high.shape[1] > best.k:  # start the heaps with the most promising
+            slack = 1e-12 * norms
+            for n, (x, y) in enumerate(levels):
+                x, y = x[rows], y[cols]
+                bound = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)  # at most the squared distance
+                high = np.where(alive, (norms - bound) / 2 + slack, -np.inf)
+                if n + 1 == len(levels) and not np.isfinite(best.floor[rows]).all() and high.shape[1] > best.k:
+                    # the heaps start with the most promising pairs
                     top = np.argpartition(high, -best.k, axis=1)[:, -best.k :]
-                    i = np.repeat(np.arange(len(high)), best.k)
-                    j = top.ravel()
-                    live = alive[i, j]
-                    i, j = i[live], j[live]
-                    best.push(a + i, ci[b + j], np.einsum("ij,ij->i", q[a + i], c[b + j]))
+                    i, j = np.repeat(np.arange(len(high)), best.k), top.ravel()
+                    i, j = i[alive[i, j]], j[alive[i, j]]
+                    survivors(a, b, i, j)
                     alive[i, j] = False
-                    floor = best.floor[rows]
-                alive &= high >= floor[:, None]
-            if alive.mean() > 0.05:
-                exact = q[rows] @ c[cols].T
-                i, j = np.nonzero(alive & (exact >= best.floor[rows, None]))
-                best.push(a + i, ci[b + j], exact[i, j])
-            else:
-                i, j = np.nonzero(alive)
-                best.push(a + i, ci[b + j], np.einsum("ij,ij->i", q[a + i], c[b + j]))
+                alive &= high >= best.floor[rows, None]
+                if not alive.any():
+                    break
+            i, j = np.nonzero(alive)
+            survivors(a, b, i, j)
+    return tried
 
 
 def _prepare_cosine(ids, x):
@@ -219,11 +233,12 @@ def top_k(df: DataFrame, prepare, cell, score: str, k: int = 5, every: int = 50,
     spark = df.sparkSession
     rows = df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     queries = rows.where(F.col("id") % every == 0)
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
-    gq, gc = _grid(spark, sizes["q"], sizes["n"])
-    own = F.pmod(F.xxhash64("id"), F.lit(gc)).cast("int")
+    own, size = F.col("id") % every == 0, F.size("vector")
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if(own).alias("q"), F.sum(size).alias("nd"), F.sum(F.when(own, size)).alias("qd")).first()
+    gq, gc = _grid(spark, (sizes["q"], sizes["qd"] or 0), (sizes["n"], sizes["nd"] or 0))
+    place = F.pmod(F.xxhash64("id"), F.lit(gc)).cast("int")
     left = queries.select(F.pmod(F.xxhash64("id"), F.lit(gq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(gc - 1))).alias("b"), "id", "vector")
-    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(gq - 1))).alias("a"), own.alias("b"), "id", "vector")
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(gq - 1))).alias("a"), place.alias("b"), "id", "vector")
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         found = [[], [], []]
@@ -231,12 +246,7 @@ def top_k(df: DataFrame, prepare, cell, score: str, k: int = 5, every: int = 50,
             xs, ys = _matrix(x, "vector"), _matrix(y, "vector")
             for d in xs.keys() & ys.keys():
                 (qi, q), (ci, c) = prepare(*xs[d]), prepare(*ys[d])
-                qi, at = np.unique(qi, return_index=True)
-                q = q[at]
-                if len(np.unique(ci)) < len(ci):  # repeated ids: a longer list, so that k distinct ids are in it
-                    best = Best(len(qi), k * int(np.unique(ci, return_counts=True)[1].max()))
-                else:
-                    best = Best(len(qi), k)
+                best = Best(len(qi), k, repeated=len(np.unique(ci)) < len(ci))
                 if len(qi) and len(ci):
                     cell(qi, q, ci, c, best)
                 for i, heap in zip(qi.tolist(), best.heaps, strict=True):

@@ -221,3 +221,40 @@ def test_quality_learns(spark):
     assert got[1000] == got[1001] and 0 <= got[1000] <= 1
     none = quality.scored(df.limit(0), lab, name="own")
     assert none.count() == 0
+
+
+def test_segment_bounds_leave_few_pairs():
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * rng.normal(size=(3000, 64)) / 8)
+    ids = np.arange(len(x))
+    best = vectors.Best(60, 5)
+    tried = vectors.product_cell(ids[::50], x[::50], ids, x, best)
+    assert tried < 0.35 * 60 * len(x)  # vectors without any structure; the rest was left out by the bounds
+    near = rng.integers(0, 12, len(x))
+    y = np.floor(x / 8) + np.floor(300 * rng.normal(size=(12, 64)))[near]
+    best = vectors.Best(60, 5)
+    tried = vectors.product_cell(ids[::50], y[::50], ids, y, best)
+    assert tried < 0.1 * 60 * len(x)
+    for a, heap in enumerate(best.heaps):
+        want = sorted(((-int(y[50 * a] @ y[k]), k) for k in range(len(y)) if k != 50 * a))[:5]
+        assert sorted((-s, -k) for s, k in heap) == want
+
+
+def test_repeated_ids_and_huge_components(spark):
+    rows = [(k, [float((k * 7 + j) % 5) for j in range(4)]) for k in range(60)] + [(7, [9.0] * 4), (7, [9.0] * 4), (0, [1.0] * 4)]
+    rows += [(70, [float(1 << 30)] * 4), (71, [-float(1 << 30), float(1 << 30), 0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.largest_products(df.where("vec_id <> 70")).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 50} and all(len({v for v, _ in x}) == 5 for x in got.values())
+    whole = [[int(np.floor(256 * v)) for v in x] for _, x in rows]
+    for q in got:
+        scores = {}
+        for (k, _), x in zip(rows, whole):
+            if k not in (q, 70):
+                for (own, _), y in zip(rows, whole):
+                    if own == q:
+                        scores[k] = max(scores.get(k, -(1 << 70)), sum(a * b for a, b in zip(x, y)))
+        best = sorted((-s, k) for k, s in scores.items())[:5]
+        assert sorted((-s, k) for k, s in got[q]) == best
