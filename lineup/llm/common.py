@@ -93,11 +93,16 @@ def _powers(n: int) -> list[np.ndarray]:
     return _TABLES
 
 
+def pieces(data: bytes):
+    """The text in pieces of whole words."""
+    return [data] if len(data) <= 65536 else (m.group() for m in _PIECE.finditer(data))
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash for each word of ``data``, a piece of whole words at a time."""
     if len(data) <= 65536:
         return _piece_hashes(data)
-    parts = [_piece_hashes(m.group()) for m in _PIECE.finditer(data)]
+    parts = [_piece_hashes(x) for x in pieces(data)]
     return np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
 
 

@@ -7,7 +7,8 @@ and their weights are averaged. The weights, of fixed size, are broadcast; every
 dot product.
 
 Defined results: null and empty texts have no features and score the intercept; rows without a label are only scored; null labels or ids
-do not train; without any label every score is 0.5; repeated rows give repeated rows; extra columns are not read.
+do not train, rows with a null id are not held out; of several labels of an id the smallest counts; without any label every score is 0.5;
+repeated rows give repeated rows; extra columns are not read. Texts are counted whole, in pieces, whatever their length.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineup.llm.common import _BYTE, column, documents, mix64, utf8
+from lineup.llm.common import _BYTE, _powers, documents, mix64, pieces, small_batches, utf8, values_of
 
 SLOTS = 1 << 18
 SAMPLE, SHARDS, UPDATES = 16_000, 4, 12_000
@@ -26,26 +27,46 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.01
 #: Documents under this score are rejected.
 KEEP = 0.7
 _KIND = np.array([0 if b in b" \t\n\r\x0b\x0c" else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.int8)
-_POWER = np.array([pow(0x5851F42D4C957F2D, k, 1 << 64) for k in range(256)], dtype=np.uint64)
+
+
+def _tokens(data: bytes) -> np.ndarray:
+    """A hash for each run of letters and digits and each run of marks."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    if not len(raw):
+        return np.zeros(0, dtype=np.uint64)
+    kind = _KIND[raw]
+    edge = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(kind[1:] != kind[:-1]) + 1, np.full(1, len(raw))])
+    up, down = _powers(max(65536, len(raw)) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    start, end = edge[:-1], edge[1:]
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))[kind[start] > 0]
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text; slot 0 is the intercept."""
-    raw = np.frombuffer(utf8(text), dtype=np.uint8)
-    if len(raw):
-        kind = _KIND[raw]
-        edge = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
-        length = np.diff(np.r_[edge, len(raw)])
-        place = np.arange(len(raw)) - np.repeat(edge, length)
-        total = np.add.reduceat(_BYTE[raw] * _POWER[place & 255] + (place >> 8).astype(np.uint64), edge)
-        word = mix64(total)[kind[edge] > 0]
+    """Slots and values of a text; slot 0 is the intercept. Long texts are counted a piece at a time."""
+    found, last = [], np.zeros(0, dtype=np.uint64)
+    for piece in pieces(utf8(text)):
+        word = np.concatenate([last, _tokens(piece)])  # the last token of a piece starts a bigram with the next one
         again = word[1:] == word[:-1]  # a repeated word is one bigram whatever the word
-        grams = np.concatenate([word, mix64(word[:-1] * np.uint64(3) + word[1:]), np.full(again.sum(), 12345, dtype=np.uint64)])
-        slot, count = np.unique((grams % np.uint64(SLOTS - 1)).astype(np.int64) + 1, return_counts=True)
-        if len(slot):
-            value = np.sqrt(count)
-            return np.r_[0, slot], np.r_[1.0, value / np.sqrt((value * value).sum())]
-    return np.zeros(1, np.int64), np.ones(1)
+        grams = np.concatenate([word[len(last) :], mix64(word[:-1] * np.uint64(3) + word[1:]), np.full(again.sum(), 12345, dtype=np.uint64)])
+        found.append(np.unique((grams % np.uint64(SLOTS - 1)).astype(np.int32) + 1, return_counts=True))
+        last = word[-1:]
+        if len(found) == 64:
+            found = [_joined(found)]
+    slot, count = _joined(found)
+    if not len(slot):
+        return np.zeros(1, np.int32), np.ones(1)
+    value = np.sqrt(count)
+    return np.concatenate([np.zeros(1, np.int32), slot]), np.concatenate([np.ones(1), value / np.sqrt((value * value).sum())])
+
+
+def _joined(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and their counts over several pieces."""
+    if len(found) == 1:
+        return found[0]
+    slot, place = np.unique(np.concatenate([np.zeros(0, np.int32), *(s for s, _ in found)]), return_inverse=True)
+    return slot, np.bincount(place, np.concatenate([np.zeros(0, np.int64), *(c for _, c in found)]), minlength=len(slot))
 
 
 def sigmoid(x):
@@ -93,12 +114,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether a row is never learned from; rows without an id are."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name``: the probability of label 1."""
-    target = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_doc"), F.col(label).alias("label")).dropDuplicates(["label_doc"])
+    small_batches(docs.sparkSession)
+    target = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_doc")).agg(F.min(label).alias("label"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # the hash that picks the sample is applied to both sides before the join
     weights = docs.sparkSession.sparkContext.broadcast(fit(rows.join(target, rows["doc_id"] == target["label_doc"]).select("doc_id", "text", "label")).astype(np.float32))
@@ -106,7 +129,7 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def run(batches):
         w = weights.value
         for b in batches:
-            s = [float(sigmoid(w[at] @ x)) for at, x in map(features, column(b, text).to_pylist())]
+            s = [float(sigmoid(w[at] @ x)) for at, x in map(features, values_of(b, text))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType

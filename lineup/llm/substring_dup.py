@@ -10,8 +10,9 @@ packed bits with rank directories, and each segment is streamed against the inde
 interval of equal places and the smallest document among them, which gives the matching statistics that decide whether a
 window of threshold length starts in a smaller document.
 
+Of a segment's places only the first in its smallest document is searched, the others take over what is found, so a periodic text does not fill a shard.
 Anchors with more than ``SHARD_SEGMENTS`` distinct segments are dealt over several shards by a hash; the windows of those anchors are also
-compared between shards by their hash, so no shard and no task grows with a frequent passage, and no repeat is lost.
+compared between shards by their anchor and hash, so no shard and no task grows with a frequent passage, and no repeat is lost.
 
 Defined results: null, empty and short texts (under ``WINDOW`` words) lose nothing; doc_id is the key: rows that share one must hold the
 same text, and a window never counts as repeated by rows of its own doc_id; a null doc_id keeps its text; empty tables give no rows;
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineup.llm.common import column, documents, free_name, gram_hashes, materialize, mix64, signed, utf8, word_hashes
+from lineup.llm.common import column, discard, documents, free_name, gram_hashes, materialize, mix64, pieces, signed, small_batches, utf8, values_of, word_hashes
 
 WINDOW, GRAM = 50, 8
 SPREAD = WINDOW - GRAM + 1
@@ -66,18 +67,23 @@ class Ranges:
         return mix64(total + (end - start).astype(np.uint64))
 
 
-_INVERSE = np.ones(1, dtype=np.uint64)
+def _inverse_powers(n: int) -> np.ndarray:
+    p = np.full(n, np.uint64(pow(_BASE, -1, 1 << 64)), dtype=np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+_INVERSE: list[np.ndarray] = []
 
 
 def _inverse(start: np.ndarray) -> np.ndarray:
-    """Inverse powers of the base modulo 2^64, from a table that grows to the longest document seen."""
-    global _INVERSE
+    """Inverse powers of the base modulo 2^64; a table of 8 MB is kept, longer ones serve one document."""
     need = int(start.max(initial=0)) + 1
-    if need > len(_INVERSE):
-        p = np.full(2 * need, np.uint64(pow(_BASE, -1, 1 << 64)), dtype=np.uint64)
-        p[0] = 1
-        _INVERSE = np.multiply.accumulate(p)
-    return _INVERSE[start]
+    if need > 1 << 20:
+        return _inverse_powers(need)[start]
+    if not _INVERSE:
+        _INVERSE.append(_inverse_powers(1 << 20))
+    return _INVERSE[0][start]
 
 
 def segments(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +105,7 @@ def segments(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def _scan(batches):
     for b in batches:
         out = [[] for _ in range(5)]
-        for doc, text in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist(), strict=True):
+        for doc, text in zip(values_of(b, "doc_id"), values_of(b, "text"), strict=True):
             anchor, seg, start, count = segments(word_hashes(utf8(text)))
             if len(anchor):
                 for c, v in zip(out, (signed(anchor), signed(seg), np.full(len(anchor), doc), start, count), strict=True):
@@ -230,7 +236,7 @@ def matching(index: FMIndex, text: np.ndarray, begin: np.ndarray, windows: np.nd
 
 
 def _search(batches):
-    """Covered word ranges of segments (kind 0) and, for anchors on several shards, their windows (kind 1)."""
+    """Covered word ranges of segments (kind 0) and, for anchors on several shards, their windows (kind 1); ``place`` is the segment's start."""
     rows, size = [], 0
 
     def flush(rows):
@@ -255,18 +261,18 @@ def _search(batches):
             at = np.array(inner)
             hit, _ = matching(index, text, np.array(begin)[at[:, 0]] + at[:, 1], np.ones(len(at), dtype=np.int64), docs[at[:, 0]])
             found = {pair for pair, h in zip(inner, hit.tolist(), strict=True) if h >= 0}
-        out = [[] for _ in range(5)]
+        out = [[] for _ in range(7)]
         for place, (r, w, a, z) in enumerate(zip(rows, hashed, first.tolist(), last.tolist(), strict=True)):
             if a >= 0:
-                for c, v in zip(out, (0, r["doc_id"], r["start"] + a, r["start"] + z + WINDOW, 0), strict=True):
+                for c, v in zip(out, (0, r["doc_id"], r["start"] + a, r["start"] + z + WINDOW, r["anchor"], 0, r["start"]), strict=True):
                     c.append(v)
             if r["shards"] > 1:
                 n = np.arange(r["windows"])
                 for k, h in zip(n.tolist(), signed(Ranges(w).of(n, n + WINDOW)).tolist(), strict=True):
                     if k not in (a, z) and (place, k) not in found:
-                        for c, v in zip(out, (1, r["doc_id"], r["start"] + k, r["start"] + k + WINDOW, h), strict=True):
+                        for c, v in zip(out, (1, r["doc_id"], r["start"] + k, r["start"] + k + WINDOW, r["anchor"], h, r["start"]), strict=True):
                             c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["kind", "doc_id", "start", "end", "hash"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["kind", "doc_id", "start", "end", "anchor", "hash", "place"])
 
     last = None
     for b in batches:
@@ -282,58 +288,93 @@ def _search(batches):
         yield flush(rows)
 
 
+def _slices(data: bytes, wanted: list):
+    """The words of each wanted segment (sorted by start), from a text that is read in pieces."""
+    held, base, k = [], 0, 0
+    for piece in pieces(data):
+        held += piece.split()
+        while k < len(wanted) and wanted[k]["start"] + wanted[k]["windows"] - 1 + WINDOW <= base + len(held):
+            at = wanted[k]["start"] - base
+            yield wanted[k], b" ".join(held[at : at + wanted[k]["windows"] - 1 + WINDOW])
+            k += 1
+        if k == len(wanted):
+            return
+        drop = min(len(held), max(0, wanted[k]["start"] - base))
+        held, base = held[drop:], base + drop
+
+
 def _cut(batches):
     """The words of the requested segments of each document."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     for b in batches:
         out = [[] for _ in range(7)]
-        for doc, text, wanted in zip(column(b, "doc_id").to_pylist(), column(b, "text").to_pylist(), column(b, "wanted").to_pylist(), strict=True):
-            words = utf8(text).split()
-            for r in wanted:
-                part = b" ".join(words[r["start"] : r["start"] + r["windows"] - 1 + WINDOW])
+        for doc, text, wanted in zip(values_of(b, "doc_id"), values_of(b, "text"), values_of(b, "wanted"), strict=True):
+            for r, part in _slices(utf8(text), sorted(wanted, key=lambda r: r["start"])):
                 for c, v in zip(out, (r["anchor"], r["shard"], r["shards"], doc, r["start"], r["windows"], part), strict=True):
                     c.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "shard", "shards", "doc_id", "start", "windows", "words"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans``: word ranges (start, end) to remove, for documents (``doc_id`` long, ``text``) that have any."""
+    small_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    scan = docs.mapInArrow(_scan, SEGMENT)
+    scan = materialize(docs.mapInArrow(_scan, SEGMENT), "repeats-scan")
     shared = scan.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
     shared = materialize(shared, "repeats-anchors")
     rows = materialize(scan.join(shared, "anchor"), "repeats-segments")
-    sources = rows.groupBy("anchor", "seg").agg(F.min("doc_id").alias("source"))
+    discard(scan, shared)
+    # of a segment's places only the first of its smallest document is searched
+    sources = rows.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("anchor", "seg", F.col("at.doc_id").alias("source"), F.col("at.start").alias("place"), F.lit(1).alias("one"))
     sources = materialize(sources, "repeats-sources")
-    placed = rows.join(sources, ["anchor", "seg"])
-    copies = placed.where("doc_id > source").select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") - 1 + WINDOW).cast("long").alias("end"))
-    several = materialize(sources.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeats-several")
+    several = materialize(sources.groupBy("anchor").agg(F.sum("one").alias("n")).where("n > 1"), "repeats-several")
+    placed = rows.join(sources.drop("one"), ["anchor", "seg"])
+    end = F.col("start") + F.col("windows") - 1 + WINDOW
+    copies = placed.where("doc_id > source").select("doc_id", F.col("start").cast("long").alias("start"), end.cast("long").alias("end"))
+    again = placed.where("doc_id = source and start <> place").select("doc_id", F.col("place").cast("long").alias("place"), F.col("start").cast("long").alias("moved"))
+    again = materialize(again, "repeats-again")
     shards = F.ceil(F.col("n") / SHARD_SEGMENTS).cast("int")
-    # all places of a segment in its source document
-    wanted = placed.where("doc_id = source").join(several, "anchor").withColumn("shards", shards)
+    wanted = placed.where("doc_id = source and start = place").join(several, "anchor").withColumn("shards", shards)
     wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("source", "start"), F.col("shards")).cast("int"))
     wanted = wanted.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "shard", "shards", "start", "windows")).alias("wanted"))
     wanted = materialize(wanted, "repeats-wanted")
     cut = docs.join(wanted, "doc_id").mapInArrow(_cut, "anchor long, shard int, shards int, doc_id long, start int, windows int, words binary")
-    found = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard").mapInArrow(_search, "kind long, doc_id long, start long, end long, hash long")
+    found = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard").mapInArrow(_search, "kind long, doc_id long, start long, end long, anchor long, hash long, place long")
     found = materialize(found, "repeats-found")
-    between = found.where("kind = 1").select("hash", "doc_id", "start", "end")
-    least = materialize(between.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least"), "repeats-between")
-    more = between.join(least, "hash").where("doc_id > least").select("doc_id", "start", "end")
-    spans = copies.unionByName(found.where("kind = 0").select("doc_id", "start", "end")).unionByName(more)
-    return materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats-spans")
-
-
-def _keep(words: list[bytes], spans: list) -> list[bytes]:
-    if not spans:
-        return words
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
-    for s in spans:
-        a, z = min(s["start"], len(words)), min(s["end"], len(words))
-        edge[a] += 1
-        edge[z] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+    between = found.where("kind = 1").select("anchor", "hash", "doc_id", "start", "end", "place")
+    least = materialize(between.groupBy("anchor", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "hash", "least"), "repeats-between")
+    more = between.join(least, ["anchor", "hash"]).where("doc_id > least").select("doc_id", "start", "end", "place")
+    searched = found.where("kind = 0").select("doc_id", "start", "end", "place").unionByName(more)
+    shift = F.col("moved") - F.col("place")
+    moved = searched.join(again, ["doc_id", "place"]).select("doc_id", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
+    spans = copies.unionByName(searched.drop("place")).unionByName(moved)
+    spans = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats-spans")
+    discard(rows, sources, several, again, wanted, found, least)
+    return spans
+
+
+def kept_words(data: bytes, spans: list | None):
+    """For each piece of a text: its number of words, and those outside the spans."""
+    merged: list[list[int]] = []
+    for a, z in sorted((s["start"], s["end"]) for s in spans or ()):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z)
+        else:
+            merged.append([a, z])
+    base, k = 0, 0
+    for piece in pieces(data):
+        words = piece.split()
+        end, at, out = base + len(words), base, []
+        while k < len(merged) and merged[k][0] < end:
+            a, z = merged[k]
+            out += words[at - base : max(at, a) - base]
+            at = max(at, min(z, end))
+            if z > end:
+                break
+            k += 1
+        out += words[at - base :]
+        base = end
+        yield len(words), out
 
 
 def _with_spans(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
@@ -351,8 +392,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches):
         for b in batches:
             kept = []
-            for t, s in zip(column(b, text).to_pylist(), column(b, name).to_pylist(), strict=True):
-                kept.append(b" ".join(_keep(utf8(t).split(), s)).decode("utf-8", "surrogatepass") if s else t)
+            for t, s in zip(values_of(b, text), values_of(b, name), strict=True):
+                kept.append(b" ".join(b" ".join(w) for _, w in kept_words(utf8(t), s) if w).decode("utf-8", "surrogatepass") if s else t)
             cols = [pa.array(kept, b.schema.field(c).type) if c == text else column(b, c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -365,10 +406,13 @@ def digests(df: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             n, gone, sha = [], [], []
-            for t, s in zip(column(b, "text").to_pylist(), column(b, name).to_pylist(), strict=True):
-                words = utf8(t).split()
-                kept = _keep(words, s)
-                n.append(len(words)), gone.append(len(words) - len(kept)), sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            for t, s in zip(values_of(b, "text"), values_of(b, name), strict=True):
+                digest, total, left = hashlib.sha256(), 0, 0
+                for m, words in kept_words(utf8(t), s):
+                    if words:
+                        digest.update((b" " if left else b"") + b" ".join(words))
+                    total, left = total + m, left + len(words)
+                n.append(total), gone.append(total - left), sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return joined.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
