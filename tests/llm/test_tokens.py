@@ -107,3 +107,43 @@ def test_damaged_chunk_is_found(spark, tmp_path):
     spark.read.parquet(f"{folder}/recipes").write.parquet(str(tmp_path / "bad" / "recipes"))
     with pytest.raises(Exception, match="does not match its key"):
         token_store.read_digests(spark, str(tmp_path / "bad"), 2).collect()
+
+
+def test_targets_hold_until_a_queue_is_dry():
+    mix = packing.Mixture([5000, 3000, 2000, 96], 64, [1 << 29, 1 << 28, 1 << 28, 0])
+    dry = mix.phases[1][0]  # the first queue ends after 10,000 tokens, the two others just before or with it
+    assert 7900 <= dry <= 8100 and sum(mix.given(mix.windows)) == 10096 and mix.given(mix.windows) == mix.totals
+    for w in range(mix.windows):
+        a, z = mix.given(w), mix.given(w + 1)
+        assert all(x <= y for x, y in zip(a, z)) and sum(a) == mix.border(w)
+        assert all(abs(d) < 4 for d in mix.deficits(w))
+        if mix.border(w + 1) <= dry:  # half, a quarter, a quarter, nothing of the source without a target
+            assert all(abs((y - x) - t) <= 2 for x, y, t in zip(a, z, (32, 16, 16, 0))) and z[3] == 0
+    assert packing.Mixture([], 64).windows == 0
+
+
+def test_packing_with_targets(spark):
+    rows = [(k, "the cat sat on the mat " * (3 + k % 5), ["a", "b", None, "c"][k % 4], "x", "y") for k in range(400)]
+    df, path, targets = frame(spark, rows), token_path("word_bpe_49k.json"), {"a": 0.6, "b": 0.3, None: 0.1}
+    source, n = {d: s for d, _, s, *_ in rows}, {}
+    for r in packing.pack(df.repartition(7), path, length=128, targets=targets).collect():
+        key = (r["sequence_id"], source[r["doc_id"]])
+        n[key] = n.get(key, 0) + r["length"]
+    report = packing.mixture_report(df.repartition(7), path, targets, length=128).collect()
+    assert {(r["sequence_id"], r["source"]): r["tokens"] for r in report if r["tokens"]} == n
+    first = [w for w in range(5)]
+    for w in first:  # before any queue is dry
+        assert abs(n[w, "a"] - 76.8) < 3 and abs(n[w, "b"] - 38.4) < 3 and abs(n[w, None] - 12.8) < 3 and (w, "c") not in n
+    assert all(abs(r["deficit"]) < 4 for r in report) and any(r["deficit"] != 0 for r in report)
+
+
+def test_many_sources_share_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 5)
+    rows = [(k, "word " * (k % 9), f"source {k % 40}", "x", "y") for k in range(200)]
+    got = packing.pack(frame(spark, rows), token_path("word_bpe_49k.json"), length=64, targets={"source 3": 1.0}).collect()
+    assert {r["doc_id"] for r in got} == set(range(200))
+    sizes = {}
+    for r in got:
+        sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
+    assert sum(sizes.values()) == sum(r["doc_tokens"] for r in got if r["start"] == 0) and all(s == 64 or s & (s - 1) == 0 for s in sizes.values())
+    assert {r["sequence_id"] for r in got if r["doc_id"] % 40 == 3} == {0}
