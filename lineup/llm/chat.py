@@ -3,11 +3,12 @@
 A turn's content is an ordered array of parts ``struct<kind string, text string, ref string, units long>``. A visitor over the array
 flattens it into one string: text parts are escaped, an image, audio or document part becomes a placeholder
 ``<|kind:index:tokens|>``, and an attachment record (kind, reference, placeholder index, expanded token count) is kept. A turn is written
-as ``<|turn|>role LF content<|end|> LF``. Escaping touches control strings only and is undone exactly.
+as ``<|turn|>role LF content<|end|> LF``. Escaping touches control strings only and is undone exactly; kinds are escaped too, so neither a
+text nor a kind can write a turn or a placeholder, and reading back tells a placeholder from a text that looks like one.
 
-Defined results: null text is an empty part, a null role an empty role, null parts no parts; turns are ordered by turn number (nulls first),
-then role and content, so repeated rows stay in the conversation; rows with a null conversation id form one conversation;
-an empty table gives no rows; extra columns are not read. A conversation must fit in a row, as its digest covers all its text.
+Defined results: null text is an empty part, a null role an empty role, null parts no parts, a null kind the kind ``unknown``; empty text parts leave no
+trace; turns are ordered by turn number (nulls first), then role and content, so repeated rows stay in the conversation; a row with a null
+conversation id is a conversation of its own; an empty table gives no rows; extra columns are not read. A conversation must fit in a row, as its digest covers all its text.
 """
 
 from __future__ import annotations
@@ -35,6 +36,19 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _safe_name(x: Column) -> Column:
+    """A role or kind, without line ends and marks of placeholders."""
+    for raw, code in (("\n", "~n"), (":", "~c"), ("|", "~p")):
+        x = F.replace(x, F.lit(raw), F.lit(code))
+    return x
+
+
+def _name(x: Column) -> Column:
+    for raw, code in (("\n", "~n"), (":", "~c"), ("|", "~p")):
+        x = F.replace(x, F.lit(code), F.lit(raw))
+    return unescape(x)
+
+
 def text_part(text: Column) -> Column:
     """A message that is plain text, as an array of one part."""
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
@@ -48,7 +62,7 @@ def _tokens(part: Column) -> Column:
 
 
 def _visit(part: Column, index: Column) -> Column:
-    mark = F.concat(F.lit("<|"), F.coalesce(part["kind"], F.lit("unknown")), F.lit(":"), index.cast("string"), F.lit(":"), _tokens(part).cast("string"), F.lit("|>"))
+    mark = F.concat(F.lit("<|"), _safe_name(escape(F.coalesce(part["kind"], F.lit("unknown")))), F.lit(":"), index.cast("string"), F.lit(":"), _tokens(part).cast("string"), F.lit("|>"))
     return F.when(part["kind"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark)
 
 
@@ -58,13 +72,14 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         F.col(conv_id).alias("conv_id"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts")).alias("t"),
     )
-    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = rows.where(F.col("conv_id").isNull()).select("conv_id", F.array("t").alias("turns"))
+    rows = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).unionByName(alone)
     rows = rows.withColumn(
         "pieces",
         F.transform(
             "turns",
             lambda t: F.struct(
-                F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("~n")), F.lit("\n")).alias("head"),
+                F.concat(F.lit(OPEN), _safe_name(escape(t["role"])), F.lit("\n")).alias("head"),
                 F.array_join(F.transform(t["parts"], _visit), "").alias("body"),
                 (t["role"] == "assistant").alias("loss"),
             ),
@@ -94,14 +109,35 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]))
 
 
-def read_back(df: DataFrame) -> DataFrame:
-    """Undo ``format_chats``: ``turns`` (role, content, unescaped; placeholders of attachments stay) and ``loss_text``."""
+def _body(x: Column) -> Column:
+    return F.substr(x, F.instr(x, "\n") + 1, F.length(x) - F.instr(x, "\n") - len(CLOSE))
+
+
+def _parts(body: Column, turn: Column) -> Column:
+    """Typed parts of a formatted content: raw ``<|`` only opens placeholders there."""
+
+    def text(x):
+        return F.filter(
+            F.array(F.struct(F.lit("text").alias("kind"), unescape(x).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("tokens"))),
+            lambda p: p["text"] != "",
+        )
+
+    def rest(x):
+        mark = F.split(F.substring_index(x, "|>", 1), ":")
+        at = F.get(mark, F.lit(1)).cast("int")
+        ref = F.get(F.filter("attachments", lambda a: (a["turn_index"] == turn) & (a["part_index"] == at)), F.lit(0))["ref"]
+        own = F.struct(_name(F.get(mark, F.lit(0))).alias("kind"), F.lit(None).cast("string").alias("text"), ref.alias("ref"), F.get(mark, F.lit(2)).cast("bigint").alias("tokens"))
+        return F.concat(F.array(own), text(F.substr(x, F.instr(x, "|>") + 2)))
+
+    cut = F.split(body, r"<\|")
+    return F.flatten(F.transform(cut, lambda x, i: F.when(i == 0, text(x)).otherwise(rest(x))))
+
+
+def read_back(df: DataFrame, parts: bool = True) -> DataFrame:
+    """Undo ``format_chats``: ``turns`` (role, content, parts; unescaped; in content placeholders of attachments stay as they are written) and ``loss_text``."""
     turns = F.transform(
         F.slice(F.split("formatted", r"<\|turn\|>"), 2, 1 << 30),
-        lambda x: F.struct(
-            unescape(F.replace(F.substring_index(x, "\n", 1), F.lit("~n"), F.lit("\n"))).alias("role"),
-            unescape(F.substr(x, F.instr(x, "\n") + 1, F.length(x) - F.instr(x, "\n") - len(CLOSE))).alias("content"),
-        ),
+        lambda x, n: F.struct(_name(F.substring_index(x, "\n", 1)).alias("role"), unescape(_body(x)).alias("content"), *([_parts(_body(x), n).alias("parts")] if parts else [])),
     )
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
     return df.withColumns({"turns": turns, "loss_text": loss})
@@ -110,7 +146,7 @@ def read_back(df: DataFrame) -> DataFrame:
 def digests(df: DataFrame) -> DataFrame:
     """The counts and digests of formatted chats, from what is read back."""
     # a barrier keeps the long string from being built again for each use
-    back = read_back(df)
+    back = read_back(df, parts=False)
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -136,14 +172,15 @@ def query(spark, sf_dir):
 _ESCAPED = "text"
 for _raw, _safe in ESCAPES:
     _ESCAPED = f"replace({_ESCAPED}, '{_raw}', '{_safe}')"
+_NAME = "replace(replace(replace(role, chr(10), '~n'), ':', '~c'), '|', '~p')"
 SQL = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+WITH t AS (SELECT row_number() OVER () AS own, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (0, -7, 0, 'user', '</s>[INST] ok [/INST]'), (0, -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 g AS (SELECT conv_id, count(*) AS n_turns,
   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-  sum({len(OPEN) + 1 + len(CLOSE)} + length({_ESCAPED.replace("text", "role")}) + length(replace(role, chr(10), '~n')) - length(role) + length({_ESCAPED})) AS chars
-  FROM t GROUP BY conv_id)
+  sum({len(OPEN) + 1 + len(CLOSE)} + length({_ESCAPED.replace("text", "role")}) + length({_NAME}) - length(role) + length({_ESCAPED})) AS chars
+  FROM t GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN own END)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(chars AS BIGINT) AS formatted_chars FROM g
 """
