@@ -33,6 +33,8 @@ from lineup.llm.common import column, discard, documents, free_name, gram_hashes
 WINDOW, GRAM = 50, 8
 SPREAD = WINDOW - GRAM + 1
 SHARD_SEGMENTS = 512
+#: Ids (8 bytes each) that are broadcast at most, so that only the texts that are asked for are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Words of one FM-index.
 INDEX_WORDS = 200_000
 _BASE = 0x9E6C63D0876A9A47
@@ -315,6 +317,14 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "shard", "shards", "doc_id", "start", "windows", "words"])
 
 
+def _picked(docs: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame | None:
+    """The documents of some ids without a shuffle of the texts, where the ids are few enough to be broadcast; else all documents, or None for the others."""
+    if ids.count() > BROADCAST_ROWS:
+        return docs if how == "left_semi" else None
+    one = ids.toDF("picked_id_")
+    return docs.join(F.broadcast(one), docs[key].cast("long") == one["picked_id_"], how)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans``: word ranges (start, end) to remove, for documents (``doc_id`` long, ``text``) that have any."""
     small_batches(docs.sparkSession)
@@ -338,7 +348,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("source", "start"), F.col("shards")).cast("int"))
     wanted = wanted.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "shard", "shards", "start", "windows")).alias("wanted"))
     wanted = materialize(wanted, "repeats-wanted")
-    cut = docs.join(wanted, "doc_id").mapInArrow(_cut, "anchor long, shard int, shards int, doc_id long, start int, windows int, words binary")
+    cut = _picked(docs, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").mapInArrow(_cut, "anchor long, shard int, shards int, doc_id long, start int, windows int, words binary")
     found = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard").mapInArrow(_search, "kind long, doc_id long, start long, end long, anchor long, hash long, place long")
     found = materialize(found, "repeats-found")
     between = found.where("kind = 1").select("anchor", "hash", "doc_id", "start", "end", "place")
@@ -381,7 +391,10 @@ def _with_spans(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
     spans = repeated_spans(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     name, key = free_name(df, "spans"), free_name(df, "span_doc")
     spans = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(name))
-    return df.join(spans, df[doc_id].cast("long") == spans[key], "left").drop(key), name
+    rest = _picked(df, doc_id, spans.select(key), "left_anti")
+    some = df if rest is None else _picked(df, doc_id, spans.select(key))
+    some = some.join(spans, some[doc_id].cast("long") == spans[key], "left").drop(key)
+    return (some if rest is None else some.unionByName(rest.withColumn(name, F.lit(None).cast(some.schema[name].dataType)))), name
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
