@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from lineup.functions.scalars import first_last, levenshtein_ratio
@@ -15,12 +16,15 @@ from lineup.functions.scalars import first_last, levenshtein_ratio
 STRICT, RELAXED, MARGIN, IN_ROSTER, OVERALL, CLOSE = 0.82, 0.75, 0.05, 0.88, 0.90, 3
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity by matching blocks, as Python's sequence matcher has it; NULL beside NULL."""
+def _blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Similarity by matching blocks, as Python's sequence matcher has it; NULL beside NULL."""
+    return F.pandas_udf(_blocks_ratio, DoubleType())(a, b)
+
+
 def _ratio(how: str, a: Column, b: Column) -> Column:
     if how not in ("edits", "sequence"):
         raise ValueError("how is edits or sequence")

@@ -8,7 +8,6 @@ from lineup.operators import identity as I
 from lineup.plans.base import Registry, table
 
 R = Registry()
-_P = F.col("p_partkey")
 #: The name of a part: its words with the ending of its brand and the price's cents, so that some names of a block are alike.
 _NAME = "split_part(p_name, ' ', 1) || chr(97 + (p_partkey % 7)::INT) || ' ' || split_part(p_name, ' ', 2) || 'son' || chr(97 + (p_size % 5)::INT)"
 _POS = "substr(p_type, 1, 2)"
@@ -21,7 +20,7 @@ def _letter(n):
 
 def _parts(spark, d):
     first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
-    full = F.concat(first, _letter(_P % 7), F.lit(" "), last, F.lit("son"), _letter(F.col("p_size") % 5))
+    full = F.concat(first, _letter(F.col("p_partkey") % 7), F.lit(" "), last, F.lit("son"), _letter(F.col("p_size") % 5))
     block = (F.col("p_size") % 10) * 25 + F.substr("p_brand", F.lit(7)).cast("int")
     return table(spark, d, "part").select("p_partkey", full.alias("full_name"), F.left("p_type", F.lit(2)).alias("position"), block.alias("school"), "p_retailprice")
 
@@ -30,7 +29,7 @@ _ALTERED = "CASE p_partkey % 6 WHEN 0 THEN full_name WHEN 1 THEN left(full_name,
 
 
 def _altered(c="full_name"):
-    full, kind = F.col(c), _P % 6
+    full, kind = F.col(c), F.col("p_partkey") % 6
     return (
         F.when(kind == 0, full)
         .when(kind == 1, F.left(full, F.length(full) - 1))
@@ -62,11 +61,11 @@ _NAMES = f"n AS (SELECT p_partkey AS name_id, {_ALTERED} AS name, CASE WHEN p_pa
 
 
 def _names(p):
-    return p.select(_P.alias("name_id"), _altered().alias("name"), F.when(_P % 5 > 0, F.col("position")).alias("position"), F.when(_P % 11 == 0, -1).otherwise(F.col("school")).alias("school"))
+    return p.select(F.col("p_partkey").alias("name_id"), _altered().alias("name"), F.when(F.col("p_partkey") % 5 > 0, F.col("position")).alias("position"), F.when(F.col("p_partkey") % 11 == 0, -1).otherwise(F.col("school")).alias("school"))
 
 
 def _roster(p):
-    return p.select(_P.alias("member"), F.col("full_name").alias("member_name"), F.col("position").alias("member_position"), "school")
+    return p.select(F.col("p_partkey").alias("member"), F.col("full_name").alias("member_name"), F.col("position").alias("member_position"), "school")
 
 
 @R("J12b_fuzzy_match", f"WITH {_PARTS}, {_NAMES}, m AS ({_match('n', 'ros')}) SELECT name_id, member, round(score, 3) AS confidence, status FROM m")
@@ -118,7 +117,7 @@ SELECT g.name_id, g.member, g.confidence, g.status, g.direct, coalesce(k.externa
 def j16(spark, d):
     """Every second name has an external id, every third member's is known already; the ids of the matched members are filled in."""
     p = _parts(spark, d)
-    known = p.select(_P.alias("member"), F.when(_P % 3 == 0, F.concat(F.lit("e"), _P)).alias("external"))
+    known = p.select(F.col("p_partkey").alias("member"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("e"), F.col("p_partkey"))).alias("external"))
     rows = _names(p).withColumn("external", F.when(F.col("name_id") % 2 == 0, F.concat(F.lit("e"), F.col("name_id"))))
     got = I.direct_then_fuzzy(rows, known, _roster(p), ["school"])
     filled = I.backfill_ids(known, got.join(rows.select("name_id", "external"), "name_id"))
@@ -152,6 +151,6 @@ def j24(spark, d):
     """Rosters lie over three seasons, events in two; names that are not found are looked up in the season before."""
     p = _parts(spark, d)
     team = lambda x: F.concat(F.lit("B"), x)
-    events = p.select(_P.alias("name_id"), _altered().alias("name"), "position", (3 + _P % 2).alias("season"), team(F.when(_P % 13 > 0, F.col("school"))).alias("from_team"), team(F.when(_P % 4 > 0, (F.col("school") + 1) % 260)).alias("to_team"))
+    events = p.select(F.col("p_partkey").alias("name_id"), _altered().alias("name"), "position", (3 + F.col("p_partkey") % 2).alias("season"), team(F.when(F.col("p_partkey") % 13 > 0, F.col("school"))).alias("from_team"), team(F.when(F.col("p_partkey") % 4 > 0, (F.col("school") + 1) % 260)).alias("to_team"))
     schools = p.select("school").distinct().select(team(F.col("school")).alias("team"), "school")
     return I.resolve_from_to(events, schools, _roster(p).withColumn("season", 3 + (F.col("member") % 3) - 1))

@@ -10,7 +10,6 @@ from lineup.operators import rosters as T
 from lineup.plans.base import Registry, r6, table
 
 R = Registry()
-K, BAL = F.col("c_custkey"), F.col("c_acctbal")
 
 
 def _list(values) -> str:
@@ -39,10 +38,10 @@ def p39(spark, d):
 
 def _soft(spark, d):
     pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
-    model = F.when(K % 4 == 0, F.array(*[x.cast("double") for x in (K % 5, K % 3, (K % 8) / 4, F.lit(0), K % 2)]))
-    role = F.when(K % 3 == 0, pick(_ROLES, K % 10))
-    position = F.when(K % 7 < 5, pick(P.POSITIONS, K % 7)).otherwise("G")
-    return table(spark, d, "customer").select("c_custkey", P.soft_positions(model, role, position, F.when(BAL > 0, 66 + F.floor(BAL / 500))).alias("s"))
+    model = F.when(F.col("c_custkey") % 4 == 0, F.array(*[x.cast("double") for x in (F.col("c_custkey") % 5, F.col("c_custkey") % 3, (F.col("c_custkey") % 8) / 4, F.lit(0), F.col("c_custkey") % 2)]))
+    role = F.when(F.col("c_custkey") % 3 == 0, pick(_ROLES, F.col("c_custkey") % 10))
+    position = F.when(F.col("c_custkey") % 7 < 5, pick(P.POSITIONS, F.col("c_custkey") % 7)).otherwise("G")
+    return table(spark, d, "customer").select("c_custkey", P.soft_positions(model, role, position, F.when(F.col("c_acctbal") > 0, 66 + F.floor(F.col("c_acctbal") / 500))).alias("s"))
 
 
 _IN = "SELECT c_custkey, (c_acctbal + 1000) / 275 AS m, 6 + (c_custkey % 26)::DOUBLE AS u, (c_custkey % 21)::DOUBLE AS width, 9 + (c_nationkey % 9)::DOUBLE AS players, abs(c_acctbal) / 45 AS open, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey % 101) / 100 END AS rotation, (c_custkey % 71) / 70 AS starter, CASE WHEN c_custkey % 6 > 0 THEN (c_nationkey % 10) / 10 END AS reliable, c_mktsegment FROM customer"
@@ -52,14 +51,14 @@ def _in(spark, d):
     n = F.col("c_nationkey")
     return table(spark, d, "customer").select(
         "c_custkey",
-        ((BAL + 1000) / 275).alias("m"),
-        (6 + (K % 26)).cast("double").alias("u"),
-        (K % 21).cast("double").alias("width"),
+        ((F.col("c_acctbal") + 1000) / 275).alias("m"),
+        (6 + (F.col("c_custkey") % 26)).cast("double").alias("u"),
+        (F.col("c_custkey") % 21).cast("double").alias("width"),
         (9 + n % 9).cast("double").alias("players"),
-        (F.abs(BAL) / 45).alias("open"),
-        F.when(K % 5 > 0, (K % 101) / 100).alias("rotation"),
-        ((K % 71) / 70).alias("starter"),
-        F.when(K % 6 > 0, (n % 10) / 10).alias("reliable"),
+        (F.abs(F.col("c_acctbal")) / 45).alias("open"),
+        F.when(F.col("c_custkey") % 5 > 0, (F.col("c_custkey") % 101) / 100).alias("rotation"),
+        ((F.col("c_custkey") % 71) / 70).alias("starter"),
+        F.when(F.col("c_custkey") % 6 > 0, (n % 10) / 10).alias("reliable"),
         "c_mktsegment",
     )
 
@@ -103,7 +102,7 @@ t AS (SELECT *, list_max(s) AS top, list_reverse_sort(s)[2] AS second FROM s)
 SELECT c_custkey, {list(P.USAGE_ROLES)}[list_position(s, top)] AS role, round(least(greatest(0.45 + 0.12 * (top - second) + 0.2 * rel, 0.25), 0.95), 6) AS confidence FROM t""")
 def p44(spark, d):
     label = F.create_map(*[x for k, v in _SEGMENT.items() for x in (F.lit(k), F.lit(v))])[F.col("c_mktsegment")]
-    skills = F.create_map(F.lit("shooting_3p"), (K % 90).cast("double"), F.lit("passing_creation"), (K % 77).cast("double"), F.lit("block_rim_protection"), (K % 83).cast("double"))
+    skills = F.create_map(F.lit("shooting_3p"), (F.col("c_custkey") % 90).cast("double"), F.lit("passing_creation"), (F.col("c_custkey") % 77).cast("double"), F.lit("block_rim_protection"), (F.col("c_custkey") % 83).cast("double"))
     return _in(spark, d).select("c_custkey", P.usage_role(F.col("u"), F.col("m"), label, skills, F.col("reliable")).alias("r")).select("c_custkey", "r.role", r6("r.confidence", "confidence"))
 
 
@@ -121,7 +120,7 @@ _OPEN = "least(greatest((0.25 - least(greatest(u / 100, 0), 0.35)) / 0.25, 0), 1
 SELECT c_custkey, round(least(greatest((shooting - 50) / 50 * coalesce(reliable, 0.35) * 0.12 + (passing - 50) / 50 * {_OPEN} * 0.10 - (creation - 50) / 50 * starter * 0.10
  + (block - 50) / 50 * least(players / 15, 1) * 0.09 + (off_reb - 50) / 50 * least(greatest(starter - 0.3, 0), 0.4) / 0.4 * 0.08 + (def_reb - 50) / 50 * coalesce(rotation, 0) * 0.07, -0.5), 0.5), 6) AS delta FROM x""")
 def p49(spark, d):
-    skills = {s: F.when(K % (7 + k) > 0, (K % (89 + 2 * k)).cast("double")) for k, s in enumerate(_SKILLS)}
+    skills = {s: F.when(F.col("c_custkey") % (7 + k) > 0, (F.col("c_custkey") % (89 + 2 * k)).cast("double")) for k, s in enumerate(_SKILLS)}
     team = {"threes": F.col("reliable"), "crowding": F.col("starter"), "rim_need": F.col("players") / 15, "rim_share": F.col("starter"), "frontcourt_need": F.col("rotation")}
     return _in(spark, d).select("c_custkey", r6(P.style_interactions(skills, team, F.col("u") / 100), "delta"))
 
@@ -131,7 +130,7 @@ y AS (SELECT *, 1.2816 * greatest(sqrt((width / 2) ** 2 + 0.25 * (players / grea
 SELECT c_custkey, round(m - half, 6) AS low, round(m + half, 6) AS high, round(wide, 6) AS multiplier FROM y""")
 def p50(spark, d):
     m, w = F.col("m"), F.col("width")
-    got = P.propagate_uncertainty(m, m - w / 2, m + w / 2, m, F.col("players"), 0.7, F.col("players") > 14, F.col("reliable"), K % 5, F.col("u"), 1.1)
+    got = P.propagate_uncertainty(m, m - w / 2, m + w / 2, m, F.col("players"), 0.7, F.col("players") > 14, F.col("reliable"), F.col("c_custkey") % 5, F.col("u"), 1.1)
     return _in(spark, d).select("c_custkey", got.alias("g")).select("c_custkey", r6("g.low", "low"), r6("g.high", "high"), r6("g.multiplier", "multiplier"))
 
 
@@ -142,7 +141,7 @@ round(u * CASE WHEN big THEN 1 + 0.08 * coalesce(rotation, 0) ELSE 1 END * m / 4
 def p51(spark, d):
     stats = {"pts": "u", "ast": "width", "tov": "players", "oreb": "u", "blk": "u", "fga": "u"}
     rates = F.create_map(*[x for k, c in stats.items() for x in (F.lit(f"{k}_per_40"), F.col(c))])
-    factors = P.box_factors(F.col("u") / 100, F.col("starter"), (K % 90).cast("double"), K % 3 == 0, F.col("rotation"), F.col("reliable"))
+    factors = P.box_factors(F.col("u") / 100, F.col("starter"), (F.col("c_custkey") % 90).cast("double"), F.col("c_custkey") % 3 == 0, F.col("rotation"), F.col("reliable"))
     rows = _in(spark, d).select("c_custkey", P.rescale_rates(rates, factors, F.col("m"), digits=6).alias("r"))
     return rows.select("c_custkey", *[F.col("r")[f"{k}_per_game"].alias(f"{k}_per_game") for k in stats])
 

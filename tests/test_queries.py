@@ -44,3 +44,14 @@ def test_query(spark, con, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-6)) for x, y in zip(a, b)), (a, b)
+
+
+def test_entry_imports_without_a_session():
+    """The driver reads the names of the queries before it has a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-500:]
