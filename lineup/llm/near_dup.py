@@ -200,7 +200,7 @@ def compare_nodes(rows: DataFrame, keys: list[str]) -> DataFrame:
             a, b = [], []
             begin = 0
             while begin < len(n):
-                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 200_000)))
+                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 40_000)))
                 i, j = _pairs(at[begin:stop], n[begin:stop])
                 near = (agreement(sigs[i], sigs[j]) >= AGREE) | ((grp[i] == grp[j]) & (grp[i] > 0))
                 a.append(i[near]), b.append(j[near])

@@ -25,8 +25,8 @@ _WORDS = f" ?[{_LETTER}]+\ue000?|[.,;:!?]\ue000?|\n|\x00"
 _END = "\ue000"
 #: The byte-level pre-tokenizer's pattern, a fixed value of the file format.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's table; about 200 bytes each.
-PIECES = 1_000_000
+#: Entries of a worker's table; about 200 bytes each, so 60 MB.
+PIECES = 300_000
 
 
 def _byte_of() -> dict[str, int]:
