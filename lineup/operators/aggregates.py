@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lineup.operators.order import join_keys, quantiles
+
 
 def _by(keys) -> list:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -59,17 +61,24 @@ def value_counts_map(df: DataFrame, key, label: str, out: str = "counts", prefix
 
 def median_impute(df: DataFrame, group, features: list[str]) -> DataFrame:
     """Missing values become the group's median, else the overall median, else 0; counts what was missing."""
-    by = df.groupBy(*_by(group)).agg(*[F.percentile(f, 0.5).alias(f"_g_{f}") for f in features])
-    overall = df.agg(*[F.percentile(f, 0.5).alias(f"_o_{f}") for f in features])
-    out = df.join(by, _by(group), "left").crossJoin(F.broadcast(overall))
+    g = _by(group)
+    pairs = ", ".join(f"'{f}', cast(`{f}` as double)" for f in features)
+    long = df.selectExpr(*[f"`{k}`" for k in g], f"stack({len(features)}, {pairs}) as (_f, _v)")
+    middle = lambda keys: quantiles(long, [*keys, "_f"], F.col("_v"), [0.5], "_q").withColumn("_q", F.get("_q", F.lit(0)))
+    wide = lambda keys, p: middle(keys).groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == f, F.col("_q"))).alias(f"{p}{f}") for f in features])
+    out = join_keys(join_keys(df, wide(g, "_g_"), g, "left"), wide([], "_o_"), [])
     missing = reduce(lambda a, b: a + b, [F.col(f).isNull().cast("int") for f in features])
     out = out.withColumn("missing_count", missing)
     return out.withColumns({f: F.coalesce(f, f"_g_{f}", f"_o_{f}", F.lit(0.0)) for f in features}).select(*df.columns, "missing_count")
 
 
-def hierarchical_prior(value: str, *levels) -> Column:
-    """Mean of the finest level that has one."""
-    return F.coalesce(*[F.avg(value).over(Window.partitionBy(*_by(level)) if level else Window.partitionBy(F.lit(1))) for level in levels])
+def hierarchical_mean_prior(df: DataFrame, value: str, *levels, out: str = "prior") -> DataFrame:
+    """Mean of the finest level (a list of keys, none for all rows) that has one; the means are small tables that are joined back."""
+    for k, level in enumerate(levels):
+        keys = _by(level) if level else []
+        df = join_keys(df, df.groupBy(*keys).agg(F.avg(value).alias(f"_level{k}")), keys, "left" if keys else "inner")
+    names = [f"_level{k}" for k in range(len(levels))]
+    return df.withColumn(out, F.coalesce(*names)).drop(*names)
 
 
 def eb_shrink(df: DataFrame, value: str, weight: str, k: float, *levels, out: str = "shrunk") -> DataFrame:
@@ -135,7 +144,7 @@ def calibration(df: DataFrame, y: str, p: str, tier: str, tiers: list[int]) -> D
 
 def ece(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     """Expected calibration error over quantile bins; edges that coincide merge."""
-    edges = df.agg(F.array_distinct(F.percentile(p, [k / bins for k in range(1, bins)])).alias("_edges"))
+    edges = quantiles(df, [], F.col(p), [k / bins for k in range(1, bins)], "_edges").withColumn("_edges", F.array_distinct("_edges"))
     b = df.crossJoin(F.broadcast(edges)).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))
     per = b.groupBy("_bin").agg(F.count("*").alias("_n"), F.avg(p).alias("_p"), F.avg(y).alias("_y"))
     return per.agg((F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n")).alias("ece"))
@@ -153,8 +162,10 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null share and five-number summary of each column, in long form."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, value)")
-    q = F.percentile("value", [0.25, 0.5, 0.75])
-    return long.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.min("value").alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("value").alias("high"))
+    stats = long.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.min("value").alias("low"), F.max("value").alias("high"))
+    q = quantiles(long, "feature", F.col("value"), [0.25, 0.5, 0.75])
+    at = lambda k: F.get("quantiles", F.lit(k))
+    return stats.join(q, "feature", "left").select("feature", "n", "nulls", "low", at(0).alias("q1"), at(1).alias("median"), at(2).alias("q3"), "high")
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

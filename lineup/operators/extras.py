@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lineup.operators.order import join_keys, quantiles
+
 
 def quality_gate(df: DataFrame, floors: dict[str, float], features: list[str], most_missing: int) -> DataFrame:
     """Rows above floors with at most so many missing features."""
@@ -43,7 +45,7 @@ def actor_from_text(text: Column, markers: list[str]) -> Column:
 
 def unit_autodetect(df: DataFrame, column: str, out: str, limit: float = 1.5) -> DataFrame:
     """Percentages or shares, told by the median of the positive values, as shares between 0 and 1."""
-    middle = df.where(F.col(column) > 0).agg(F.percentile(column, 0.5).alias("_m"))  # one row
+    middle = df.sparkSession.range(1).join(quantiles(df.where(F.col(column) > 0), [], F.col(column), [0.5]), how="left").select(F.get("quantiles", F.lit(0)).alias("_m"))  # one row
     x = F.when(F.col("_m") > limit, F.col(column) / 100).otherwise(F.col(column))
     return df.crossJoin(F.broadcast(middle)).withColumn(out, F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))).drop("_m")
 
@@ -109,7 +111,9 @@ def tier_matrix(df: DataFrame, source: str, target: str, value: str, least: int
 def residual_summary(df: DataFrame, y: str, p: str, key: str, least: int) -> DataFrame:
     """Residual statistics of groups with enough rows."""
     e = F.col(p) - F.col(y)
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.avg(e).alias("mean"), F.percentile(F.round(e, 6), 0.5).alias("median"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).where(F.col("n") >= least)
+    middle = quantiles(df, key, F.round(e, 6), [0.5]).select(key, F.get("quantiles", F.lit(0)).alias("median"))
+    stats = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(e).alias("mean"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).where(F.col("n") >= least)
+    return join_keys(stats, middle, [key], "left").select(key, "n", "mean", "median", "rmse", "mae")
 
 
 def baseline_compare(df: DataFrame, train: Column, y: str, p: str, group: str) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineup.operators.order import quantiles
+
 
 def gram(df: DataFrame, y: str, features: list[str], weight: str | None = None):
     """Weighted means and centred cross products of the features and the target, in one aggregate with few columns."""
@@ -94,7 +96,7 @@ def predict_interval(model: dict, variances: dict[str, Column], z: float) -> tup
 
 def interval_scale(df: DataFrame, y: str, p: str, half: str, coverage: float = 0.8) -> DataFrame:
     """The smallest scale of half widths that covers the wished share."""
-    return df.where(F.col(half) > 0).agg(F.percentile(F.abs(F.col(y) - F.col(p)) / F.col(half), coverage).alias("scale"))
+    return df.where(F.col(half) > 0).transform(lambda d: quantiles(d, [], F.abs(F.col(y) - F.col(p)) / F.col(half), [coverage])).select(F.get("quantiles", F.lit(0)).alias("scale"))
 
 
 def grid_nll(df: DataFrame, y: str, offset: str, x: str, grid: list[float], ridge: float = 0.25) -> DataFrame:

@@ -7,57 +7,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineup.functions.scalars import with_score
+from lineup.operators.order import average_rank, join_keys, quantiles, rank_table, ranked
 
 
 def _by(keys) -> list:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def average_rank(value: str, group) -> Column:
+def with_average_rank(df: DataFrame, value: str, group, out: str) -> DataFrame:
     """Rank among the group's non-null values, ties share their mean rank; NULL stays NULL."""
-    order = Window.partitionBy(*_by(group)).orderBy(F.col(value).asc_nulls_last())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*_by(group), value))
-    return F.when(F.col(value).isNotNull(), F.rank().over(order) + (ties - 1) / 2)
+    return ranked(df, group, value).withColumn(out, average_rank()).select(*df.columns, out)
 
 
 def calibrate_within(df: DataFrame, group, value: str, out: str) -> DataFrame:
     """Mid-rank percentile in the group as a normal score between 10 and 90."""
-    n = F.count(value).over(Window.partitionBy(*_by(group)))
-    return with_score(df, (average_rank(value, group) - 0.5) / n, out)
+    kept = [c for c in df.columns if c != out]
+    scored = with_score(ranked(df, group, value), (average_rank() - 0.5) / F.col("_n"), out)
+    return scored.select(*kept, out)
+
+
+def calibrate_many(df: DataFrame, group, values: dict[str, str]) -> DataFrame:
+    """W01 for several columns (value -> score), each ranked from ``df`` itself; ``df`` should be a table, as every column reads it."""
+    g, out = _by(group), df
+    for value, name in values.items():
+        own = rank_table(df, g, value)
+        out = with_score(join_keys(out, own, g, "left", [value]), (average_rank() - 0.5) / F.col("_n"), name).drop("_before", "_ties", "_n")
+    return out
 
 
 def competition_tier(df: DataFrame, group, value: str, out: str, rule: str = "min", cuts=(0.75, 0.45, 0.20)) -> DataFrame:
-    """Tier 1 (top) to 4 by percentile; ``rule`` names how ties count: min, average or share."""
-    order = Window.partitionBy(*_by(group)).orderBy(value)
+    """Tier 1 (top) to 4 by percentile; ``rule`` names how ties count: min, average or share. A NULL value is in tier 4."""
     if rule == "min":
-        p = F.percent_rank().over(order)
+        p = F.when(F.col("_n") > 1, F.col("_before") / (F.col("_n") - 1)).otherwise(0.0)
     elif rule == "share":
-        p = F.cume_dist().over(order)
+        p = (F.col("_before") + F.col("_ties")) / F.col("_n")
     else:
-        p = average_rank(value, group) / F.count(value).over(Window.partitionBy(*_by(group)))
-    return df.withColumn(out, F.when(p >= cuts[0], 1).when(p >= cuts[1], 2).when(p >= cuts[2], 3).otherwise(4))
+        p = average_rank() / F.col("_n")
+    return ranked(df, group, value).withColumn(out, F.when(p >= cuts[0], 1).when(p >= cuts[1], 2).when(p >= cuts[2], 3).otherwise(4)).select(*df.columns, out)
 
 
 def quantile_bucket(df: DataFrame, group, value: str, out: str, n: int = 4) -> DataFrame:
     """Bucket 1..n by the group's exact quantile edges; edges that coincide merge."""
-    edges = df.groupBy(*_by(group)).agg(F.array_distinct(F.percentile(value, [k / n for k in range(1, n)])).alias("_edges"))
-    keyed = edges.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(_by(group))], "_edges")
-    same = [df[g].eqNullSafe(keyed[f"_k{i}"]) for i, g in enumerate(_by(group))]
-    joined = df.join(keyed, same, "left")
+    edges = quantiles(df, group, F.col(value), [k / n for k in range(1, n)], "_edges").withColumn("_edges", F.array_distinct("_edges"))
+    joined = join_keys(df, edges, _by(group), "left")
     return joined.withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1).select(*df.columns, out)
 
 
 def pct_rank(df: DataFrame, group, value: str, out: str, inverted: bool = False) -> DataFrame:
     """Average-rank percentile 0-100, flipped for metrics where less is better."""
-    p = 100 * average_rank(value, group) / F.count(value).over(Window.partitionBy(*_by(group)))
-    return df.withColumn(out, 100 - p if inverted else p)
+    p = 100 * average_rank() / F.col("_n")
+    return ranked(df, group, value).withColumn(out, 100 - p if inverted else p).select(*df.columns, out)
 
 
 def zscore_by(df: DataFrame, group, value: str, out: str) -> DataFrame:
-    """Population z-score, 0 where the group has one value or no spread."""
-    w = Window.partitionBy(*_by(group))
-    spread = F.stddev_pop(value).over(w)
-    return df.withColumn(out, F.when((F.count(value).over(w) >= 2) & (spread > 0), (F.col(value) - F.avg(value).over(w)) / spread).otherwise(0.0))
+    """Population z-score, 0 where the group has one value or no spread; the groups' means and deviations are joined back."""
+    stats = df.groupBy(*_by(group)).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    z = F.when((F.col("_n") >= 2) & (F.col("_sd") > 0), (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(0.0)
+    return join_keys(df, stats, _by(group), "left").withColumn(out, z).select(*df.columns, out)
 
 
 def career_index(df: DataFrame, key, order, out: str = "career_index") -> DataFrame:
@@ -96,7 +102,9 @@ def priority_resolve(df: DataFrame, key, label: str, priorities: list, *order: C
 
 def national_percentile(df: DataFrame, value: str, group, whole: str = "national_pct", rank: str = "group_rank", season="season") -> DataFrame:
     """Cumulative share in the season and rank in the group, best first, ties share."""
-    return df.withColumn(whole, 100 * F.cume_dist().over(Window.partitionBy(*_by(season)).orderBy(value))).withColumn(rank, F.rank().over(Window.partitionBy(*_by(season), *_by(group)).orderBy(F.desc(value))))
+    share = ranked(df, season, value).withColumn(whole, 100 * (F.col("_before") + F.col("_ties")) / F.col("_n")).select(*df.columns, whole)
+    own = ranked(share, [*_by(season), *_by(group)], value)
+    return own.withColumn(rank, (F.col("_n") - F.col("_before") - F.col("_ties") + 1).cast("int")).select(*share.columns, rank)
 
 
 def cascade_reduce(df: DataFrame, key, value: str, total: Column, order, out: str = "reduced") -> DataFrame:

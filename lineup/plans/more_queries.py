@@ -12,6 +12,7 @@ from lineup.operators import joins as J
 from lineup.operators import models as M
 from lineup.operators import topk
 from lineup.operators import windows as W
+from lineup.operators.order import quantiles
 from lineup.plans.aggregate_queries import _LABELLED, _PRED, labelled, predictions
 from lineup.plans.base import Registry, r6, table
 from lineup.plans.join_queries import _split, _SPLIT
@@ -172,7 +173,7 @@ def a12(spark, d):
 @R("A14_hierarchical_mean_prior", f"WITH y AS {_YEARS} SELECT o_custkey, season, round(avg(total) OVER (PARTITION BY season, n), 4) AS prior FROM y")
 def a14(spark, d):
     y = seasons(spark, d)
-    return A.eb_shrink(y.withColumn("w", F.lit(0.0)), "total", "w", 8.0, ["season", "n"], ["season"], [], out="prior").select("o_custkey", "season", F.round("prior", 4).alias("prior"))
+    return A.hierarchical_mean_prior(y, "total", ["season", "n"], ["season"], []).select("o_custkey", "season", F.round("prior", 4).alias("prior"))
 
 
 @R("A19_season_mean_std", f"SELECT season, count(*) AS n, round(avg(total), 4) AS mean, round(stddev_pop(total), 4) AS std FROM {_YEARS} GROUP BY 1")
@@ -196,7 +197,7 @@ def a24(spark, d):
 
 @R("A31_spearman", f"""WITH r AS (SELECT flag, rank() OVER (PARTITION BY flag ORDER BY y) + (count(*) OVER (PARTITION BY flag, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY flag ORDER BY p) + (count(*) OVER (PARTITION BY flag, p) - 1) / 2.0 AS b FROM {_PRED}) SELECT flag, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1""")
 def a31(spark, d):
-    rows = predictions(spark, d).withColumns({"a": W.average_rank("y", "flag"), "b": W.average_rank("p", "flag")})
+    rows = W.with_average_rank(W.with_average_rank(predictions(spark, d).select("flag", "y", "p"), "y", "flag", "a"), "p", "flag", "b")
     return rows.groupBy("flag").agg(r6(F.corr("a", "b"), "spearman"))
 
 
@@ -219,8 +220,10 @@ def a35(spark, d):
 
 @R("A38_sample_size_percentiles", f"SELECT quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, round(avg((n < 3)::INT), 6) AS under_three FROM {_YEARS}")
 def a38(spark, d):
-    q = F.percentile("n", [0.1, 0.5, 0.9])
-    return seasons(spark, d).agg(q[0].alias("p10"), q[1].alias("p50"), q[2].alias("p90"), r6(F.avg((F.col("n") < 3).cast("int")), "under_three"))
+    y = seasons(spark, d)
+    q = quantiles(y, [], F.col("n"), [0.1, 0.5, 0.9])
+    at = lambda k, n: F.get("quantiles", F.lit(k)).alias(n)
+    return y.agg(r6(F.avg((F.col("n") < 3).cast("int")), "under_three")).crossJoin(F.broadcast(q)).select(at(0, "p10"), at(1, "p50"), at(2, "p90"), "under_three")
 
 
 @R("A42_classification_eval", "SELECT count(*) AS n, round(avg((p = y)::INT), 6) AS accuracy, round(count_if(p = 1 AND y = 1) / count_if(y = 1)::DOUBLE, 6) AS positive_accuracy, round(count_if(p = 1 AND y = 0) / nullif(count_if(y = 0), 0)::DOUBLE, 6) AS false_positive_rate FROM (SELECT (n_chars > 500)::INT AS p, quality AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lineup.functions.scalars import confidence_adjust, weighted_overall
 from lineup.operators import topk, windows as W
 from lineup.plans.base import Registry, r6, sql_score, table
+from lineup.sources.io import stage
 
 R = Registry()
 WEIGHTS = {"scheme": 0.25, "gap": 0.30, "role": 0.25, "program": 0.20}
@@ -48,12 +49,10 @@ SELECT c_custkey, c_nationkey, round(scheme_c, 6) AS scheme_c, round(gap_c, 6) A
 @R("C06_fit_calibration", f"SELECT * FROM ({_FIT}) WHERE place <= 10")
 def c06(spark, d):
     """Calibrate each component in its school, shrink by confidence, weigh, calibrate again, keep the ten best."""
-    rows = _pairs(spark, d)
-    for c in ("scheme", "gap", "role"):
-        rows = W.calibrate_within(rows, "c_nationkey", c, f"{c}_c")
+    rows = W.calibrate_many(stage(_pairs(spark, d), "fit-pairs"), "c_nationkey", {c: f"{c}_c" for c in ("scheme", "gap", "role")})
     held = rows.withColumns({"scheme": F.col("scheme_c"), "gap": confidence_adjust(F.col("gap_c"), F.col("confidence")), "role": confidence_adjust(F.col("role_c"), F.col("confidence"))})
     overall = held.withColumn("overall", F.round(weighted_overall(WEIGHTS), 6))
-    fit = W.calibrate_within(overall, "c_nationkey", "overall", "fit").select("c_custkey", "c_nationkey", r6("scheme_c"), r6("gap_c"), r6("role_c"), "overall", r6("fit"))
+    fit = W.calibrate_within(stage(overall, "fit-overall"), "c_nationkey", "overall", "fit").select("c_custkey", "c_nationkey", r6("scheme_c"), r6("gap_c"), r6("role_c"), "overall", r6("fit"))
     return topk.top_n(fit, "c_nationkey", 10, F.desc("fit"), F.col("c_custkey")).withColumn("place", F.col("place").cast("long"))
 
 

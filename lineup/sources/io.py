@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,30 @@ def memo(spark: SparkSession, folder: str, key: dict, make) -> DataFrame:
     if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """A result that several later steps read, written once to the folder that driver and executors share and read back.
+
+    The folder is ``spark.checkpoint.dir``; where it is unset, a local one is made, but only for a local master.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lineup-stage-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, equal: dict | None = None, least: dict | None = None) -> DataFrame:
+    """Columns of a table with equality and minimum filters, which reach the scan."""
+    df = spark.read.parquet(path)
+    for c, v in (equal or {}).items():
+        df = df.where(F.col(c).isin(v) if isinstance(v, (list, tuple, set)) else F.col(c) == v)
+    for c, v in (least or {}).items():
+        df = df.where(F.col(c) >= v)
+    return df.select(*columns) if columns else df
