@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lineup.functions.scalars import clip
+
 # What each lack of reliability adds to an interval's width, and what is taken where the reliability is not known.
 SPREAD = {"sample": (0.55, 0.0), "projection": (0.25, 0.5), "roster": (0.20, 0.5), "position": (0.18, 0.5), "match": (0.18, 1.0)}
 SPREAD_BASE, SPREAD_A_FEATURE, SPREAD_FEATURES, SPREAD_MOST = 0.60, 0.025, 0.25, 2.10
@@ -18,11 +20,6 @@ TEAM_MINUTES, SLOTS, NO_OPENING, SAME_POSITION = 200.0, 5, 0.35, 0.65
 ROLE_SHARES, MOST_SHARE = (0.10, 0.45, 0.70, 0.875), 0.95
 
 
-def clip(x: Column, low: float, high: float) -> Column:
-    """``x`` held between two numbers; NULL stays NULL."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
-
-
 def _or(x: Column, value: float) -> Column:
     return F.coalesce(x.cast("double"), F.lit(float(value)))
 

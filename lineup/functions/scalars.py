@@ -201,27 +201,6 @@ def shrink_weight(prior: Column, observed: Column) -> Column:
     return F.when(prior + observed > 0, observed / (prior + observed)).otherwise(0.0)
 
 
-def confidence_adjust(score: Column, confidence: Column, neutral: float = 50.0) -> Column:
-    """A score drawn to neutral where confidence is low."""
-    return neutral + (F.coalesce(score, F.lit(neutral)) - neutral) * clip(F.coalesce(confidence, F.lit(0.0)), 0.0, 1.0)
-
-
-def weighted_overall(parts: dict[str, float], low: float = 0.0, high: float = 100.0) -> Column:
-    """A weighted sum of columns, held between bounds; weights must add up to one."""
-    if abs(sum(parts.values()) - 1) > 1e-9:
-        raise ValueError("weights must add up to one")
-    return clip(reduce(lambda a, b: a + b, [F.col(c) * w for c, w in parts.items()]), low, high)
-
-
-def normalize_weights(weights: dict[str, float], present: list[str], fixed: tuple[str, float] | None = None) -> dict[str, float]:
-    """Non-negative weights of present columns that add up to one; one component may hold a fixed share."""
-    kept = {c: max(0.0, w) for c, w in weights.items() if c in present and (fixed is None or c != fixed[0])}
-    share = 1.0 - (fixed[1] if fixed and fixed[0] in present else 0.0)
-    total = sum(kept.values())
-    kept = {c: share * (w / total if total else 1 / len(kept)) for c, w in kept.items()}
-    return kept | ({fixed[0]: fixed[1]} if fixed and fixed[0] in present else {})
-
-
 def impact_fit(delta: Column, cap: float = 5.0) -> Column:
     """A delta within the cap as 0-100."""
     return (clip(delta, -cap, cap) + cap) / (2 * cap) * 100

@@ -79,7 +79,8 @@ def distribution_deficit(df: DataFrame, key: str, label: str, n: int) -> DataFra
     total = whole.agg(F.sum("league").alias("_t"))
     league = whole.crossJoin(F.broadcast(total)).select(label, (F.col("league") / F.col("_t")).alias("league"))  # a row per class
     keys = own.groupBy(key).agg(F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("_n"))
-    rows = keys.crossJoin(F.broadcast(league)).select(key, F.col(label).alias("label"), F.round(F.col("league") - F.coalesce(F.col("_n")[F.col(label)], F.lit(0)) / F.col("_all"), 9).alias("deficit"))
+    # every key meets every class: classes are few, or their table is joined whole by a constant key
+    rows = (keys.crossJoin(F.broadcast(league)) if league.limit(10_001).count() <= 10_000 else keys.withColumn("_one", F.lit(1)).join(league.withColumn("_one", F.lit(1)), "_one")).select(key, F.col(label).alias("label"), F.round(F.col("league") - F.coalesce(F.col("_n")[F.col(label)], F.lit(0)) / F.col("_all"), 9).alias("deficit"))
     w = Window.partitionBy(key).orderBy(F.desc("deficit"), "label")
     return rows.where("deficit > 0").withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= n).drop("_row")
 

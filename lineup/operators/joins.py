@@ -11,6 +11,8 @@ from lineup.operators.windows import _by, latest_per_key
 
 #: A dimension of up to this many rows may be broadcast; larger ones are joined by a shuffle.
 SMALL_ROWS = 100_000
+#: Targets of a block of a nearest-neighbour search beyond that.
+BLOCK = 10_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -19,9 +21,11 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def enrich(spine: DataFrame, *dims: tuple[DataFrame, list[str]]) -> DataFrame:
-    """Left joins that cannot fan out: each dimension keeps one row per key."""
+    """Left joins that cannot fan out: each dimension keeps one row per key, the smallest by its other columns in order."""
     for dim, keys in dims:
-        spine = spine.join(dim.dropDuplicates(keys), keys, "left")
+        rest = [c for c in dim.columns if c not in keys]
+        one = dim.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]) if rest else dim.distinct()
+        spine = spine.join(one, keys, "left")
     return spine
 
 
@@ -73,7 +77,14 @@ def knn(points: DataFrame, targets: DataFrame, key: str, vector: str, n: int) ->
     """The ``n`` nearest points of each target row by Euclidean distance, itself excluded; targets are a small stated set."""
     t = targets.select(F.col(key).alias("target"), F.col(vector).alias("_t"))
     d = F.sqrt(F.aggregate(F.zip_with(vector, "_t", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = points.join(small(t), F.col(key) != F.col("target")).select("target", key, d.alias("distance"))
+    n_targets = t.limit(SMALL_ROWS + 1).count()
+    if n_targets <= SMALL_ROWS:
+        pairs = points.join(F.broadcast(t), F.col(key) != F.col("target"))
+    else:  # targets in blocks, points meet each block by a shuffle on its number
+        blocks = -(-t.count() // BLOCK)
+        t = t.withColumn("_block", F.pmod(F.xxhash64("target"), F.lit(blocks)))
+        pairs = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(t, "_block").where(F.col(key) != F.col("target"))
+    pairs = pairs.select("target", key, d.alias("distance"))
     w = Window.partitionBy("target").orderBy("distance", key)
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
@@ -124,8 +135,8 @@ def attach_comps(df: DataFrame, labelled: DataFrame, cell: list[str], season: st
     return out.withColumn("comps", F.transform(F.slice(earlier, 1, n), lambda h: h["item"])).drop("_history")
 
 
-def returning_status(now: DataFrame, before: DataFrame, player: str, school: str, out: str = "status") -> DataFrame:
-    """Returning, transfer_in or new, by the player's earlier school."""
+def next_period_status(now: DataFrame, before: DataFrame, player: str, school: str, out: str = "status") -> DataFrame:
+    """Returning, transfer_in or new, by the player's earlier school."""
     prior = before.select(player, F.col(school).alias("_prior")).dropDuplicates([player])
     joined = now.join(prior, player, "left")
     return joined.withColumn(out, F.when(F.col("_prior").isNull(), "new").when(F.col("_prior") == F.col(school), "returning").otherwise("transfer_in")).drop("_prior")

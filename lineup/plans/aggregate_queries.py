@@ -104,9 +104,9 @@ SELECT source, lang, round((c.n * c.r + 15 * h.r) / (c.n + 15), 6) AS rate FROM
 def a17(spark, d):
     rows = labelled(spark, d)
     rates = A.decayed_rates(rows, "quality", "season", 2006, [["source", "lang"], ["source"], []])
-    cell = rates.where("source is not null and lang is not null").select("source", "lang", F.col("n_eff").alias("cn"), F.col("rate").alias("cr"))
-    source = rates.where("source is not null and lang is null").select("source", F.col("n_eff").alias("sn"), F.col("rate").alias("sr"))
-    whole = rates.where("source is null").select(F.col("n_eff").alias("gn"), F.col("rate").alias("gr"))  # one row
+    cell = rates.where("level = 0").select("source", "lang", F.col("n_eff").alias("cn"), F.col("rate").alias("cr"))
+    source = rates.where("level = 1").select("source", F.col("n_eff").alias("sn"), F.col("rate").alias("sr"))
+    whole = rates.where("level = 3").select(F.col("n_eff").alias("gn"), F.col("rate").alias("gr"))  # one row
     out = cell.join(source, "source").crossJoin(F.broadcast(whole))
     return out.select("source", "lang", r6(A.shrink_chain([(F.col("gr"), F.col("gn")), (F.col("sr"), F.col("sn")), (F.col("cr"), F.col("cn"))], 15.0), "rate"))
 

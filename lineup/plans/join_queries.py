@@ -122,7 +122,7 @@ def j18(spark, d):
 def j20(spark, d):
     y = seasons(spark, d)
     now, before = y.where("season = 1998").select("o_custkey", "season", "n"), y.where("season = 1997").select("o_custkey", "n")
-    return J.returning_status(now, before, "o_custkey", "n").select("o_custkey", "season", "status")
+    return J.next_period_status(now, before, "o_custkey", "n").select("o_custkey", "season", "status")
 
 
 @R("J23_attach_comps", """WITH l AS (SELECT c_nationkey AS cell, year(o_orderdate) AS s, o_orderkey AS item FROM orders JOIN customer ON c_custkey = o_custkey),

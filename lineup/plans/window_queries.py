@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineup.functions.scalars import confidence_adjust, weighted_overall
+from lineup.functions.fit import confidence_adjust, weighted_overall
 from lineup.operators import topk, windows as W
 from lineup.plans.base import Registry, r6, sql_score, table
 from lineup.sources.io import stage

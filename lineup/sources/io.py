@@ -48,7 +48,7 @@ def write_features(df: DataFrame, path: str, season: str = "season") -> None:
     df.write.mode("overwrite").partitionBy(season).parquet(path)
 
 
-def season_replace(df: DataFrame, path: str, season: str = "season") -> None:
+def write_season_replace(df: DataFrame, path: str, season: str = "season") -> None:
     """Replace the seasons that the frame holds, keep the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(season).parquet(path)
 
@@ -63,19 +63,22 @@ def memo(spark: SparkSession, folder: str, key: dict, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """A result that several later steps read, written once to the folder that driver and executors share and read back.
-
-    The folder is ``spark.checkpoint.dir``; where it is unset, a local one is made, but only for a local master.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in ``spark.checkpoint.dir``; where that is unset, in a local folder, but only for a local master."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lineup-stage-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """A result that several later steps read, written once to the folder that driver and executors share and read back.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -50,3 +50,26 @@ def monotone_sink(read: Callable[[], DataFrame], write: Callable[[DataFrame], No
         write(read().join(on, key, "left").withColumn(flag, F.col(flag) | F.coalesce("_on", F.lit(False))).drop("_on"))
 
     return apply
+
+
+def propagate_staleness(events: DataFrame, profiles: DataFrame, key: str, condition: Column, rebuilt: DataFrame | None = None) -> DataFrame:
+    """X04, batch twin of ``stale_stream``: profiles with ``stale`` set where their entity had a departure, and cleared for those that were rebuilt."""
+    gone = events.where(condition).select(key).distinct().withColumn("_gone", F.lit(True))
+    out = profiles.join(gone, key, "left")
+    if rebuilt is not None:
+        out = out.join(rebuilt.select(key).distinct().withColumn("_new", F.lit(True)), key, "left")
+    fresh = F.coalesce("_new", F.lit(False)) if rebuilt is not None else F.lit(False)
+    return out.withColumn("stale", F.coalesce("_gone", F.lit(False)) & ~fresh).drop("_gone", "_new")
+
+
+def classify_sink(gate: Column, event: Column, write: Callable[[str, DataFrame], None], threshold: float) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: every text to the log with its verdict, kept and classified ones to staging, sure ones to the canonical table."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        seen = batch.withColumns({"gate": gate, "found": event})
+        write("log", seen)
+        kept = seen.where(F.col("gate.kept") & (F.col("found.event") != "unknown"))
+        write("staging", kept)
+        write("canonical", kept.where(F.col("found.confidence") >= threshold))
+
+    return apply

@@ -22,7 +22,7 @@ def test_sources(spark, tmp_path):
 def test_season_replace_and_memo(spark, tmp_path):
     path = f"{tmp_path}/f"
     io.write_features(spark.createDataFrame([(1, 2001), (2, 2002)], "a int, season int"), path)
-    io.season_replace(spark.createDataFrame([(9, 2002)], "a int, season int"), path)
+    io.write_season_replace(spark.createDataFrame([(9, 2002)], "a int, season int"), path)
     assert sorted((r["a"], r["season"]) for r in spark.read.parquet(path).collect()) == [(1, 2001), (9, 2002)]
     calls = []
 
