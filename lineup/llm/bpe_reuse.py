@@ -1,10 +1,11 @@
 """Operator 4: BPE encoding and decoding with content-defined chunk reuse.
 
-Each text is cut into chunks where a rolling hash of its last bytes hits a mask, moved on to the next word gap. Documents
-are routed by the smallest chunk hash (documents that share most chunks share it), so a chunk that many
-documents hold is encoded once per task and its ids and decoded tokens are reused. Chunk joins are then checked: the
-words on both sides of a join are encoded together and compared with the joined ids; while they differ, the window grows,
-and its re-encoding replaces the ids of the words in it.
+Each text is cut into chunks where a rolling hash of its last bytes hits a mask, wherever that is, also inside a word. Documents
+are routed by the smallest chunk hash (documents that share most chunks share it), so a chunk that many documents hold is encoded
+once in a task and the ids and decoded tokens of its body, from its first to its last word gap, are reused. The rest of two chunks around a cut
+is a joint: it is encoded as one string, so a word that was cut is whole again. Then every joint is checked against the library: the joint with
+the words on both sides is encoded at once and compared with the joined ids; while they differ, the joint takes in those words and is encoded and
+checked again.
 
 Nulls and empty texts give no ids and an empty decoded text. Texts of any length are processed whole; repeated rows give
 repeated rows; an empty table gives an empty result. Columns beyond the id and text are not read.
@@ -46,86 +47,115 @@ def rolling_cuts(data: bytes) -> np.ndarray:
 
 
 def chunks(text: str) -> list[str]:
-    """Content-defined chunks that join to the text; each cut stands before a space that follows a non-space."""
+    """Content-defined chunks that join to the text; a cut moves on to the next character border only."""
     data = utf8(text)
     out, last = [], 0
     for cut in rolling_cuts(data).tolist():
-        if cut - last < MIN_CHUNK:
-            continue
-        gap = data.find(b" ", cut)
-        while gap > 0 and data[gap - 1] in b" \t\n\r\x0b\x0c":
-            gap = data.find(b" ", gap + 1)
-        if gap < 0:
-            break
-        if gap - last >= MIN_CHUNK:
-            out.append(data[last:gap].decode("utf-8", "surrogatepass"))
-            last = gap
+        while cut < len(data) and data[cut] & 0xC0 == 0x80:
+            cut += 1
+        if cut - last >= MIN_CHUNK and cut < len(data):
+            out.append(data[last:cut].decode("utf-8", "surrogatepass"))
+            last = cut
     out.append(data[last:].decode("utf-8", "surrogatepass"))
     return out
 
 
+def _gap(text: str, at: int, step: int) -> int:
+    """The next place from ``at`` on (``step`` 1) or back (-1) where a space follows a character that is no white space; -1 if there is none."""
+    while True:
+        at = text.find(" ", at) if step > 0 else text.rfind(" ", 0, at + 1)
+        if at <= 0:
+            return -1
+        if not text[at - 1].isspace():
+            return at
+        at += step
+
+
+def split_chunk(chunk: str) -> tuple[str, str, str]:
+    """Head, body and tail of a chunk; a chunk without two gaps is all head."""
+    a = _gap(chunk, 1, 1)
+    z = _gap(chunk, len(chunk) - 1, -1)
+    return (chunk[:a], chunk[a:z], chunk[z:]) if 0 < a < z else (chunk, "", "")
+
+
 class ChunkEncoder:
     """Ids and tokens by chunk, with a bounded table of chunks that were seen."""
 
     def __init__(self, enc: Encoder):
         self.enc, self.table, self.size = enc, {}, 0
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.joints: dict[tuple[str, str, str], bool] = {}
+        self.repairs = 0
 
-    def _learn(self, chunks_: set[str]) -> None:
-        """Encode chunks that the table does not hold, together."""
-        new = [c for c in chunks_ if c not in self.table]
+    def _learn(self, bodies: set[str]) -> None:
+        """Encode bodies that the table does not hold, together."""
+        new = [c for c in bodies if c not in self.table]
         if self.size > KEEP_BYTES:
             self.table, self.size = {}, 0
-            new = list(chunks_)
+            new = list(bodies)
         for c, ids in zip(new, self.enc.encode_batch(new), strict=True):
             self.table[c] = ids, " ".join(self.enc.tokens(ids))
             self.size += 10 * len(c)
 
-    def _agree(self, pairs: set[tuple[str, str]]) -> None:
-        """Whether the library's ids of joined windows are those of their two sides."""
-        new = [p for p in pairs if p not in self.joins]
-        if len(self.joins) + len(new) > 200_000:
-            self.joins.clear()
-            new = list(pairs)
-        both = self.enc.tokenizer.encode_batch_fast([a + b for a, b in new], add_special_tokens=False)
-        left, right = self.enc.encode_batch([a for a, _ in new]), self.enc.encode_batch([b for _, b in new])
-        for p, e, a, b in zip(new, both, left, right, strict=True):
-            self.joins[p] = array(self.enc.code, e.ids).tobytes() == a + b
+    def _agree(self, windows: set[tuple[str, str, str]]) -> None:
+        """Whether the library's ids of a whole window are those of its three parts."""
+        new = [w for w in windows if w not in self.joints]
+        if len(self.joints) + len(new) > 200_000:
+            self.joints.clear()
+            new = list(windows)
+        whole = self.enc.tokenizer.encode_batch_fast(["".join(w) for w in new], add_special_tokens=False)
+        parts = self.enc.encode_batch([p for w in new for p in w])
+        for k, (w, e) in enumerate(zip(new, whole, strict=True)):
+            self.joints[w] = array(self.enc.code, e.ids).tobytes() == b"".join(parts[3 * k : 3 * k + 3])
 
     def batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Ids of each whole text, and its tokens joined by one space."""
-        parts = [chunks(t) if t else [] for t in texts]
-        waiting = {k: 1 for k, p in enumerate(parts) if len(p) > 1}
-        self._agree({window(p[k - 1], p[k]) for p in parts for k in range(1, len(p))})
-        while waiting:  # repair: a join that does not agree is closed, and the joined chunk is encoded as one
-            closed = set()
-            for n in list(waiting):
-                p, k = parts[n], waiting.pop(n)
-                while k < len(p):
-                    pair = window(p[k - 1], p[k])
-                    if pair not in self.joins:
-                        closed.add(pair)
-                        waiting[n] = k
-                        break
-                    if self.joins[pair]:
-                        k += 1
-                    else:
-                        p[k - 1 : k + 1] = [p[k - 1] + p[k]]
-            if closed:
-                self._agree(closed)
-        self._learn({c for p in parts for c in p})
-        get = self.table.__getitem__
+        # per text: joint, body, joint, body, ..., joint
+        rows = []
+        for t in texts:
+            row = [""]
+            for head, body, tail in map(split_chunk, chunks(t) if t else []):
+                row[-1] += head
+                if body:
+                    row += [body, tail]
+            rows.append(row)
+        todo = {n: list(range(0, len(r), 2)) for n, r in enumerate(rows) if len(r) > 1}
+        while todo:  # joints that do not agree take in a word on each side, until they do
+            at = {(n, k): window(rows[n], k) for n, ks in todo.items() for k in ks}
+            self._agree(set(at.values()))
+            todo = {}
+            for (n, k), w in at.items():
+                if not self.joints[w] and (w[0] or w[2]):
+                    row = rows[n]
+                    if (k and not row[k - 1].endswith(w[0])) or (k + 1 < len(row) and not row[k + 1].startswith(w[2])):
+                        todo.setdefault(n, []).append(k)  # the joint before has just taken the body's only word
+                        continue
+                    row[k] = "".join(w)
+                    if k:
+                        row[k - 1] = row[k - 1][: len(row[k - 1]) - len(w[0])]
+                    if k + 1 < len(row):
+                        row[k + 1] = row[k + 1][len(w[2]) :]
+                    self.repairs += 1
+                    todo.setdefault(n, []).append(k)
+        self._learn({b for r in rows for b in r[1::2] if b})
+        joints = iter(self.enc.encode_batch([j for r in rows for j in r[::2]]))
         out = []
-        for p in parts:
-            got = list(map(get, p))
+        for r in rows:
+            got = []
+            for k, part in enumerate(r):
+                if k % 2:
+                    got.append(self.table[part] if part else (b"", ""))
+                else:
+                    ids = next(joints)
+                    got.append((ids, " ".join(self.enc.tokens(ids))))
             out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
         return out
 
 
-def window(left: str, right: str) -> tuple[str, str]:
-    """The last word before a join and the first after it."""
-    cut, end = left.rfind(" ", 0, len(left) - 1), right.find(" ", 1)
-    return left[max(cut, 0) :], right[: end if end > 0 else len(right)]
+def window(row: list[str], k: int) -> tuple[str, str, str]:
+    """The last word of the body before a joint, the joint, and the first word of the body after it."""
+    left, right = row[k - 1] if k else "", row[k + 1] if k + 1 < len(row) else ""
+    a, z = _gap(left, len(left) - 1, -1), _gap(right, 1, 1)
+    return left[max(a, 0) :], row[k], right[: z if z > 0 else len(right)]
 
 
 _CHUNKED: dict[str, ChunkEncoder] = {}

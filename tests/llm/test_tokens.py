@@ -147,3 +147,24 @@ def test_many_sources_share_queues(spark, monkeypatch):
         sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
     assert sum(sizes.values()) == sum(r["doc_tokens"] for r in got if r["start"] == 0) and all(s == 64 or s & (s - 1) == 0 for s in sizes.values())
     assert {r["sequence_id"] for r in got if r["doc_id"] % 40 == 3} == {0}
+
+
+def test_cut_words_are_joined_and_repaired(monkeypatch):
+    r = random.Random(6)
+    path = token_path("word_bpe_49k.json")
+    words = ["".join(r.choice("abcdeéß") for _ in range(r.randint(2, 12))) for _ in range(60)]
+    long = [" ".join(r.choice(words) + r.choice(["", ",", "'s", ".\n"]) for _ in range(900)) for _ in range(6)] + ["x" * 3000, "ab " * 2000, "日本" * 900, "a\x85b " * 700, "é ́" * 400]
+    own = bpe_reuse.ChunkEncoder(Encoder(path))
+    inside = [c for t in long for c in bpe_reuse.chunks(t)[1:] if not c[0].isspace()]
+    assert len(inside) > 20  # cuts stand inside words
+    tk = Tokenizer.from_file(path)
+    for t, (ids, tokens) in zip(long, own.batch(long)):
+        want = tk.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, own.enc.dtype).tolist() == want and tokens == tk.decode(want, skip_special_tokens=False)
+    # an encoder that is wrong on parts that begin with a space is found out and the joints grow until they agree
+    wrong = bpe_reuse.ChunkEncoder(Encoder(path))
+    honest, first = wrong.enc.encode_batch, long[0]
+    bad = {w for row in [first] for k, w in enumerate(row.split(" ")) if k % 7 == 0}
+    monkeypatch.setattr(wrong.enc, "encode_batch", lambda texts: [b"" if t.strip() in bad and t.startswith(" ") and len(t) < 16 else x for t, x in zip(texts, honest(texts))])
+    wrong.batch([first])
+    assert wrong.repairs > 0
