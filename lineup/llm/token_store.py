@@ -2,11 +2,12 @@
 
 Format, under one folder: ``chunks`` (key, ids: each distinct chunk of ids once, addressed by the BLAKE2 digest of its bytes),
 ``recipes`` (documents in ascending doc_id order: place, number of ids, ids before the document, the keys of its chunks in order)
-and ``manifest`` (a row per recipe file: documents, ids, first place, Merkle root of its documents' keys). A rolling hash
+``manifest`` (a row per block of 4,096 recipes: documents, ids, first place, Merkle root of its documents' keys) and ``roots`` (the levels above: a root
+per recipe part, then per 4,096 roots, up to one root of the whole store). A rolling hash
 over the ids cuts a document into chunks, so equal passages give equal chunks. Ids are little-endian unsigned
 16-bit integers where the vocabulary allows, else 32-bit.
 
-Reading verifies: a chunk whose bytes do not give its key, or a recipe file whose Merkle root is not the manifest's, raises an error.
+Reading verifies: a chunk whose bytes do not give its key, or a recipe block or level whose Merkle root is not the stored one, raises an error.
 
 Defined results: null and empty texts hold the end id only; rows that share a doc_id are stored as separate documents, in the order of their
 ids; null doc_ids come first; empty tables give empty stores; extra columns are not stored.
@@ -168,6 +169,7 @@ def write_store(df: DataFrame, folder: str, path: str, end_id: int = END_ID, doc
     recipes = placed.join(parts, F.col("part") == F.col("of_part")).select("part", "row", "doc_id", "n", (F.col("base") + F.col("local")).alias("start"), "keys")
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     _roots(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    _levels(spark.read.parquet(f"{folder}/manifest")).write.parquet(f"{folder}/roots")
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
@@ -184,12 +186,44 @@ def _roots(recipes: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "part long, block long, documents long, ids long, start long, root binary")
 
 
+#: Roots that one root of the next level covers.
+FAN = 4096
+
+
+def _merged(batches):
+    for b in batches:
+        roots = [merkle([bytes(x["root"]) for x in below]) for below in column(b, "below").to_pylist()]
+        yield pa.RecordBatch.from_arrays([column(b, "level"), column(b, "idx"), pa.array(roots, pa.binary())], names=["level", "idx", "root"])
+
+
+def _levels(blocks: DataFrame) -> DataFrame:
+    """``level, idx, root`` above the blocks: level 1 has a root per part, the last level one root; a group is a part's blocks or ``FAN`` roots."""
+    below = F.array_sort(F.collect_list(F.struct("at", "root"))).alias("below")
+    rows, level, out = blocks.select(F.col("part").alias("idx"), F.col("block").alias("at"), "root"), 1, None
+    while True:
+        rows = rows.groupBy("idx").agg(below).select(F.lit(level).cast("long").alias("level"), "idx", "below").mapInArrow(_merged, "level long, idx long, root binary")
+        rows = materialize(rows, "store-roots")
+        out = rows if out is None else out.unionByName(rows)
+        if rows.limit(2).count() < 2:
+            return out
+        rows, level = rows.select(F.floor(F.col("idx") / FAN).cast("long").alias("idx"), F.col("idx").alias("at"), "root"), level + 1
+
+
+def store_root(spark: SparkSession, folder: str) -> bytes | None:
+    """The root of the whole store; None for an empty one."""
+    top = spark.read.parquet(f"{folder}/roots").agg(F.max_by("root", "level").alias("root")).first()
+    return None if top["root"] is None else bytes(top["root"])
+
+
 def verify_manifest(spark: SparkSession, folder: str) -> None:
-    """Raise if a recipe block does not have the Merkle root of the manifest."""
+    """Raise if a recipe block, or a level above the blocks, does not have the stored Merkle root."""
     wanted = spark.read.parquet(f"{folder}/manifest").select("part", "block", F.col("root").alias("wanted"))
     found = _roots(spark.read.parquet(f"{folder}/recipes")).select("part", "block", "root")
     if not wanted.join(found, ["part", "block"], "full").where(~F.col("wanted").eqNullSafe(F.col("root"))).isEmpty():
         raise ValueError("the recipes do not match the manifest")
+    above, again = spark.read.parquet(f"{folder}/roots").withColumnRenamed("root", "wanted"), _levels(spark.read.parquet(f"{folder}/manifest"))
+    if not above.join(again, ["level", "idx"], "full").where(~F.col("wanted").eqNullSafe(F.col("root"))).isEmpty():
+        raise ValueError("the manifest does not match the store's root")
 
 
 def _verified(width: int):

@@ -168,3 +168,55 @@ def test_cut_words_are_joined_and_repaired(monkeypatch):
     monkeypatch.setattr(wrong.enc, "encode_batch", lambda texts: [b"" if t.strip() in bad and t.startswith(" ") and len(t) < 16 else x for t, x in zip(texts, honest(texts))])
     wrong.batch([first])
     assert wrong.repairs > 0
+
+
+def test_store_has_one_root_that_covers_all(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 2)  # several levels
+    rows = ROWS + [(None, "no id", "a", "x", "y"), (None, None, "a", "x", "y")]
+    path, roots = token_path("byte_bpe_50k.json"), []
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    for name, data in (("a", rows), ("b", rows[::-1]), ("c", [(0, "changed", "a", "x", "y"), *rows[1:]])):
+        folder = str(tmp_path / name)
+        token_store.write_store(frame(spark, data), folder, path)
+        token_store.verify_manifest(spark, folder)
+        roots.append(token_store.store_root(spark, folder))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert roots[0] and roots[2] and roots[0] != roots[2]
+    got = token_store.read_digests(spark, str(tmp_path / "a"), 2).orderBy("start").collect()
+    assert [r["doc_id"] for r in got][:2] == [None, None] and len(got) == len(rows)
+    top = spark.read.parquet(str(tmp_path / "a" / "roots"))
+    assert top.groupBy("level").count().orderBy("level").collect()[-1]["count"] == 1
+    spark.read.parquet(str(tmp_path / "a" / "manifest")).drop("root").withColumn("root", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(b"x" * 16)).write.parquet(str(tmp_path / "bad" / "manifest"))
+    for part in ("recipes", "roots", "chunks"):
+        spark.read.parquet(str(tmp_path / "a" / part)).write.parquet(str(tmp_path / "bad" / part))
+    with pytest.raises(ValueError):
+        token_store.verify_manifest(spark, str(tmp_path / "bad"))
+    empty = str(tmp_path / "none")
+    token_store.write_store(frame(spark, []), empty, path)
+    token_store.verify_manifest(spark, empty)
+    assert token_store.store_root(spark, empty) is None
+
+
+def test_pieces_and_store_hold_the_librarys_ids(spark, tmp_path):
+    """Against the tokenizers library itself, with a document that occurs twice."""
+    word, byte = Tokenizer.from_file(token_path("word_bpe_49k.json")), Tokenizer.from_file(token_path("byte_bpe_50k.json"))
+    at = {}
+    for p in packing.pack(frame(spark, ROWS), token_path("word_bpe_49k.json"), length=256).collect():
+        at.setdefault(p["doc_id"], []).append((p["start"], bytes(p["ids"]), p["doc_tokens"]))
+    for doc in {r[0] for r in ROWS}:
+        own = [t or "" for d, t, *_ in ROWS if d == doc]
+        ids = [*word.encode(own[0], add_special_tokens=False).ids, 2]
+        # pieces of equal copies are cut at different places, so they are put in by place and have to agree
+        whole, seen = [None] * len(ids), 0
+        for start, raw, n in at[doc]:
+            assert n == len(ids)
+            for k, v in enumerate(np.frombuffer(raw, "<u4").tolist()):
+                assert whole[start + k] in (None, v)
+                whole[start + k] = v
+                seen += 1
+        assert whole == ids and seen == len(own) * len(ids)
+    folder = str(tmp_path / "store")
+    token_store.write_store(frame(spark, ROWS), folder, token_path("byte_bpe_50k.json"))
+    stored = sorted((r["doc_id"], bytes(r["ids"])) for r in token_store.read_documents(spark, folder).collect())
+    want = sorted((d, np.array([*byte.encode(t or "", add_special_tokens=False).ids, 0], "<u2").tobytes()) for d, t, *_ in ROWS)
+    assert stored == want
