@@ -13,7 +13,9 @@ BROADCAST_ROWS = 10_000
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A table of few rows as a broadcast of its rows, so that it is not computed again; a larger one as it is."""
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= BROADCAST_ROWS else df
 
 
 def _list(keys) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineup.operators import fits as T
 from lineup.plans.base import Registry, r6, table
+from lineup.sources.io import stage
 
 R = Registry()
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -49,7 +50,7 @@ SELECT player, team, season, round({_C.format('fit')}, 6) AS scheme_fit, round(m
 round(0.3 * fit + 35, 6) AS overall, round(CASE WHEN sfit IS NOT NULL THEN {_C.format('sfit')} END, 6) AS style_fit, round(CASE WHEN sfit IS NOT NULL THEN m_s1 END, 6) AS style_1_match FROM x""")
 def c04(spark, d):
     """Every customer's year with every nation of that year."""
-    players, teams = _both(spark, d)
+    players, teams = (stage(x, "scheme") for x in _both(spark, d))
     got = T.scheme_fit(players, teams, style=3, tempo_default=25.0, digits=(6, 6, 6))
     return got.select("player", "team", "season", "scheme_fit", "three_match", "rim_match", "mid_match", "pace_match", "three_part", "rim_part", "mid_part", "overall", "style_fit", "style_1_match")
 
@@ -86,5 +87,5 @@ def c05(spark, d):
     p = _lines(spark, d).groupBy("player", "school", "season", F.col("c_mktsegment").alias("archetype")).agg(mean("l_quantity", "quantity"), mean("l_discount", "discount"), mean("l_tax", "tax"), mean("l_extendedprice", "price", 4), F.count("*").cast("double").alias("games"))
     weights = F.array(*[F.when(F.col("archetype") == s, 0.6).otherwise(0.1) for s in SEGMENTS])
     p = p.withColumns({"quantity": F.when(F.col("player") % 9 > 0, F.col("quantity")), "weights": weights, "reliability": F.lit(0.72), "min_pct": F.col("games") * 4})
-    got = T.gap_match(p, list(_F), digits=(6, 6))
+    got = T.gap_match(stage(p, "gap"), list(_F), digits=(6, 6))
     return got.select("player", "to_school", "season", "raw_gap", "gap", "reliability", "depth", "archetype_needed", (F.col("part_tax") + F.lit(0.0)).alias("part_tax"))

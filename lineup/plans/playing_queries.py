@@ -8,6 +8,7 @@ from lineup.functions import playing as P
 from lineup.operators import models as M
 from lineup.operators import rosters as T
 from lineup.plans.base import Registry, r6, table
+from lineup.sources.io import stage
 
 R = Registry()
 
@@ -191,7 +192,7 @@ def a21(spark, d):
 
 
 def _filled(spark, d):
-    m = _members(spark, d)
+    m = stage(_members(spark, d), "members")
     return T.slot_fill(m, T.slot_baselines(m))
 
 
@@ -278,9 +279,10 @@ def m25(spark, d):
 @R("C12_team_rating")
 def c12(spark, d):
     """Roster vectors of all schools, ridge models of two ratings, the counterfactual of every pair with its interval and the percentile among all pairs' differences."""
-    rows, context = _filled(spark, d).drop("tier"), _context(spark, d)
+    rows, context = stage(_filled(spark, d).drop("tier"), "rosters"), _context(spark, d)
     money = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("school")).agg((F.avg("l_extendedprice") / 1000).alias("adj_o"), (F.avg("l_tax") * 1000).alias("adj_d"))
     train = T.roster_vector(rows.join(context, "school"), "school").join(money, "school")
+    train = stage(train, "ratings")
     off, deff = (M.ridge_fit(train, y, list(T.ROSTER_FEATURES), alpha=1.0) for y in ("adj_o", "adj_d"))
     pairs = _team_pairs(spark, d)
     got = T.counterfactual(pairs, rows, context, off, deff).join(pairs.select("pair", "minutes", "value"), "pair")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lineup.operators import models as M
 from lineup.operators import states as T
 from lineup.plans.base import Registry, r6, table
+from lineup.sources.io import stage
 
 R = Registry()
 _SERIES = """e AS (SELECT user_id, event_type, CASE WHEN event_id % 7 > 0 THEN value END AS y, 4.0 + event_id % 3 AS r, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events)"""
@@ -120,10 +121,10 @@ def m15(spark, d):
 @R("C07_player_projection")
 def c07(spark, d):
     """Season states by a fitted drift, one-step forecasts, an offence and a defence model on them, and the difference with its 80 % interval."""
-    y = _seasons(spark, d)
+    y = stage(_seasons(spark, d), "seasons")
     fit = T.fit_drift(y, "o_custkey", "season", "y", "r", _NAMES)
     states = T.season_states(y, "o_custkey", "season", "y", "r", _NAMES, fit["rho"], fit["betas"], fit["q"], fit["prior"])
-    ahead = T.forecast_next(states, y.select("o_custkey", "season", *_NAMES), "o_custkey", "season", _NAMES, fit["rho"], fit["betas"], fit["q"])
+    ahead = stage(T.forecast_next(states, y.select("o_custkey", "season", *_NAMES), "o_custkey", "season", _NAMES, fit["rho"], fit["betas"], fit["q"]), "ahead")
     labels = y.select("o_custkey", "season", F.col("y").alias("off"), (F.col("f") / F.col("n")).alias("deff"))
     train = ahead.join(labels, ["o_custkey", "season"])
     off, deff = M.ridge_fit(train, "off", ["mean"], alpha=5.0, weight=None), M.ridge_fit(train, "deff", ["mean"], alpha=5.0)
