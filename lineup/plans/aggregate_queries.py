@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineup.operators import aggregates as A
 from lineup.operators.windows import group_max_flag, segment_id
+from lineup.operators import tables as B
 from lineup.plans.base import Registry, r6, table
 from lineup.plans.window_queries import _YEARS, seasons
 
@@ -29,7 +30,7 @@ def a03(spark, d):
 
 @R("A04_distinct_counts", "SELECT l_suppkey, count(DISTINCT l_orderkey) AS games, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
 def a04(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("games"), F.countDistinct("l_partkey").alias("parts"))
+    return B.distinct_counts(table(spark, d, "lineitem"), "l_suppkey", games="l_orderkey", parts="l_partkey")
 
 
 @R("A05_hhi", "SELECT l_orderkey, round(sum(l_quantity * l_quantity) / (sum(l_quantity) * sum(l_quantity)), 9) AS hhi FROM lineitem GROUP BY 1")
@@ -211,7 +212,7 @@ def a45(spark, d):
 
 @R("A46_identity_checks", "SELECT round(avg((length(text) = n_chars)::INT), 6) AS chars_match, round(avg((n_chars > 0)::INT), 6) AS not_empty FROM documents")
 def a46(spark, d):
-    return table(spark, d, "documents").agg(r6(F.avg((F.length("text") == F.col("n_chars")).cast("int")), "chars_match"), r6(F.avg((F.col("n_chars") > 0).cast("int")), "not_empty"))
+    return B.identity_checks(table(spark, d, "documents"), chars_match=F.length("text") == F.col("n_chars"), not_empty=F.col("n_chars") > 0).select(r6("chars_match"), r6("not_empty"))
 
 
 @R("A47_career_summary", "SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS seasons, count(DISTINCT o_orderpriority) AS teams, min(year(o_orderdate)) AS first_season, max(year(o_orderdate)) AS last_season FROM orders GROUP BY 1")

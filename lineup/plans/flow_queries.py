@@ -15,6 +15,7 @@ from lineup.operators import joins as J
 from lineup.operators import learn as L
 from lineup.operators import models as M
 from lineup.operators import sets as U
+from lineup.operators import tables as B
 from lineup.operators import topk
 from lineup.operators import windows as W
 from lineup.plans.aggregate_queries import _LABELLED, labelled
@@ -382,3 +383,10 @@ def c16(spark, d):
     saved = table(spark, d, "orders").where("o_orderstatus = 'P'").join(c, "o_custkey")
     w = Window.partitionBy("c_nationkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
     return saved.select("o_orderkey", "o_custkey", "c_name", "score", F.row_number().over(w).cast("long").alias("place"))
+
+
+@R("M11b_season_covariates", f"WITH y AS {_YEARS}, z AS (SELECT o_custkey, season, n, (o_custkey + season) % 3 AS owner FROM y) SELECT o_custkey, season, row_number() OVER w AS career_index, coalesce(owner <> lag(owner) OVER w, false)::INT AS moved, coalesce(n - lag(n) OVER w, 0) AS tier_change FROM z WINDOW w AS (PARTITION BY o_custkey ORDER BY season)")
+def m11b(spark, d):
+    """Career index, moved and tier change of every season."""
+    y = seasons(spark, d).select("o_custkey", "season", "n", ((F.col("o_custkey") + F.col("season")) % 3).alias("owner"))
+    return B.season_covariates(y, "o_custkey", "season", "owner", "n").select("o_custkey", "season", "career_index", "moved", "tier_change")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineup.operators import joins as J
 from lineup.operators import sets as U
+from lineup.operators import tables as B
 from lineup.plans.base import Registry, r6, table
 from lineup.plans.window_queries import _YEARS, seasons
 
@@ -106,7 +107,7 @@ def a43(spark, d):
 @R("J17_outer_merge_many", "SELECT o_custkey, year(o_orderdate) AS season, sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS o, sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS p FROM orders GROUP BY 1, 2")
 def j17(spark, d):
     """Per-status frames merged by one pivot of their long form: one shuffle in place of chained outer joins."""
-    rows = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("season")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey"))
+    rows = B.outer_merge_many(table(spark, d, "orders"), ["o_custkey", F.year("o_orderdate").alias("season")], "o_orderstatus", ["F", "O", "P"], F.count("o_orderkey"))
     return rows.select("o_custkey", "season", *[F.nullif(F.col(c), F.lit(0)).alias(c.lower()) for c in "FOP"])
 
 
@@ -187,7 +188,7 @@ def s13(spark, d):
 
 @R("S14_unexpired", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01'")
 def s14(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderdate") > F.lit("1998-01-01").cast("timestamp")).select("o_orderkey")
+    return B.unexpired(table(spark, d, "orders"), "o_orderdate", F.lit("1998-01-01").cast("timestamp")).select("o_orderkey")
 
 
 @R("X01_dedup_window", """SELECT user_id, event_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY user_id, bucket ORDER BY value DESC, ts, event_id) AS r FROM (SELECT *, floor(date_diff('day', DATE '2020-01-01', ts::DATE) / 14)::BIGINT AS bucket FROM events)) WHERE r = 1""")

@@ -14,6 +14,7 @@ from lineup.operators import topk
 from lineup.operators import windows as W
 from lineup.operators.order import quantiles
 from lineup.plans.aggregate_queries import _LABELLED, _PRED, labelled, predictions
+from lineup.operators import tables as B
 from lineup.plans.base import Registry, r6, table
 from lineup.plans.join_queries import _split, _SPLIT
 from lineup.plans.window_queries import _YEARS, seasons
@@ -72,7 +73,7 @@ def p23(spark, d):
 
 @R("P24_substring_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%' ORDER BY p_name, p_partkey LIMIT 20")
 def p24(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").ilike("%RING%")).orderBy("p_name", "p_partkey").limit(20).select("p_partkey", "p_name")
+    return B.substring_search(table(spark, d, "part"), "p_name", "RING", 20, "p_partkey").select("p_partkey", "p_name")
 
 
 @R("P28_pace_match", "SELECT s_suppkey, round(CASE WHEN s_suppkey % 5 = 0 THEN 50 ELSE greatest(0, 1 - abs(s_acctbal - 4000) / 6000) * 100 END, 6) AS pace FROM supplier")
@@ -134,7 +135,7 @@ def p57(spark, d):
 @R("P64_cohort_bucket", f"SELECT o_custkey, season, CASE WHEN n <= 1 THEN 'low' WHEN n <= 3 THEN 'mid' ELSE 'high' END AS cohort FROM {_YEARS}")
 def p64(spark, d):
     n = F.col("n")
-    return seasons(spark, d).select("o_custkey", "season", F.when(n <= 1, "low").when(n <= 3, "mid").otherwise("high").alias("cohort"))
+    return seasons(spark, d).select("o_custkey", "season", B.cohort_bucket(n, [1, 3], ["low", "mid", "high"]).alias("cohort"))
 
 
 @R("P65_success_label", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_tax > 0.01 THEN l_discount >= l_tax WHEN l_linenumber > 2 THEN l_quantity >= 25 END AS success, CASE WHEN l_tax > 0.01 THEN 'projected' WHEN l_linenumber > 2 THEN 'earlier' ELSE 'none' END AS rule FROM lineitem")
@@ -235,10 +236,7 @@ def a42(spark, d):
 @R("A44_season_coverage_gaps", f"SELECT s.season, count(*) AS expected, count_if(y.o_custkey IS NULL) AS missing FROM customer CROSS JOIN (SELECT DISTINCT season FROM {_YEARS}) s LEFT JOIN {_YEARS} y ON y.o_custkey = c_custkey AND y.season = s.season GROUP BY 1")
 def a44(spark, d):
     """Expected keys per season against those present: counts suffice, so keys and seasons are not crossed."""
-    y = seasons(spark, d)
-    total = table(spark, d, "customer").agg(F.count("*").alias("expected"))
-    have = y.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").groupBy("season").agg(F.count("*").alias("n"))
-    return have.crossJoin(F.broadcast(total)).select("season", "expected", (F.col("expected") - F.col("n")).alias("missing"))
+    return B.coverage_gaps(seasons(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "season")
 
 
 @R("T03_top_features", "SELECT vec_id, array_to_string(list_transform(list_slice(list_sort(list_filter(list_transform(range(1, 5), lambda i: {'m': -embedding[i]::DOUBLE, 'n': 'f' || i}), lambda s: s.m < 0)), 1, 2), lambda s: s.n), ',') AS top FROM embeddings")
@@ -287,7 +285,7 @@ def s12(spark, d):
 
 @R("S15_payload", "SELECT c_custkey, '{\"nation\":' || c_nationkey || ',\"segment\":\"' || c_mktsegment || '\"}' AS payload FROM customer")
 def s15(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))).alias("payload"))
+    return table(spark, d, "customer").select("c_custkey", B.payload(nation=F.col("c_nationkey"), segment=F.col("c_mktsegment")).alias("payload"))
 
 
 @R("S17_ingest_fact", "SELECT count(*) AS n, count_if(s_suppkey IS NULL) AS unmatched, round(sum(l_quantity), 2) AS quantity FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey + 5")
@@ -308,8 +306,8 @@ def j14(spark, d):
 
 @R("J19_snapshot_members", "SELECT o_custkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) JOIN lineitem ON l_orderkey = o_orderkey WHERE r = 1")
 def j19(spark, d):
-    last = W.latest_per_key(table(spark, d, "orders"), "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
-    return last.join(table(spark, d, "lineitem"), "l_orderkey").select("o_custkey", "l_partkey")
+    snapshots = table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    return B.snapshot_members(snapshots, table(spark, d, "lineitem"), "o_custkey", "l_orderkey", F.desc("o_orderdate"), F.desc("l_orderkey")).select("o_custkey", "l_partkey")
 
 
 @R("J26_key_crosswalk", "SELECT n_nationkey, n_name AS canonical FROM nation")
@@ -332,8 +330,7 @@ def m11(spark, d):
 @R("M13_context_adjust", """WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, avg(l_quantity) AS m FROM lineitem) SELECT l_returnflag, round(avg(l_extendedprice - b * (l_quantity - m)), 2) AS adjusted FROM lineitem, s GROUP BY 1""")
 def m13(spark, d):
     li = table(spark, d, "lineitem")
-    m = M.ridge_fit(li, "l_extendedprice", ["l_quantity"])
-    return li.groupBy("l_returnflag").agg(F.round(F.avg(F.col("l_extendedprice") - m["coef"][0] * (F.col("l_quantity") - m["mean"][0])), 2).alias("adjusted"))
+    return B.context_adjust(li, "l_extendedprice", ["l_quantity"]).groupBy("l_returnflag").agg(F.round(F.avg("adjusted"), 2).alias("adjusted"))
 
 
 @R("M18_rolling_origin", """WITH x AS (SELECT year(o_orderdate) AS s, o_totalprice AS y FROM orders), f AS (SELECT unnest([1997, 1998, 1999]) AS fold), t AS (SELECT fold, avg(y) AS m FROM x JOIN f ON s < fold GROUP BY 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lineup.functions import scalars as S
+from lineup.operators import tables as B
 from lineup.plans.base import Registry, r6, sql_score, table
 
 R = Registry()
@@ -123,7 +124,7 @@ def p35(spark, d):
 
 @R("P36_json_get", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS k FROM events")
 def p36(spark, d):
-    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("double"), F.lit(0.0)).alias("k"))
+    return table(spark, d, "events").select("event_id", B.json_get_or_default(F.col("props"), "$.k", 0).alias("k"))
 
 
 @R("P46_interval_probability", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CASE WHEN l_discount > 0 THEN 1 / (1 + exp(-(l_quantity - 25) / (l_discount * 100))) ELSE (l_quantity >= 25)::INT::DOUBLE END, 6) AS p FROM lineitem")
