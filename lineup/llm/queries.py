@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, quality, substring_dup, token_store, vectors
+from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, quality, substring_dup, token_store, vectors, winnowing
 
 QUERIES = {
     "op1_nearest_neighbours": vectors.query_nearest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ftrl_quality": quality.query,
     "op9_license_scan": license_scan.query,
     "op10_fm_index_repeats": substring_dup.query,
+    "op11_winnowing": winnowing.query,
 }
 SQL = {
     "op1_nearest_neighbours": vectors.SQL_NEAREST,
