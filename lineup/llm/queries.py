@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineup.llm import bpe_reuse, chat, license_scan, near_dup, packing, quality, resampling, substring_dup, token_store, vectors, winnowing
+from lineup.llm import bpe_reuse, chat, collocations, license_scan, near_dup, packing, quality, resampling, substring_dup, token_store, vectors, winnowing
 
 QUERIES = {
     "op1_nearest_neighbours": vectors.query_nearest,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_license_scan": license_scan.query,
     "op10_fm_index_repeats": substring_dup.query,
     "op11_winnowing": winnowing.query,
+    "op12_collocations": collocations.query,
     "op13_importance_resampling": resampling.query,
 }
 SQL = {
     "op1_nearest_neighbours": vectors.SQL_NEAREST,
     "op2_exact_topk": vectors.SQL_PRODUCTS,
     "op7_chat_parts": chat.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_importance_resampling": resampling.SQL,
 }
