@@ -2,47 +2,24 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from lineup.functions.scalars import first_last, levenshtein_ratio
+from lineup.operators.similar import sequence_ratio, similar_pairs, smallest, tokenwise_ratio
 
+__all__ = ["sequence_ratio", "tokenwise_ratio"]
 # Strict and relaxed similarity, the margin between the best two, the limits inside a roster and over all names.
 STRICT, RELAXED, MARGIN, IN_ROSTER, OVERALL, CLOSE = 0.82, 0.75, 0.05, 0.88, 0.90, 3
 
 
-def _blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Similarity by matching blocks, as Python's sequence matcher has it; NULL beside NULL."""
-    return F.pandas_udf(_blocks_ratio, DoubleType())(a, b)
-
-
-def _ratio(how: str, a: Column, b: Column) -> Column:
-    if how not in ("edits", "sequence"):
-        raise ValueError("how is edits or sequence")
-    return levenshtein_ratio(a, b) if how == "edits" else sequence_ratio(a, b)
-
-
-def _could(a: Column, b: Column, least: float) -> Column:
-    """Whether the lengths allow the similarity, before it is computed."""
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return 2 * short >= least * (short + long)
-
-
 def match_names(names: DataFrame, roster: DataFrame, block: list[str], how: str = "edits", strict: float = STRICT, relaxed: float = RELAXED) -> DataFrame:
     """Per name (``name_id, name, position`` and the block) ``member, confidence, status``.
 
     ``roster``: ``member, member_name, member_position`` and the block. Candidates have the name's position where the block has any such member. The first of
     three passes with a hit decides: strict, relaxed, relaxed over the whole block. One hit is matched; of several (``CLOSE`` at most) one with the
-    name's position is; else the name is ambiguous. A name whose block has no member is ``no_school``.
+    name's position is; else the name is ambiguous. A name whose block has no member is ``no_school``. Pairs come from the similarity join of
+    distinct names; of members with one name and position the ``CLOSE`` smallest take part.
     """
     left = names.select("name_id", "name", "position", *block)
     right = roster.select("member", "member_name", "member_position", *block)
@@ -50,8 +27,8 @@ def match_names(names: DataFrame, roster: DataFrame, block: list[str], how: str
     held = right.groupBy(*block, F.col("member_position").alias("position")).agg(F.lit(True).alias("_held"))
     left = left.join(sizes, block, "left").join(held, [*block, "position"], "left")
     same = F.coalesce(F.col("member_position") == F.col("position"), F.lit(False))
-    pairs = left.join(right, block).where(_could(F.col("name"), F.col("member_name"), relaxed) if how == "sequence" else F.abs(F.length("name") - F.length("member_name")) <= (1 - relaxed) * F.greatest(F.length("name"), F.length("member_name")) + 1e-9)
-    pairs = pairs.withColumn("score", _ratio(how, F.col("name"), F.col("member_name"))).where(F.col("score") >= relaxed)
+    pairs = left.join(similar_pairs(names, right, block, relaxed, how), [*block, "name"]).where(F.col("score") >= relaxed)
+    pairs = pairs.join(smallest(right, [*block, "member_name", "member_position"], "member", CLOSE), [*block, "member_name"])
     inside = same | F.col("_held").isNull()
     pairs = pairs.withColumn("_pass", F.when(inside & (F.col("score") >= strict), 1).when(inside, 2).otherwise(3))
     order = Window.partitionBy("name_id").orderBy("_pass", F.desc("score"), "member")
@@ -68,26 +45,24 @@ def match_names(names: DataFrame, roster: DataFrame, block: list[str], how: str
     return out.select("name_id", found["member"].alias("member"), F.round(found["score"], 3).alias("confidence"), status.alias("status"))
 
 
-def tokenwise_ratio(a: Column, b: Column, how: str = "edits") -> Column:
-    """The smaller of the first names' and the last names' similarity."""
-    (f1, l1), (f2, l2) = first_last(a), first_last(b)
-    return F.least(_ratio(how, f1, f2), _ratio(how, l1, l2))
-
-
 def match_tokenwise(names: DataFrame, members: DataFrame, block: list[str], least: float, how: str = "edits", margin: float = MARGIN) -> DataFrame:
-    """Per name (``name_id, name``) the best member by token similarity, unless it is under ``least`` or the next is within ``margin``."""
-    pairs = names.select("name_id", "name", *block).join(members.select("member", "member_name", *block), block)
-    pairs = pairs.withColumn("score", tokenwise_ratio(F.col("name"), F.col("member_name"), how))
+    """Per name (``name_id, name``) the best member by token similarity, unless it is under ``least`` or the next is within ``margin``.
+
+    The join looks ``margin`` below ``least``, so that every member that can spoil a match is seen; without a block all members are looked through.
+    """
+    near = similar_pairs(names, members, block, least - margin, how, tokens=True)
+    pairs = names.select("name_id", "name", *block).join(near, [*block, "name"])
+    pairs = pairs.join(smallest(members.select("member", "member_name", *block), [*block, "member_name"], "member", 2), [*block, "member_name"])
     order = Window.partitionBy("name_id").orderBy(F.desc("score"), "member")
     pairs = pairs.withColumns({"_row": F.row_number().over(order), "_next": F.lead("score").over(order)}).where("_row = 1")
     return pairs.where((F.col("score") >= least) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))).select("name_id", "member", "score")
 
 
-def resolve_identities(rows: DataFrame, roster: DataFrame, school: list[str], order: list[str], how: str = "edits", names_block: Column | None = None) -> DataFrame:
+def resolve_identities(rows: DataFrame, roster: DataFrame, school: list[str], order: list[str], how: str = "edits") -> DataFrame:
     """Per row (``name_id, name``, the school columns) ``member, tier, exact``: exact name in its school's roster, token match there, a name
     that only one member has anywhere, token match among those names. An id is claimed once: exact before fuzzy, then by ``order``.
 
-    Names over all schools are compared inside ``names_block`` (by default the first letters of both names), so that no row meets all members.
+    The last tier looks through the names of all schools by signatures, so a name whose initial is misspelt is found and no row meets all members.
     """
     rows = rows.withColumn("_key", F.lower("name"))
     members = roster.select(*school, "member", F.lower("member_name").alias("member_name"))
@@ -98,12 +73,7 @@ def resolve_identities(rows: DataFrame, roster: DataFrame, school: list[str], or
     unique = members.groupBy("member_name").agg(F.min("member").alias("member"), F.max("member").alias("_last")).where("member = _last").drop("_last")
     three = rows.join(unique.withColumnRenamed("member_name", "_key"), "_key").select("name_id", "member", F.lit(3).alias("tier"))
 
-    def block(c: Column) -> Column:
-        first, last = first_last(c)
-        return F.concat(F.left(first, F.lit(1)), F.left(last, F.lit(1)))
-
-    key = block if names_block is None else names_block
-    four = match_tokenwise(lower.select("name_id", "name", key(F.col("name")).alias("_b")), unique.withColumn("_b", key(F.col("member_name"))), ["_b"], OVERALL, how).select("name_id", "member", F.lit(4).alias("tier"))
+    four = match_tokenwise(lower.select("name_id", "name"), unique, [], OVERALL, how).select("name_id", "member", F.lit(4).alias("tier"))
     tiers = one.unionByName(two).unionByName(three).unionByName(four)
     first = tiers.groupBy("name_id").agg(F.min_by("member", "tier").alias("member"), F.min("tier").alias("tier"))
     claims = rows.select("name_id", *order).join(first, "name_id").withColumn("exact", F.col("tier").isin(1, 3))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lineup.functions.scalars import cosine_score, first_last, initials, levenshtein_ratio, normalize_name
+from lineup.functions.scalars import cosine_score, first_last, initials, normalize_name
+from lineup.operators.similar import similar_pairs, smallest
 from lineup.operators.windows import _by, latest_per_key
 
 #: A dimension of up to this many rows may be broadcast; larger ones are joined by a shuffle.
@@ -90,10 +91,14 @@ def knn(points: DataFrame, targets: DataFrame, key: str, vector: str, n: int) ->
 
 
 def fuzzy_match(names: DataFrame, roster: DataFrame, name_id: str, name: str, member_id: str, member: str, block: Column, member_block: Column, strict: float = 0.82, relaxed: float = 0.75, margin: float = 0.05) -> DataFrame:
-    """Best roster member in a block by similarity, with status matched, relaxed, ambiguous or unmatched."""
-    left = names.select(name_id, F.col(name).alias("_name"), block.alias("_block"))
-    right = roster.select(member_id, F.col(member).alias("_member"), member_block.alias("_block"))
-    scored = left.join(right, "_block", "left").withColumn("score", levenshtein_ratio(F.col("_name"), F.col("_member")))
+    """Best roster member in a block by similarity, with status matched, relaxed, ambiguous or unmatched; an unmatched name has no score.
+
+    Pairs come from the similarity join, which looks ``margin`` below ``relaxed`` for a second member that makes the best ambiguous.
+    """
+    left = names.select(name_id, F.col(name).alias("name"), block.alias("_block"))
+    right = roster.select(member_id, F.col(member).alias("member_name"), member_block.alias("_block"))
+    near = similar_pairs(left, right, ["_block"], relaxed - margin).join(smallest(right, ["_block", "member_name"], member_id, 2), ["_block", "member_name"])
+    scored = left.join(near, ["_block", "name"], "left")
     w = Window.partitionBy(name_id).orderBy(F.desc_nulls_last("score"), member_id)
     scored = scored.withColumns({"_row": F.row_number().over(w), "_second": F.lead("score").over(w)}).where("_row = 1")
     status = (
@@ -102,7 +107,7 @@ def fuzzy_match(names: DataFrame, roster: DataFrame, name_id: str, name: str, me
         .when(F.col("score") >= strict, "matched")
         .otherwise("relaxed")
     )
-    return scored.select(name_id, F.when(status.isin("matched", "relaxed"), F.col(member_id)).alias(member_id), "score", status.alias("status"))
+    return scored.select(name_id, F.when(status.isin("matched", "relaxed"), F.col(member_id)).alias(member_id), F.when(F.col("score") >= relaxed, F.col("score")).alias("score"), status.alias("status"))
 
 
 def name_block(x: Column) -> Column:

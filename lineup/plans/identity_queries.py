@@ -99,7 +99,7 @@ def j13(spark, d):
 t1 AS (SELECT name_id, min(member) AS member, 1 AS tier FROM n JOIN ros USING (school) WHERE name = member_name GROUP BY 1),
 t2 AS (SELECT name_id, member, 2 AS tier FROM ({_tokenwise('n', 'ros', 'n.school = r.school', 0.88)})),
 t3 AS (SELECT name_id, member, 3 AS tier FROM n JOIN u ON name = member_name),
-t4 AS (SELECT name_id, member, 4 AS tier FROM ({_tokenwise('n', 'u', "left(split_part(n.name, ' ', 1), 1) = left(split_part(r.member_name, ' ', 1), 1) AND left(split_part(n.name, ' ', -1), 1) = left(split_part(r.member_name, ' ', -1), 1)", 0.9)})),
+t4 AS (SELECT name_id, member, 4 AS tier FROM ({_tokenwise('n', 'u', "true", 0.9)})),
 a AS (SELECT name_id, arg_min(member, tier) AS member, min(tier) AS tier FROM (FROM t1 UNION ALL FROM t2 UNION ALL FROM t3 UNION ALL FROM t4) GROUP BY 1),
 c AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY (tier IN (1, 3)) DESC, name_id) AS rn FROM a)
 SELECT n.name_id, c.member, c.tier, (c.tier IN (1, 3)) AS exact FROM n LEFT JOIN c ON c.name_id = n.name_id AND rn = 1""")

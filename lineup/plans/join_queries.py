@@ -90,7 +90,7 @@ def _names(spark, d):
     return s.select(F.col("s_suppkey").alias("name_id"), name.alias("name"), F.col("s_nationkey").alias("b")), s
 
 
-@R("J12_fuzzy_match", _FUZZY + "SELECT name_id, CASE WHEN status IN ('matched', 'relaxed') THEN s_suppkey END AS s_suppkey, round(score, 6) AS score, status FROM t")
+@R("J12_fuzzy_match", _FUZZY + "SELECT name_id, CASE WHEN status IN ('matched', 'relaxed') THEN s_suppkey END AS s_suppkey, CASE WHEN score >= 0.75 THEN round(score, 6) END AS score, status FROM t")
 def j12(spark, d):
     names, s = _names(spark, d)
     return J.fuzzy_match(names, s, "name_id", "name", "s_suppkey", "s_name", F.col("b"), F.col("s_nationkey")).select("name_id", "s_suppkey", r6("score"), "status")

@@ -295,12 +295,17 @@ def s17(spark, d):
     return facts.agg(F.count("*").alias("n"), F.count_if(F.col("s_suppkey").isNull()).alias("unmatched"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@R("J14_fuzzy_initials", "SELECT p_partkey, p_partkey AS best FROM part WHERE p_partkey < 0")
+@R("J14_fuzzy_initials", """WITH p AS (SELECT p_name, min(p_partkey) AS best, left(p_name, 1) || left(split_part(p_name, ' ', -1), 1) AS block FROM part GROUP BY 1),
+n AS (SELECT best AS p_partkey, CASE best % 3 WHEN 0 THEN left(p_name, length(p_name) - 1) WHEN 1 THEN replace(p_name, 'e', 'i') ELSE 'z' || substr(p_name, 2) END AS name FROM p),
+s AS (SELECT p_partkey, best, 1 - levenshtein(name, p_name) / greatest(length(name), length(p_name), 1)::DOUBLE AS score FROM n JOIN p ON block = left(name, 1) || left(split_part(name, ' ', -1), 1)),
+r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC, best))
+SELECT p_partkey, best FROM r WHERE rn = 1 AND score >= 0.75 AND (score >= 1 OR score - coalesce(second, 0) >= 0.05)""")
 def j14(spark, d):
-    """Members of other initials are never compared; the same names tie and are ambiguous, so nothing is claimed."""
-    p = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    names = p.select("p_partkey", F.concat(F.lit("zz "), F.col("p_name")).alias("name"))
-    out = J.fuzzy_match(names, p.select(F.col("p_partkey").alias("best"), "p_name"), "p_partkey", "name", "best", "p_name", J.name_block(F.col("name")), J.name_block(F.col("p_name")))
+    """Distinct names in altered spellings; members of other initials are never compared, so names with a wrong first letter find nothing."""
+    p = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("best"))
+    kind = F.col("best") % 3
+    name = F.when(kind == 0, F.left("p_name", F.length("p_name") - 1)).when(kind == 1, F.replace("p_name", F.lit("e"), F.lit("i"))).otherwise(F.concat(F.lit("z"), F.substring("p_name", 2, 10_000)))
+    out = J.fuzzy_match(p.select(F.col("best").alias("p_partkey"), name.alias("name")), p, "p_partkey", "name", "best", "p_name", J.name_block(F.col("name")), J.name_block(F.col("p_name")))
     return out.where(F.col("best").isNotNull()).select("p_partkey", "best")
 
 
