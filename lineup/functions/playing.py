@@ -163,9 +163,9 @@ def box_factors(usage: Column, source_usage: Column, passing: Column, big: Colum
     return F.struct(f.alias("usage"), clip(1 + 0.5 * (f - 1) + context, 0.85, 1.15).alias("assist"), clip(1 + 0.75 * (f - 1), 0.85, 1.20).alias("turnover"), tall(frontcourt_need).alias("rebound"), tall(rim_need).alias("block"))
 
 
-def rescale_rates(rates: Column, factors: Column, minutes: Column, digits: int = 2) -> Column:
-    """A map of rates per 40 minutes as rates per game, each with the multiplier of its prefix."""
-    share = F.greatest(_or(minutes, 0), F.lit(0.0)) / 40
+def rescale_rates(rates: Column, factors: Column, minutes: Column, digits: int | None = 2) -> Column:
+    """A map of rates per 40 minutes as rates per game, each with the multiplier of its prefix; without ``digits`` as they are."""
+    played = F.greatest(_or(minutes, 0), F.lit(0.0))
 
     def factor(key: Column) -> Column:
         out = F.lit(1.0)
@@ -173,7 +173,8 @@ def rescale_rates(rates: Column, factors: Column, minutes: Column, digits: int =
             out = F.when(F.startswith(F.lower(key), F.lit(prefix)), factors[name]).otherwise(out)
         return out
 
-    scaled = F.transform_values(F.coalesce(rates, F.create_map().cast("map<string,double>")), lambda k, v: F.round(_or(v, 0) * factor(k) * share, digits))
+    per_game = lambda k, v: _or(v, 0) * factor(k) * played / 40
+    scaled = F.transform_values(F.coalesce(rates, F.create_map().cast("map<string,double>")), per_game if digits is None else lambda k, v: F.round(per_game(k, v), digits))
     return F.transform_keys(scaled, lambda k, v: F.replace(k, F.lit("_per_40"), F.lit("_per_game")))
 
 

@@ -100,12 +100,13 @@ def archetype_deficits(df: DataFrame, season: str, school: str, label: str, n: i
     return grid.groupBy(season, school).agg(F.transform(F.slice(listed, 1, n), lambda s: s["l"]).alias("deficit"))
 
 
-def gap_match(df: DataFrame, features: list[str], season: str = "season", school: str = "school", player: str = "player", top: int = 3, digits: tuple[int, int] = (2, 6)) -> DataFrame:
+def gap_match(df: DataFrame, features: list[str], season: str = "season", school: str = "school", player: str = "player", top: int = 3, digits: tuple[int, int] = (2, 6), noise: int = 6) -> DataFrame:
     """How well each player covers what each school of the season lacks, by soft positions.
 
     ``df``: ``player, season, school``, features (missing ones become medians), ``weights`` (an array, one per position), ``reliability`` (position
     source), ``games, min_pct, archetype``. Per position a school's gap is the season's weighted mean less its own, at least 0; a player's scaled
-    features meet each scaled gap by cosine, weighted by position, and the score is drawn to the baseline as reliability falls.
+    features meet each scaled gap by cosine, weighted by position, and the score is drawn to the baseline as reliability falls. Scaled features and gaps are held to ``noise``
+    decimals: what the order of additions leaves of two equal means is no gap, though its direction would count in full.
     """
     n, m = len(features), len(POSITIONS)
     # missing features and sample size, as reliability
@@ -123,10 +124,10 @@ def gap_match(df: DataFrame, features: list[str], season: str = "season", school
     gaps = [[F.greatest(F.lit(0.0), F.col(f"_b{p}_{k}") - own(p, k)) for k in range(n)] for p in range(m)]
     schools = roster.select(season, school, F.array(*[g for row in gaps for g in row]).alias("_gap"), F.array(*[depth_score(F.coalesce(f"_w{p}", F.lit(0.0))) for p in range(m)]).alias("_depth"))
     at = lambda c, p, k: F.get(c, F.lit(p * n + k))
-    units = F.array(*[u for p in range(m) for u in unit([at("_gap", p, k) / float(spread[k]) for k in range(n)])])
+    units = F.array(*[u for p in range(m) for u in unit([F.round(at("_gap", p, k) / float(spread[k]), noise) for k in range(n)])])
     schools = schools.withColumn("_unit", units).join(archetype_deficits(df, season, school, "archetype"), [season, school], "left")
     schools = schools.withColumnRenamed(school, "to_school")
-    scaled = unit([(F.col(f) - float(centre[k])) / float(spread[k]) for k, f in enumerate(features)])
+    scaled = unit([F.round((F.col(f) - float(centre[k])) / float(spread[k]), noise) for k, f in enumerate(features)])
     people = d.select(player, season, "weights", "_rel", "archetype", *[u.alias(f"_p{k}") for k, u in enumerate(scaled)])
     pairs = people.join(small(schools), season)
     parts = [F.col(f"_p{k}") * _add([w[p] * at("_unit", p, k) for p in range(m)]) * 100 for k in range(n)]

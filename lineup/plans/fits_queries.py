@@ -77,7 +77,7 @@ b AS (SELECT season, {_SUMS} FROM i GROUP BY 1), r AS (SELECT season, school, {_
 lg AS (SELECT season, segment, count(*) / sum(count(*)) OVER (PARTITION BY season) AS s FROM p GROUP BY 1, 2), ow AS (SELECT season, school, segment, count(*) / sum(count(*)) OVER (PARTITION BY season, school) AS s FROM p GROUP BY 1, 2, 3),
 df AS (SELECT season, school, list(segment) AS deficit FROM (SELECT z.season, z.school, lg.segment, row_number() OVER (PARTITION BY z.season, z.school ORDER BY lg.s - coalesce(ow.s, 0) DESC, lg.segment) AS rn FROM (SELECT DISTINCT season, school FROM p) z JOIN lg ON lg.season = z.season LEFT JOIN ow ON ow.season = z.season AND ow.school = z.school AND ow.segment = lg.segment WHERE lg.s - coalesce(ow.s, 0) > 0) WHERE rn <= 2 GROUP BY 1, 2),
 s AS (SELECT r.season, r.school, {_GAPS}, {', '.join(f'least(greatest(100 - 20 * r.w{p}, 0), 100) AS dp{p}' for p in range(5))} FROM r JOIN b ON b.season = r.season),
-x AS (SELECT i.player, s.school AS to_school, i.season, i.rel, i.segment, w, [{', '.join(f'(i.{f} - c_{f}) / d_{f}' for f in _F)}] AS v, {', '.join(f"[{', '.join(f'g{p}[{k + 1}] / d_{f}' for k, f in enumerate(_F))}] AS h{p}" for p in range(5))}, g0, g1, g2, g3, g4, dp0, dp1, dp2, dp3, dp4, df.deficit FROM i JOIN s ON s.season = i.season LEFT JOIN df ON df.season = s.season AND df.school = s.school, sc),
+x AS (SELECT i.player, s.school AS to_school, i.season, i.rel, i.segment, w, [{', '.join(f'round((i.{f} - c_{f}) / d_{f}, 6)' for f in _F)}] AS v, {', '.join(f"[{', '.join(f'round(g{p}[{k + 1}] / d_{f}, 6)' for k, f in enumerate(_F))}] AS h{p}" for p in range(5))}, g0, g1, g2, g3, g4, dp0, dp1, dp2, dp3, dp4, df.deficit FROM i JOIN s ON s.season = i.season LEFT JOIN df ON df.season = s.season AND df.school = s.school, sc),
 y AS (SELECT *, {' + '.join(f'w[{p + 1}] * (CASE WHEN list_sum(list_transform(h{p}, lambda z: z * z)) > 0 THEN list_cosine_similarity(v, h{p}) ELSE 0 END)' for p in range(5))} AS cs FROM x)
 SELECT player, to_school, season, round({_C.format('cs * 100')}, 6) AS raw_gap, round({_C.format(f"rel * {_C.format('cs * 100')} + (1 - rel) * 15")}, 6) AS gap, round(rel, 6) AS reliability, round({' + '.join(f'w[{p + 1}] * dp{p}' for p in range(5))}, 6) AS depth, coalesce(list_contains(deficit, segment), false) AS archetype_needed,
 round(v[3] / sqrt(list_sum(list_transform(v, lambda z: z * z))) * ({' + '.join(f'w[{p + 1}] * (CASE WHEN list_sum(list_transform(h{p}, lambda z: z * z)) > 0 THEN h{p}[3] / sqrt(list_sum(list_transform(h{p}, lambda z: z * z))) ELSE 0 END)' for p in range(5))}) * 100, 6) + 0.0::DOUBLE AS part_tax FROM y""")

@@ -137,13 +137,13 @@ def p50(spark, d):
 
 @R("P51_rescale_rates", f"""WITH x AS (SELECT *, least(greatest(u / 100, 0.05), 0.5) AS own FROM ({_IN})),
 y AS (SELECT *, least(greatest(own / least(greatest(starter, 0.05), 0.5), 0.8), 1.2) AS f, least(greatest(((c_custkey % 90) - 50) / 50 * least(greatest((0.25 - least(own, 0.35)) / 0.25, 0), 1) * 0.1, -0.08), 0.08) AS ctx, c_custkey % 3 = 0 AS big FROM x)
-SELECT c_custkey, round(u * f * m / 40, 6) AS pts_per_game, round(width * least(greatest(1 + 0.5 * (f - 1) + ctx, 0.85), 1.15) * m / 40, 6) AS ast_per_game, round(players * least(greatest(1 + 0.75 * (f - 1), 0.85), 1.2) * m / 40, 6) AS tov_per_game,
-round(u * CASE WHEN big THEN 1 + 0.08 * coalesce(rotation, 0) ELSE 1 END * m / 40, 6) AS oreb_per_game, round(u * CASE WHEN big THEN 1 + 0.08 * coalesce(reliable, 0) ELSE 1 END * m / 40, 6) AS blk_per_game, round(u * m / 40, 6) AS fga_per_game FROM y""")
+SELECT c_custkey, u * f * m / 40 AS pts_per_game, width * least(greatest(1 + 0.5 * (f - 1) + ctx, 0.85), 1.15) * m / 40 AS ast_per_game, players * least(greatest(1 + 0.75 * (f - 1), 0.85), 1.2) * m / 40 AS tov_per_game,
+u * CASE WHEN big THEN 1 + 0.08 * coalesce(rotation, 0) ELSE 1 END * m / 40 AS oreb_per_game, u * CASE WHEN big THEN 1 + 0.08 * coalesce(reliable, 0) ELSE 1 END * m / 40 AS blk_per_game, u * m / 40 AS fga_per_game FROM y""")
 def p51(spark, d):
     stats = {"pts": "u", "ast": "width", "tov": "players", "oreb": "u", "blk": "u", "fga": "u"}
     rates = F.create_map(*[x for k, c in stats.items() for x in (F.lit(f"{k}_per_40"), F.col(c))])
     factors = P.box_factors(F.col("u") / 100, F.col("starter"), (F.col("c_custkey") % 90).cast("double"), F.col("c_custkey") % 3 == 0, F.col("rotation"), F.col("reliable"))
-    rows = _in(spark, d).select("c_custkey", P.rescale_rates(rates, factors, F.col("m"), digits=6).alias("r"))
+    rows = _in(spark, d).select("c_custkey", P.rescale_rates(rates, factors, F.col("m"), digits=None).alias("r"))
     return rows.select("c_custkey", *[F.col("r")[f"{k}_per_game"].alias(f"{k}_per_game") for k in stats])
 
 
