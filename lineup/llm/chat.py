@@ -4,7 +4,8 @@ A turn's content is an ordered array of parts ``struct<kind string, text string,
 flattens it into one string: text parts are escaped, an image, audio or document part becomes a placeholder
 ``<|kind:index:tokens|>``, and an attachment record (kind, reference, placeholder index, expanded token count) is kept. A turn is written
 as ``<|turn|>role LF content<|end|> LF``. Escaping touches control strings only and is undone exactly; kinds are escaped too, so neither a
-text nor a kind can write a turn or a placeholder, and reading back tells a placeholder from a text that looks like one.
+text nor a kind can write a turn or a placeholder, and reading back tells a placeholder from a text that looks like one. Between two text parts that stand
+side by side a border mark is written, so that no control string forms across them and reading back returns them as they were.
 
 Defined results: null text is an empty part, a null role an empty role, null parts no parts, a null kind the kind ``unknown``; empty text parts leave no
 trace; turns are ordered by turn number (nulls first), then role and content, so repeated rows stay in the conversation; a row with a null
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 # The escape mark, then each control string's opening and what it becomes. The order matters for undoing.
 ESCAPES = (("~", "~0"), ("<|", "~1|"), ("</s>", "~1/s>"), ("<s>", "~1s>"), ("[INST]", "~2INST]"), ("[/INST]", "~2/INST]"))
+#: Between adjacent text parts; a raw ``~`` is always escaped, so no text can write it.
+BORDER = "~3"
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 #: Tokens that a unit of an attachment expands to: image patches, seconds of audio, document pages.
 UNIT_TOKENS = {"image": 1, "audio": 25, "document": 512}
@@ -31,7 +34,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    for code, raw in (("~1", "<"), ("~2", "["), ("~0", "~")):
+    for code, raw in ((BORDER, ""), ("~1", "<"), ("~2", "["), ("~0", "~")):
         text = F.replace(text, F.lit(code), F.lit(raw))
     return text
 
@@ -61,9 +64,10 @@ def _tokens(part: Column) -> Column:
     return (F.greatest(F.coalesce(part["units"], F.lit(1)), F.lit(0)) * per).cast("bigint")
 
 
-def _visit(part: Column, index: Column) -> Column:
+def _visit(part: Column, index: Column, before: Column) -> Column:
     mark = F.concat(F.lit("<|"), _safe_name(escape(F.coalesce(part["kind"], F.lit("unknown")))), F.lit(":"), index.cast("string"), F.lit(":"), _tokens(part).cast("string"), F.lit("|>"))
-    return F.when(part["kind"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark)
+    border = F.when((index > 0) & F.coalesce(before["kind"] == "text", F.lit(False)), BORDER).otherwise("")
+    return F.when(part["kind"] == "text", F.concat(border, escape(F.coalesce(part["text"], F.lit(""))))).otherwise(mark)
 
 
 def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
@@ -80,7 +84,7 @@ def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
             "turns",
             lambda t: F.struct(
                 F.concat(F.lit(OPEN), _safe_name(escape(t["role"])), F.lit("\n")).alias("head"),
-                F.array_join(F.transform(t["parts"], _visit), "").alias("body"),
+                F.array_join(F.transform(t["parts"], lambda p, i: _visit(p, i, F.get(t["parts"], i - 1))), "").alias("body"),
                 (t["role"] == "assistant").alias("loss"),
             ),
         ),
@@ -117,10 +121,8 @@ def _parts(body: Column, turn: Column) -> Column:
     """Typed parts of a formatted content: raw ``<|`` only opens placeholders there."""
 
     def text(x):
-        return F.filter(
-            F.array(F.struct(F.lit("text").alias("kind"), unescape(x).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("tokens"))),
-            lambda p: p["text"] != "",
-        )
+        part = lambda own: F.struct(F.lit("text").alias("kind"), unescape(own).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("tokens"))
+        return F.filter(F.transform(F.split(x, BORDER), part), lambda p: p["text"] != "")
 
     def rest(x):
         mark = F.split(F.substring_index(x, "|>", 1), ":")
@@ -145,7 +147,6 @@ def read_back(df: DataFrame, parts: bool = True) -> DataFrame:
 
 def digests(df: DataFrame) -> DataFrame:
     """The counts and digests of formatted chats, from what is read back."""
-    # a barrier keeps the long string from being built again for each use
     back = read_back(df, parts=False)
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
     return back.select(

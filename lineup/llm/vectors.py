@@ -11,7 +11,10 @@ query's current k-th best are recomputed in double precision and pushed on the q
 Operator 2 (integer inner product): vectors are turned to the principal axes of the cell's candidates, which changes no distance. Means and
 deviations of segments of the turned dimensions, coarse to fine (``_edges``), give a lower bound of each distance and so an upper
 bound of each product; exact products of the original whole components are computed for survivors only. Where a product
-could leave the whole numbers that doubles hold, the survivors are computed in Python's integers; a returned score beyond a bigint is an error.
+could leave the whole numbers that doubles hold, the survivors are computed in Python's integers; pairs with a component of ``WILD`` or more, for which the
+bounds could overflow, are all computed in them; a returned score beyond a bigint is an error.
+
+Operator 1 first scales each vector by a power of two to a largest component of 0.5 to 1, which changes no cosine and keeps squares in range.
 
 Rows take no part if the vector is null, empty, or holds null or non-finite components (operator 1: also zero vectors). Vectors of different length are never compared. Ids are keys: a row never
 meets a row of the same id, and of repeated ids the best score counts once. Ties go to the smaller id. Empty tables
@@ -32,6 +35,8 @@ from pyspark.sql.window import Window
 #: Rows of a tile, and the most components (8 bytes each) of either side in a cell.
 TILE_Q, TILE_C = 256, 2048
 CELL_Q, CELL_C = 1_000_000, 4_000_000
+#: Components of this size are left to whole numbers (operator 2).
+WILD = 1e130
 
 
 def _grid(spark, queries: tuple[int, int], rows: tuple[int, int]) -> tuple[int, int]:
@@ -61,6 +66,14 @@ def _matrix(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarra
     return out
 
 
+def _near(score: int) -> float:
+    """A whole number as a double, infinite beyond them."""
+    try:
+        return float(score)
+    except OverflowError:
+        return math.inf if score > 0 else -math.inf
+
+
 class Best:
     """The ``k`` best (score, smaller id) of each query, as heaps; ``floor`` is what a new score has to reach.
 
@@ -103,7 +116,7 @@ class Best:
         """As ``push`` for whole scores of any size, which are compared as they are."""
         for a, i, s in zip(q.tolist(), ids.tolist(), scores, strict=True):
             if self._one(a, i, s):
-                self.floor[a] = np.nextafter(float(self.heaps[a][0][0]), -np.inf)
+                self.floor[a] = np.nextafter(_near(self.heaps[a][0][0]), -np.inf)
 
 
 def cosine_cell(qi, q, ci, c, best: Best) -> None:
@@ -217,14 +230,38 @@ def product_cell(qi, q, ci, c, best: Best) -> int:
     return tried
 
 
+def _whole_row(x: np.ndarray) -> list[int]:
+    """``floor(256 x)`` as Python integers; a double of 2^60 or more is whole."""
+    return [int(v) * 256 if abs(v) >= 1 << 60 else math.floor(256 * v) for v in x.tolist()]
+
+
+def whole_cell(qi, q, ci, c, best: Best) -> None:
+    """``product_cell`` of ``floor(256 x)``; pairs with a vector of huge components are computed in whole numbers, all of them."""
+    wild_q, wild_c = np.abs(q).max(axis=1) >= WILD, np.abs(c).max(axis=1) >= WILD
+    if wild_q.any() or wild_c.any():
+        rows = {}
+        for j in range(len(c)):
+            own = _whole_row(c[j])
+            for i in range(len(q)) if wild_c[j] else np.flatnonzero(wild_q).tolist():
+                if qi[i] != ci[j]:
+                    left = rows.setdefault(i, None) or _whole_row(q[i])
+                    rows[i] = left
+                    best.push_whole(np.array([i]), ci[j : j + 1], [sum(v * w for v, w in zip(left, own, strict=True))])
+    tame_q, tame_c = np.flatnonzero(~wild_q), np.flatnonzero(~wild_c)
+    if len(tame_q) and len(tame_c):
+        rest = Best(len(tame_q), best.k, best.repeated)
+        rest.heaps, rest.floor = [best.heaps[i] for i in tame_q.tolist()], best.floor[tame_q]
+        product_cell(qi[tame_q], np.floor(256.0 * q[tame_q]), ci[tame_c], np.floor(256.0 * c[tame_c]), rest)
+
+
 def _prepare_cosine(ids, x):
-    fine = np.abs(x).max(axis=1) > 0
-    x = x[fine]
+    largest = np.abs(x).max(axis=1)
+    fine = largest > 0
+    x = np.ldexp(x[fine], -np.frexp(largest[fine])[1][:, None])
     return ids[fine], x
 
 
-def _prepare_product(ids, x):
-    x = np.floor(256.0 * x)
+def _as_is(ids, x):
     return ids, x
 
 
@@ -270,7 +307,7 @@ def nearest(df: DataFrame, **args) -> DataFrame:
 
 def largest_products(df: DataFrame, **args) -> DataFrame:
     """Operator 2: largest inner product of ``floor(256 * x)`` components."""
-    return top_k(df, _prepare_product, product_cell, "long", **args)
+    return top_k(df, _as_is, whole_cell, "long", **args)
 
 
 def query_nearest(spark, sf_dir):
