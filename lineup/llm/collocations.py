@@ -2,9 +2,10 @@
 
 Texts are lower-cased in A-Z, split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``; all is per language (null: ``und``).
 
-First scans, a level at a time (single words; pairs; three to ``LONGEST`` words): every n-gram occurrence is a 64-bit hash of its language and words, dealt to
-a hash partition. A map task sums equal hashes and sends sums, so a hot phrase costs a task one row. Each partition has a Misra-Gries summary whose capacity exceeds the
-partition's mass divided by the threshold; batches are merged into it: sums are added, and where more entries are left than the capacity, the entry behind the last
+First scans, a level at a time (single words; pairs; three to ``LONGEST`` words): every n-gram occurrence is a hash of its language and words, dealt to
+a hash partition. A map task sums equal hashes and sends the sums of each partition as one packed row, so a hot phrase costs a task one entry; the partition's mass is
+sent ahead. Each partition has a Misra-Gries summary whose capacity exceeds its mass divided by the threshold; rows are merged into it as they come: sums are
+added, and where more entries are left than the capacity, the entry behind the last
 that fits is subtracted from all. What is subtracted in all stays below the threshold, so no n-gram that is frequent can be lost; entries that can be frequent
 (their count and what was subtracted reach the threshold) survive. An n-gram can only be frequent if its parts are: a level deals only those n-grams whose
 words (pairs) have survived.
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineup.llm.common import column, discard, documents, gram_hashes, lower_ascii, materialize, mix64, signed, small_batches, utf8, values_of, word_hashes
+from lineup.llm.common import column, discard, documents, lower_ascii, materialize, mix64, signed, small_batches, utf8, values_of, word_hashes
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Bits of the filter for each survivor, at least and at most so many in all (powers of two).
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
-#: Sums that a map task holds before it sends them, and entries of a summary (mass of a partition / threshold).
-HELD, SUMMARY = 1 << 21, 1 << 18
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
+#: Hashes that a map task holds before it sends their sums, entries of a summary (mass of a partition / threshold), and hash partitions.
+HELD, SUMMARY, PARTITIONS = 1 << 21, 1 << 16, (512, 1 << 16)
+#: Bytes of texts of one language that are taken together.
+TOGETHER = 1 << 18
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
 _BLANK = bytes(32 if _BREAK[b] else b for b in range(256))
@@ -51,13 +54,13 @@ def _mix_lang(lang: str | None) -> np.uint64:
     return mix64(word_hashes(re.sub(rb"\s", b"_", utf8(lang or "und"))) + np.uint64(77))[0]
 
 
-def parts(text: str | None, longest: int = LONGEST):
-    """The lower-cased text in parts: bytes with blanks for breaks, hashes of the words, the piece of each word, and how many words are carried over.
+def parts(data: bytes, longest: int = LONGEST):
+    """A lower-cased text in parts: bytes with blanks for breaks, hashes of the words, the piece of each word, and how many words are carried over.
 
     A part begins with the last ``longest - 1`` words of the piece that the part before ended in; n-grams among them alone have been seen.
     """
     last = b""
-    for m in _PART.finditer(lower_ascii(utf8(text))):
+    for m in _PART.finditer(data):
         data, carried = last + m.group(), last.count(b" ")
         raw = np.frombuffer(data, dtype=np.uint8)
         word = ~_SPACE[raw]
@@ -70,63 +73,95 @@ def parts(text: str | None, longest: int = LONGEST):
             last = b"".join(w + b" " for w in blank[open_[0] :].split()) if len(open_) else b""
 
 
+def _by_lang(batch: pa.RecordBatch):
+    """``lang, text``: texts of one language of a batch, joined by breaks to ``TOGETHER`` bytes or more."""
+    held: dict[str, list[bytes]] = {}
+    size: Counter = Counter()
+    for lang, text in zip(column(batch, "lang").to_pylist(), values_of(batch, "text")):
+        lang = "und" if lang is None else lang
+        if text:
+            held.setdefault(lang, []).append(lower_ascii(utf8(text)))
+            size[lang] += len(text)
+            if size[lang] > TOGETHER:
+                yield lang, b"\n".join(held.pop(lang))
+                del size[lang]
+    for lang, texts in held.items():
+        yield lang, b"\n".join(texts)
+
+
 class Filter:
-    """A Bloom filter of hashes in ``bits``, an array of 64-bit words."""
+    """A Bloom filter of n-grams in ``bits``, an array of 64-bit words. An n-gram is known by its hash partition and 32 bits of its hash."""
+
+    HASHES = 4
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.n = bits, len(bits) * 64
+    def __init__(self, bits: np.ndarray, partitions: int):
+        self.bits, self.n, self.partitions = bits, len(bits) * 64, partitions
 
     @staticmethod
-    def places(hashes: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-        other = mix64(hashes + np.uint64(0x51ED27))
-        return tuple(((hashes + np.uint64(k) * (other | np.uint64(1))) & np.uint64(n - 1)).astype(np.int64) for k in (1, 2, 3))
+    def identity(hashes: np.ndarray, partitions: int) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) % np.uint64(partitions)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+
+    @classmethod
+    def places(cls, grams: np.ndarray, n: int) -> list[np.ndarray]:
+        one = mix64(grams)
+        other = mix64(one + np.uint64(0x51ED27)) | np.uint64(1)
+        return [((one + np.uint64(k) * other) & np.uint64(n - 1)).astype(np.int64) for k in range(cls.HASHES)]
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), dtype=bool)
-        for at in self.places(hashes, self.n):
+        for at in self.places(self.identity(hashes, self.partitions), self.n):
             found &= (self.bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return found
 
 
-def admissible(words: np.ndarray, piece: np.ndarray, carried: int, n: int, lang: np.uint64, single: Filter | None, pair: Filter | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the n-grams that stand in one piece and whose words and pairs have survived."""
-    count = len(words) - n + 1
-    if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    fit = piece[:count] == piece[n - 1 :]
-    fit[: max(0, carried - n + 1)] = False
-    if n == 2 and single is not None:
-        good = single.holds(gram_hashes(words, 1) ^ lang)
-        fit &= good[:-1] & good[1:]
-    if n > 2 and pair is not None:
-        good = pair.holds(gram_hashes(words, 2) ^ lang)
-        for k in range(n - 1):
-            fit &= good[k : k + count]
-    start = np.flatnonzero(fit)
-    if not len(start):
-        return start, np.zeros(0, np.uint64)
-    return start, gram_hashes(words, n)[start] ^ lang
-
-
-class _Sums:
-    """Counts by hash, merged when many have gathered."""
-
-    def __init__(self):
-        self.parts, self.n = [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.n += len(keys)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
-        keys, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, counts, minlength=len(keys)).astype(np.int64)
-        self.parts, self.n = [(keys, counts)], len(keys)
-        return keys, counts
+_FACTORS = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(64)]
+
+
+class Grams:
+    """The n-grams of a part that may be frequent: all words; pairs of surviving words; longer ones of surviving pairs."""
+
+    def __init__(self, words: np.ndarray, piece: np.ndarray, carried: int, lang: np.uint64, single: Filter | None = None, pair: Filter | None = None):
+        self.words, self.carried, self.lang, self.single, self.pair = words, carried, lang, single, pair
+        self.same = piece[1:] == piece[:-1]
+
+    def hashes(self, start: np.ndarray, n: int) -> np.ndarray:
+        total = np.zeros(len(start), dtype=np.uint64)
+        for j in range(n):
+            total += self.words[start + j] * _FACTORS[j]
+        return mix64(total) ^ self.lang
+
+    def good_words(self) -> np.ndarray:
+        if not hasattr(self, "_words"):
+            every = np.arange(len(self.words))
+            self._words = np.ones(len(every), dtype=bool) if self.single is None else self.single.holds(self.hashes(every, 1))
+        return self._words
+
+    def good_pairs(self) -> np.ndarray:
+        if not hasattr(self, "_pairs"):
+            good = self.good_words()
+            self._pairs = self.same & good[1:] & good[:-1]
+            if self.pair is not None:
+                at = np.flatnonzero(self._pairs)
+                self._pairs[at] = self.pair.holds(self.hashes(at, 2))
+        return self._pairs
+
+    def starts(self, n: int) -> np.ndarray:
+        """Where the n-grams start; those that end among the carried words belong to the part before."""
+        if n == 1:
+            return np.arange(self.carried, len(self.words))
+        count = len(self.words) - n + 1
+        if count <= 0:
+            return np.zeros(0, np.int64)
+        if n == 2:
+            good = self.good_words()
+            fit = self.same & good[1:] & good[:-1]
+        else:
+            good = self.good_pairs()
+            fit = good[:count].copy()
+            for k in range(1, n - 1):
+                fit &= good[k : k + count]
+        fit[: max(0, self.carried - n + 1)] = False
+        return np.flatnonzero(fit)
 
 
 class MisraGries:
@@ -154,104 +189,95 @@ class MisraGries:
 
 
 def summed_hashes(docs: DataFrame, orders: tuple[int, ...], partitions: int, single, pair) -> DataFrame:
-    """``part, hash, n``: sums of a map task; ``part`` is the hash partition of the n-gram."""
+    """``part, mass, keys, counts``: packed sums of a map task by hash partition, and a row without them that only tells the mass."""
 
     def run(batches):
-        held, waiting = _Sums(), _Sums()
+        waiting, n = [], 0
 
         def sent():
-            keys, counts = held.merged()
-            held.parts, held.n = [], 0
-            for k in range(0, len(keys), 1 << 16):
-                key = keys[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)) % np.uint64(partitions), pa.int64()), pa.array(signed(key)), pa.array(counts[k : k + (1 << 16)])], names=["part", "hash", "n"])
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            part = (keys >> np.uint64(32)).astype(np.int64)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+            mass = np.add.reduceat(counts, edge[:-1]).tolist()
+            low, counts = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), counts.astype("<u4")
+            own, none = part[edge[:-1]].tolist(), [None] * len(spans)
+            rows = [own * 2, mass * 2, none + [low[i:j].tobytes() for i, j in spans], none + [counts[i:j].tobytes() for i, j in spans]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["part", "mass", "keys", "counts"])
 
         one, two = single and single.value, pair and pair.value
         for b in batches:
-            for lang, text in zip(column(b, "lang").to_pylist(), values_of(b, "text")):
+            for lang, text in _by_lang(b):
                 seed = _mix_lang(lang)
                 for _, words, piece, carried in parts(text, max(orders)):
-                    for n in orders:
-                        _, found = admissible(words, piece, carried, n, seed, one, two)
-                        if len(found):
-                            waiting.add(found, np.ones(len(found), np.int64))
-                if waiting.n > 1 << 18:
-                    held.add(*waiting.merged())
-                    waiting.parts, waiting.n = [], 0
-                    if held.n > HELD:
-                        held.merged()
-                    if held.n > HELD // 2:
+                    grams = Grams(words, piece, carried, seed, one, two)
+                    for k in orders:
+                        found = grams.hashes(grams.starts(k), k)
+                        waiting.append(Filter.identity(found, partitions))
+                        n += len(found)
+                    if n > HELD:
                         yield from sent()
-        held.add(*waiting.merged())
-        yield from sent()
+                        waiting, n = [], 0
+        if n:
+            yield from sent()
 
-    return docs.mapInArrow(run, "part long, hash long, n long")
+    return docs.mapInArrow(run, "part long, mass long, keys binary, counts binary")
 
 
-def survivors(sums: DataFrame, masses: DataFrame, threshold: int) -> DataFrame:
-    """``hash`` of every n-gram that can be frequent; a summary a hash partition, merged from the rows as they come."""
-    both = sums.join(F.broadcast(masses), "part").repartition("part").sortWithinPartitions("part").select("part", "mass", "hash", "n")
+def survivors(sums: DataFrame, threshold: int) -> DataFrame:
+    """``gram`` of every n-gram that can be frequent; a summary a hash partition, merged from the rows as they come behind the masses."""
+    dealt = sums.repartition("part").sortWithinPartitions("part", F.col("keys").isNotNull())
 
     def run(batches):
-        part, summary = None, None
+        part, mass, summary = None, 0, None
+
+        def left():
+            grams = summary.survivors(threshold) | np.uint64(part) << np.uint64(32)
+            return pa.RecordBatch.from_arrays([pa.array(signed(grams))], names=["gram"])
+
         for b in batches:
-            of, mass = column(b, "part").to_numpy(), column(b, "mass").to_numpy()
-            keys, counts = column(b, "hash").to_numpy().view(np.uint64), column(b, "n").to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if hi > lo and of[lo] != part:
+            rows = zip(column(b, "part").to_pylist(), column(b, "mass").to_pylist(), values_of(b, "keys"), values_of(b, "counts"))
+            for own, more, keys, counts in rows:
+                if own != part:
                     if summary is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(summary.survivors(threshold)))], names=["hash"])
-                    part, summary = of[lo], MisraGries(int(mass[lo]) // threshold + 1)
-                if hi > lo:
-                    summary.merge(keys[lo:hi], counts[lo:hi])
+                        yield left()
+                    part, mass, summary = own, 0, None
+                if keys is None:
+                    mass += more
+                else:
+                    summary = MisraGries(mass // threshold + 1) if summary is None else summary
+                    summary.merge(np.frombuffer(keys, "<u4").astype(np.uint64), np.frombuffer(counts, "<u4").astype(np.int64))
         if summary is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(summary.survivors(threshold)))], names=["hash"])
+            yield left()
 
-    return both.mapInArrow(run, "hash long")
+    return dealt.mapInArrow(run, "gram long")
 
 
-def bloom(found: DataFrame) -> Filter:
-    """The filter of a table of hashes; tasks set bits, words are combined by OR, at most ``MOST_BITS`` bits come to the driver."""
+def bloom(found: DataFrame, partitions: int) -> Filter:
+    """The filter of a table of n-grams; tasks set bits, words are combined by OR, at most ``MOST_BITS`` bits come to the driver."""
     n = found.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length() if n else 0))
 
     def run(batches):
         for b in batches:
-            keys = column(b, "hash").to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate([np.zeros(0, np.int64), *Filter.places(keys, bits)]))
+            at = np.unique(np.concatenate([np.zeros(0, np.int64), *Filter.places(column(b, "gram").to_numpy().view(np.uint64), bits)]))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
 
     words = found.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return Filter(out)
-
-
-def _level(docs: DataFrame, orders: tuple[int, ...], threshold: int, single=None, pair=None, partitions: int | None = None) -> DataFrame:
-    """Survivors of one level, as a written table."""
-    spark = docs.sparkSession
-    if partitions is None:
-        # no more n-grams than blanks and breaks: partitions of a mass that keeps a summary small
-        blanks = docs.select(F.sum(F.length("text").cast("bigint")).alias("n")).first()["n"] or 0
-        partitions = max(512, -(-blanks // (2 * threshold * SUMMARY)))
-    sums = materialize(summed_hashes(docs, orders, partitions, single, pair), "phrases-sums")
-    masses = sums.groupBy("part").agg(F.sum("n").alias("mass"))
-    found = materialize(survivors(sums, masses, threshold), "phrases-survivors")
-    discard(sums)
-    return found
+    return Filter(out, partitions)
 
 
 def exact_counts(docs: DataFrame, longest: int, single, pair, more) -> DataFrame:
-    """``lang, words, phrase, f``: exact counts of the phrases that pass the filters; sums of a task are added up by their text."""
+    """``lang, words, phrase, f``: exact counts of the phrases that pass the filters, by their text; a row of 0 words counts all words of a language."""
 
     def run(batches):
         total: dict[str, list[Counter]] = {}
-        held = 0
 
         def sent():
             for lang, counters in total.items():
-                for n, c in enumerate(counters, 1):
+                for n, c in enumerate(counters):
                     keys = list(c)
                     for k in range(0, len(keys), 1 << 15):
                         some = keys[k : k + (1 << 15)]
@@ -263,20 +289,22 @@ def exact_counts(docs: DataFrame, longest: int, single, pair, more) -> DataFrame
 
         one, two, rest = single.value, pair.value, more.value
         for b in batches:
-            for lang, text in zip(column(b, "lang").to_pylist(), values_of(b, "text")):
-                lang = "und" if lang is None else lang
+            for lang, text in _by_lang(b):
                 seed = _mix_lang(lang)
-                counters = total.setdefault(lang, [Counter() for _ in range(longest)])
+                counters = total.setdefault(lang, [Counter() for _ in range(longest + 1)])
                 for data, words, piece, carried in parts(text, longest):
                     split = data.split()
-                    counters[0].update(compress(split[carried:], one.holds(gram_hashes(words[carried:], 1) ^ seed).tolist()))
+                    grams = Grams(words, piece, carried, seed, one, two)
+                    counters[0][b""] += len(split) - carried
+                    counters[1].update(compress(split[carried:], grams.good_words()[carried:].tolist()))
                     for n in range(2, longest + 1):
-                        start, found = admissible(words, piece, carried, n, seed, one, two)
-                        if len(start):
-                            start = start[(two if n == 2 else rest).holds(found)]
-                            counters[n - 1].update([b" ".join(split[k : k + n]) for k in start.tolist()])
-            held = sum(len(c) for cs in total.values() for c in cs)
-            if held > 500_000:
+                        start = grams.starts(n)
+                        if n == 2:
+                            start = start[grams.good_pairs()[start]]
+                        else:
+                            start = start[rest.holds(grams.hashes(start, n))]
+                        counters[n].update([b" ".join(split[k : k + n]) for k in start.tolist()])
+            if sum(len(c) for cs in total.values() for c in cs) > 500_000:
                 yield from sent()
         yield from sent()
 
@@ -284,44 +312,35 @@ def exact_counts(docs: DataFrame, longest: int, single, pair, more) -> DataFrame
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
-def word_totals(docs: DataFrame) -> DataFrame:
-    """``lang, n``: all word occurrences."""
-
-    def run(batches):
-        total = Counter()
-        for b in batches:
-            for lang, text in zip(column(b, "lang").to_pylist(), values_of(b, "text")):
-                total["und" if lang is None else lang] += sum(len(words) for _, words, _, _ in parts(text, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "n"])
-
-    return docs.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
-
-
 def frequent_phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, partitions: int | None = None) -> DataFrame:
-    """``lang, words, phrase, f`` of all phrases of 1 to ``longest`` words with ``least`` or more occurrences, as a written table."""
+    """``lang, words, phrase, f`` of all phrases of 1 to ``longest`` (2 or more) words with ``least`` or more occurrences, as a written table.
+
+    A row of 0 words holds a language's number of word occurrences.
+    """
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    held = []
+    letters = docs.select(F.sum(F.length("text").cast("bigint")).alias("n")).first()["n"] or 0
 
     def level(orders, single=None, pair=None):
-        found = _level(docs, orders, least, single, pair, partitions)
-        held.append(found)
-        return spark.sparkContext.broadcast(bloom(found))  # at most MOST_BITS bits
+        # no more n-grams of a length than half of the characters: so many partitions that a summary stays small
+        p = partitions or min(PARTITIONS[1], max(PARTITIONS[0], -(-len(orders) * letters // (2 * least * SUMMARY))))
+        found = materialize(survivors(summed_hashes(docs, orders, p, single, pair), least), "phrases-survivors")
+        out = spark.sparkContext.broadcast(bloom(found, p))  # at most MOST_BITS bits
+        discard(found)
+        return out
 
     single = level((1,))
     pair = level((2,), single)
-    more = level(tuple(range(3, longest + 1)), single, pair)
-    out = materialize(exact_counts(docs, longest, single, pair, more).where(F.col("f") >= least), "phrases-counts")
-    discard(*held)
-    return out
+    more = level(tuple(range(3, longest + 1)), single, pair) if longest > 2 else pair
+    return materialize(exact_counts(docs, longest, single, pair, more).where((F.col("f") >= least) | (F.col("words") == 0)), "phrases-counts")
 
 
 def collocations(df: DataFrame, longest: int = LONGEST, least: int = LEAST, first: int = FIRST, share: int = 100) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``first`` phrases; ``share``: percent of a phrase's count at which an extension absorbs it."""
-    small_batches(df.sparkSession)
     counts = frequent_phrases(df, longest, least)
-    totals = word_totals(df.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    totals = counts.where(F.col("words") == 0).select("lang", F.col("f").alias("n"))
+    counts = counts.where(F.col("words") > 0)
     words = F.split("phrase", " ")
     piece = lambda at, n: F.array_join(F.slice(words, at, n), " ")
     # what an extension by one word says about the phrases inside it
