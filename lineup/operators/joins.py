@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineup.functions.scalars import cosine_score, first_last, initials, normalize_name
+from lineup.operators.neighbours import knn
 from lineup.operators.similar import similar_pairs, smallest
 from lineup.operators.windows import _by, latest_per_key
 
@@ -74,22 +75,6 @@ def all_pairs_fit(a: DataFrame, b: DataFrame, on: str, vector_a: str, vector_b:
     return a.join(b, on).withColumn("fit", cosine_score(F.col(vector_a), F.col(vector_b)))
 
 
-def knn(points: DataFrame, targets: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """The ``n`` nearest points of each target row by Euclidean distance, itself excluded; targets are a small stated set."""
-    t = targets.select(F.col(key).alias("target"), F.col(vector).alias("_t"))
-    d = F.sqrt(F.aggregate(F.zip_with(vector, "_t", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    n_targets = t.limit(SMALL_ROWS + 1).count()
-    if n_targets <= SMALL_ROWS:
-        pairs = points.join(F.broadcast(t), F.col(key) != F.col("target"))
-    else:  # targets in blocks, points meet each block by a shuffle on its number
-        blocks = -(-t.count() // BLOCK)
-        t = t.withColumn("_block", F.pmod(F.xxhash64("target"), F.lit(blocks)))
-        pairs = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(t, "_block").where(F.col(key) != F.col("target"))
-    pairs = pairs.select("target", key, d.alias("distance"))
-    w = Window.partitionBy("target").orderBy("distance", key)
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-
-
 def fuzzy_match(names: DataFrame, roster: DataFrame, name_id: str, name: str, member_id: str, member: str, block: Column, member_block: Column, strict: float = 0.82, relaxed: float = 0.75, margin: float = 0.05) -> DataFrame:
     """Best roster member in a block by similarity, with status matched, relaxed, ambiguous or unmatched; an unmatched name has no score.
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lineup.functions.scalars import with_score
 from lineup.operators.order import average_rank, join_keys, quantiles, rank_table, ranked
+from lineup.operators.scan import sum_before
 
 
 def _by(keys) -> list:
@@ -67,8 +68,9 @@ def zscore_by(df: DataFrame, group, value: str, out: str) -> DataFrame:
 
 
 def career_index(df: DataFrame, key, order, out: str = "career_index") -> DataFrame:
-    """1, 2, ... along each key's order."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*_by(key)).orderBy(*_by(order))))
+    """1, 2, ... along each key's order; keys of any size, see ``scan``."""
+    first, *rest = _by(order)
+    return sum_before(df, _by(key), rest, F.lit(1), "_before", first).withColumn(out, (F.col("_before") + 1).cast("int")).drop("_before")
 
 
 def lag1_autocorr(df: DataFrame, key, order, value: str, least: int = 50, low: float = 0.2, high: float = 0.95) -> DataFrame:
@@ -78,10 +80,9 @@ def lag1_autocorr(df: DataFrame, key, order, value: str, least: int = 50, low: f
 
 
 def segment_id(df: DataFrame, key, order, boundary: Column, out: str = "segment_id") -> DataFrame:
-    """Number of boundaries before the row, so a boundary row ends its segment."""
-    w = Window.partitionBy(*_by(key)).orderBy(*_by(order))
-    df = df.withColumn("_ends", F.lag(boundary.cast("int"), 1, 0).over(w))
-    return df.withColumn(out, F.sum("_ends").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_ends")
+    """Number of boundaries before the row, so a boundary row ends its segment; keys of any size, see ``scan``."""
+    first, *rest = _by(order)
+    return sum_before(df, _by(key), rest, F.coalesce(boundary.cast("bigint"), F.lit(0)), out, first)
 
 
 def group_max_flag(df: DataFrame, key, value: str, out: str) -> DataFrame:
@@ -108,10 +109,13 @@ def national_percentile(df: DataFrame, value: str, group, whole: str = "national
 
 
 def cascade_reduce(df: DataFrame, key, value: str, total: Column, order, out: str = "reduced") -> DataFrame:
-    """Take ``total`` from the key's rows in order (smallest first) until it is used up."""
-    w = Window.partitionBy(*_by(key)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(value).over(w), F.lit(0.0))
-    return df.withColumn(out, F.least(F.col(value), F.greatest(F.lit(0.0), total - before)))
+    """Take ``total`` from the key's rows in order (smallest first) until it is used up; keys of any size where the order begins with a column's name."""
+    if isinstance(order[0], str):
+        df = sum_before(df, _by(key), order[1:], F.col(value), "_before", order[0])
+    else:
+        w = Window.partitionBy(*_by(key)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0.0)))
+    return df.withColumn(out, F.least(F.col(value), F.greatest(F.lit(0.0), total - F.col("_before")))).drop("_before")
 
 
 def qualifying_owner(df: DataFrame, key, owner: str, order: str, condition: Column) -> DataFrame:

@@ -43,25 +43,27 @@ def s02(spark, d):
     return io.read_positional(spark, f"{folder}/rows", ["id", "name"], 4)
 
 
-@R("S03_read_wide_csv", "SELECT p_partkey::VARCHAR AS id, p_size::VARCHAR AS size, p_brand AS brand FROM part")
+@R("S03_read_wide_csv", "SELECT p_partkey::VARCHAR AS id, p_size::VARCHAR AS size, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS brand FROM part")
 def s03(spark, d):
+    """Three files' folders: one has its columns in another order, one has no brands."""
     folder = io.new_folder(spark, "wide")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("off.stats[0]"), F.col("p_brand").alias("def.brand"))
-    for k in (0, 1):
-        p.where(F.col("id") % 2 == k).write.option("header", True).csv(f"{folder}/{k}")
-    got = io.read_wide_csv(spark, [f"{folder}/0", f"{folder}/1"], {"off.stats[0]": "size", "def.brand": "brand"})
+    for k, columns in enumerate((["id", "off.stats[0]"], ["def.brand", "id", "off.stats[0]"], ["id", "off.stats[0]", "def.brand"])):
+        p.where(F.col("id") % 3 == k).select(*[f"`{c}`" for c in columns]).write.option("header", True).csv(f"{folder}/{k}")
+    got = io.read_wide_csv(spark, [f"{folder}/{k}" for k in range(3)], {"off.stats[0]": "size", "def.brand": "brand"})
     return got.select("id", "size", "brand")
 
 
-@R("S04_extract_embedded_json", "SELECT l_orderkey AS page, l_partkey AS part, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS line FROM lineitem")
+@R("S04_extract_embedded_json", "SELECT l_orderkey AS page, l_partkey AS part, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS line, [l_suppkey, l_linenumber] AS keys, 'a ]; \"' || l_returnflag || '\" \\ undefined {' AS note FROM lineitem")
 def s04(spark, d):
-    """Pages that hold an order's lines as an array of objects in a script; some fields are undefined."""
+    """Pages that hold an order's lines as an array of objects in a script: nested arrays, brackets, quotes and line ends in strings, undefined fields."""
     li = table(spark, d, "lineitem")
     line = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linenumber").cast("string")).otherwise("undefined")
-    record = F.concat(F.lit('{"part": '), "l_partkey", F.lit(', "line": '), line, F.lit("}"))
-    pages = li.groupBy("l_orderkey").agg(F.concat(F.lit("<html><script>state = ["), F.array_join(F.collect_list(record), ", "), F.lit("];</script></html>")).alias("html"))
-    got = io.extract_embedded_json(pages, "html", "state =", "struct<part:bigint,line:int>")
-    return got.select(F.col("l_orderkey").alias("page"), "record.part", "record.line")
+    note = F.concat(F.lit('"a ]; \\"'), "l_returnflag", F.lit('\\" \\\\ undefined {"'))
+    record = F.concat(F.lit('{"part": '), "l_partkey", F.lit(', "line":'), line, F.lit(',\n"keys": ['), "l_suppkey", F.lit(", "), "l_linenumber", F.lit('], "note": '), note, F.lit("}"))
+    pages = li.groupBy("l_orderkey").agg(F.concat(F.lit("<html><script>state = ["), F.array_join(F.collect_list(record), ",\n"), F.lit("]; other = [1];</script></html>")).alias("html"))
+    got = io.extract_embedded_json(pages, "html", "state =", "struct<part:bigint,line:int,keys:array<bigint>,note:string>")
+    return got.select(F.col("l_orderkey").alias("page"), "record.*")
 
 
 @R("S06_read_table", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice >= 100000")
