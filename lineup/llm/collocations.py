@@ -23,6 +23,7 @@ an empty table gives no rows; extra columns are not read. Texts are read in part
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from itertools import compress
 
@@ -38,6 +39,8 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
 #: Hashes that a map task holds before it sends their sums, entries of a summary (mass of a partition / threshold), and hash partitions.
 HELD, SUMMARY, PARTITIONS = 1 << 21, 1 << 16, (512, 1 << 16)
+#: Phrases of a bucket of the second pass.
+BUCKET = 20_000
 #: Bytes of texts of one language that are taken together.
 TOGETHER = 1 << 18
 _BREAK = np.zeros(256, dtype=bool)
@@ -94,8 +97,8 @@ class Filter:
 
     HASHES = 4
 
-    def __init__(self, bits: np.ndarray, partitions: int):
-        self.bits, self.n, self.partitions = bits, len(bits) * 64, partitions
+    def __init__(self, bits: np.ndarray, partitions: int, grams: int):
+        self.bits, self.n, self.partitions, self.grams = bits, len(bits) * 64, partitions, grams
 
     @staticmethod
     def identity(hashes: np.ndarray, partitions: int) -> np.ndarray:
@@ -266,50 +269,74 @@ def bloom(found: DataFrame, partitions: int) -> Filter:
     words = found.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return Filter(out, partitions)
+    return Filter(out, partitions, n)
 
 
-def exact_counts(docs: DataFrame, longest: int, single, pair, more) -> DataFrame:
-    """``lang, words, phrase, f``: exact counts of the phrases that pass the filters, by their text; a row of 0 words counts all words of a language."""
+def exact_counts(docs: DataFrame, longest: int, least: int, single, pair, more) -> DataFrame:
+    """``lang, words, phrase, f``: exact counts of the phrases that pass the filters and stand ``least`` times or more, by their text; a row of 0 words counts all words of a language.
+
+    A task sends its counts packed, a row for each language and bucket of phrases, and buckets are added up as their rows come; a bucket holds about ``BUCKET`` phrases.
+    """
+    buckets = max(64, (single.value.grams + pair.value.grams + more.value.grams) // BUCKET)
 
     def run(batches):
-        total: dict[str, list[Counter]] = {}
+        total: dict[str, Counter] = {}
 
         def sent():
-            for lang, counters in total.items():
-                for n, c in enumerate(counters):
-                    keys = list(c)
-                    for k in range(0, len(keys), 1 << 15):
-                        some = keys[k : k + (1 << 15)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(some)), pa.array([n] * len(some), pa.int64()), pa.array([x.decode("utf-8", "surrogatepass") for x in some]), pa.array([c[x] for x in some], pa.int64())],
-                            names=["lang", "words", "phrase", "f"],
-                        )
+            for lang, counter in total.items():
+                dealt: dict[int, tuple[list, list]] = {}
+                for phrase, n in counter.items():
+                    own = dealt.setdefault(zlib.crc32(phrase) % buckets, ([], []))
+                    own[0].append(phrase)
+                    own[1].append(n)
+                columns = [list(dealt), [lang] * len(dealt), [b"\n".join(p) for p, _ in dealt.values()], [np.array(n, "<u8").tobytes() for _, n in dealt.values()]]
+                kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "lang", "phrases", "counts"])
             total.clear()
 
         one, two, rest = single.value, pair.value, more.value
         for b in batches:
             for lang, text in _by_lang(b):
                 seed = _mix_lang(lang)
-                counters = total.setdefault(lang, [Counter() for _ in range(longest + 1)])
+                counter = total.setdefault(lang, Counter())
                 for data, words, piece, carried in parts(text, longest):
                     split = data.split()
                     grams = Grams(words, piece, carried, seed, one, two)
-                    counters[0][b""] += len(split) - carried
-                    counters[1].update(compress(split[carried:], grams.good_words()[carried:].tolist()))
+                    counter[b""] += len(split) - carried
+                    counter.update(compress(split[carried:], grams.good_words()[carried:].tolist()))
                     for n in range(2, longest + 1):
                         start = grams.starts(n)
                         if n == 2:
                             start = start[grams.good_pairs()[start]]
                         else:
                             start = start[rest.holds(grams.hashes(start, n))]
-                        counters[n].update([b" ".join(split[k : k + n]) for k in start.tolist()])
-            if sum(len(c) for cs in total.values() for c in cs) > 500_000:
+                        counter.update([b" ".join(split[k : k + n]) for k in start.tolist()])
+            if sum(map(len, total.values())) > 500_000:
                 yield from sent()
         yield from sent()
 
-    rows = docs.mapInArrow(run, "lang string, words long, phrase string, f long")
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    def summed(batches):
+        own, counter = None, Counter()
+
+        def left():
+            kept = [(p, n) for p, n in counter.items() if n >= least or not p]
+            columns = [[own[1]] * len(kept), [p.count(b" ") + 1 if p else 0 for p, _ in kept], [p.decode("utf-8", "surrogatepass") for p, _ in kept], [n for _, n in kept]]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "words", "phrase", "f"])
+
+        for b in batches:
+            for bucket, lang, phrases, counts in zip(*(values_of(b, c) for c in ("bucket", "lang", "phrases", "counts"))):
+                if (bucket, lang) != own:
+                    if own:
+                        yield left()
+                    own, counter = (bucket, lang), Counter()
+                for p, n in zip(phrases.split(b"\n"), np.frombuffer(counts, "<u8").tolist()):
+                    counter[p] += n
+        if own:
+            yield left()
+
+    rows = docs.mapInArrow(run, "bucket long, lang string, phrases binary, counts binary")
+    return rows.repartition("bucket", "lang").sortWithinPartitions("bucket", "lang").mapInArrow(summed, "lang string, words long, phrase string, f long")
 
 
 def frequent_phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST, partitions: int | None = None) -> DataFrame:
@@ -333,7 +360,7 @@ def frequent_phrases(df: DataFrame, longest: int = LONGEST, least: int = LEAST,
     single = level((1,))
     pair = level((2,), single)
     more = level(tuple(range(3, longest + 1)), single, pair) if longest > 2 else pair
-    return materialize(exact_counts(docs, longest, single, pair, more).where((F.col("f") >= least) | (F.col("words") == 0)), "phrases-counts")
+    return materialize(exact_counts(docs, longest, least, single, pair, more), "phrases-counts")
 
 
 def collocations(df: DataFrame, longest: int = LONGEST, least: int = LEAST, first: int = FIRST, share: int = 100) -> DataFrame:
