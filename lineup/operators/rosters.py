@@ -116,6 +116,88 @@ def candidate_rosters(pairs: DataFrame, rosters: DataFrame, school: str = "schoo
     return own.unionByName(new)
 
 
+#: What is summed over a roster, weighted by minutes: the value of a member or candidate.
+_SUMS = {
+    "off": lambda m: m["off"],
+    "deff": lambda m: m["deff"],
+    "three": lambda m: m["three"],
+    "rim": lambda m: F.when(m["position"].isin(*FRONTCOURT), m["deff"]),
+    "guard": lambda m: F.when(m["position"].isin(*GUARDS), m["off"]),
+    "oreb": lambda m: m["oreb"],
+    "usage": lambda m: m["usage"],
+}
+
+
+def displacement_index(rosters: DataFrame, school: str = "school") -> DataFrame:
+    """A row a school for ``after_displacement``: its members by minutes (smallest first, ties by ``member``) and running sums over them.
+
+    ``_taken[k]``: minutes of the first ``k`` members; ``_rest_*[k]``: weighted sums over the others. A roster is short, so it is a row's array.
+    """
+    pct = F.greatest(_or(F.col("min_pct"), 0), F.lit(0.0)).alias("pct")
+    member = F.struct(pct, "member", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("off", "deff", "three", "oreb", "usage")], "position")
+    out = rosters.groupBy(school).agg(F.array_sort(F.collect_list(member)).alias("_m"), F.count_if(F.coalesce("known", F.lit(False))).cast("double").alias("_known"))
+    places = F.sequence(F.lit(0), F.size("_m"))
+    total = lambda part, of: F.aggregate(part, F.lit(0.0), lambda n, m: n + F.coalesce(of(m), F.lit(0.0)))
+    rest = lambda of: F.transform(places, lambda k: total(F.slice("_m", k + 1, F.size("_m")), of))
+    sums = {f"_rest_{n}": rest(lambda m, of=of: m["pct"] * of(m)) for n, of in _SUMS.items()}
+    square = rest(lambda m: m["pct"] * m["usage"] * m["pct"] * m["usage"])
+    return out.withColumns({"_taken": F.transform(places, lambda k: total(F.slice("_m", 1, k), lambda m: m["pct"])), "_rest_pct": rest(lambda m: m["pct"]), "_rest_square": square, **sums})
+
+
+def after_displacement(pairs: DataFrame, index: DataFrame, context: DataFrame, school: str = "school") -> DataFrame:
+    """The roster features of each pair's school after the smallest shares gave way and the candidate came, a row a pair.
+
+    The members that give all of their minutes are found in the running minutes, one gives a part, the sums over the others are looked up. Only the best two
+    and the bench need an order, which is that of the row's own array.
+    """
+    df = pairs.join(index, school).join(small(context.select(school, "returning_share", "tier", "tempo")), school)
+    give = F.col("displaced") / TEAM_MINUTES * 100
+    df = df.withColumns({"_give": F.greatest(give, F.lit(0.0)), "_pct": F.greatest(_or(F.col("minutes"), 0), F.lit(0.0)) / TEAM_MINUTES * 100})
+    df = df.withColumn("_k", F.size(F.filter("_taken", lambda t, i: (i > 0) & (t <= F.col("_give")))))
+    value = _or(F.col("value"), 0)
+    own = F.struct(
+        F.col("_pct").alias("pct"),
+        F.lit(-1).cast("bigint").alias("member"),
+        (value * OFF_PART).alias("off"),
+        (value * DEF_PART).alias("deff"),
+        _or(F.col("cand_three"), 0.35).alias("three"),
+        _or(F.col("cand_oreb"), 0.25).alias("oreb"),
+        _or(F.col("cand_usage"), 20).alias("usage"),
+        F.coalesce("cand_position", F.lit("SG")).alias("position"),
+    )
+    df = df.withColumns({"_own": own, "_part": F.get("_m", F.col("_k"))})
+    left = F.col("_part.pct") - F.greatest(F.lit(0.0), F.col("_give") - F.get("_taken", F.col("_k")))
+    df = df.withColumn("_left", F.coalesce(left, F.lit(0.0)))
+    rest = lambda n: F.coalesce(F.get(f"_rest_{n}", F.col("_k") + 1), F.lit(0.0))
+    square = lambda x: x * x
+    kept = F.transform("_m", lambda m, i: F.struct((-F.when(i < F.col("_k"), 0.0).when(i == F.col("_k"), F.col("_left")).otherwise(m["pct"])).alias("minus"), m["member"].alias("member"), m["off"].alias("off")))
+    df = df.withColumns({
+        "_total": rest("pct") + F.col("_left") + F.col("_pct"),
+        "_square": rest("square") + square(F.col("_left") * F.coalesce("_part.usage", F.lit(0.0))) + square(F.col("_pct") * F.col("_own.usage")),
+        "_ranked": F.array_sort(F.concat(kept, F.array(F.struct((-F.col("_pct")).alias("minus"), F.col("_own.member").alias("member"), F.col("_own.off").alias("off"))))),
+        **{f"_s_{n}": rest(n) + F.col("_left") * F.coalesce(of(F.col("_part")), F.lit(0.0)) + F.col("_pct") * F.coalesce(of(F.col("_own")), F.lit(0.0)) for n, of in _SUMS.items()},
+    })
+    share = lambda x: F.when(F.col("_total") > 0, x / F.col("_total")).otherwise(x)
+    bench = F.aggregate(F.slice("_ranked", BENCH_FROM, 1 << 30), F.lit(0.0), lambda n, m: n - m["minus"] * m["off"])
+    features = {
+        "weighted_off": share(F.col("_s_off")),
+        "weighted_def": share(F.col("_s_deff")),
+        "top1_off": F.get("_ranked", F.lit(0))["off"],
+        "top2_off": F.coalesce(F.get("_ranked", F.lit(1))["off"], F.get("_ranked", F.lit(0))["off"]),
+        "bench_off": share(bench),
+        "three_coverage": share(F.col("_s_three")),
+        "rim_protection": share(F.col("_s_rim")),
+        "pg_creation": share(F.col("_s_guard")),
+        "rebounding": share(F.col("_s_oreb")),
+        "usage_hhi": F.coalesce(F.col("_square") / F.nullif(square(F.col("_s_usage")), F.lit(0.0)), F.lit(0.0)),
+        "returning_share": F.col("returning_share"),
+        "n_known": F.col("_known") + 1,
+        "tier": F.col("tier"),
+        "tempo": F.coalesce("tempo", F.lit(68.0)),
+    }
+    return df.select("pair", school, *[features[f].cast("double").alias(f) for f in ROSTER_FEATURES])
+
+
 def rating(model: dict, prefix: str = "") -> Column:
     """A linear model's prediction from the roster features with a prefix."""
     return reduce(lambda a, b: a + b, [F.col(prefix + f) * float(c) for f, c in zip(model["features"], model["coef"], strict=True)], F.lit(float(model["intercept"])))
@@ -123,10 +205,11 @@ def rating(model: dict, prefix: str = "") -> Column:
 
 def counterfactual(pairs: DataFrame, rosters: DataFrame, context: DataFrame, off: dict, deff: dict, school: str = "school") -> DataFrame:
     """Per pair the ratings of the school without and with the candidate, their differences (defence: less is better, the sign is turned) and
-    what talent, spacing, rim, rebounding, depth and continuity add. ``context``: ``school, returning_share, tier, tempo``."""
+    what talent, spacing, rim, rebounding, depth and continuity add. ``context``: ``school, returning_share, tier, tempo``. A pair costs look-ups in its school's
+    running sums, no roster is built for it."""
     base = roster_vector(rosters.join(small(context), school), school)
     base = base.select(school, *[F.col(f).alias(f"b_{f}") for f in ROSTER_FEATURES])
-    after = roster_vector(candidate_rosters(pairs, rosters, school).join(small(context), school), ["pair", school])
+    after = after_displacement(pairs, displacement_index(rosters, school), context, school)
     both = after.join(base, school)
     change = lambda model, fs: reduce(lambda a, b: a + b, [(F.col(f) - F.col(f"b_{f}")) * float(dict(zip(model["features"], model["coef"], strict=True)).get(f, 0.0)) for f in fs], F.lit(0.0))
     o0, o1, d0, d1 = rating(off, "b_"), rating(off), rating(deff, "b_"), rating(deff)
