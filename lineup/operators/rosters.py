@@ -129,19 +129,17 @@ _SUMS = {
 
 
 def displacement_index(rosters: DataFrame, school: str = "school") -> DataFrame:
-    """A row a school for ``after_displacement``: its members by minutes (smallest first, ties by ``member``) and running sums over them.
-
-    ``_taken[k]``: minutes of the first ``k`` members; ``_rest_*[k]``: weighted sums over the others. A roster is short, so it is a row's array.
+    """A row a school for ``after_displacement``: ``_m``, its members by minutes (smallest first, ties by ``member``) with running sums: ``taken``, the
+    minutes up to the member, and ``rest_*``, the weighted sums from it on. A roster is short, so it is a row's array.
     """
-    pct = F.greatest(_or(F.col("min_pct"), 0), F.lit(0.0)).alias("pct")
-    member = F.struct(pct, "member", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("off", "deff", "three", "oreb", "usage")], "position")
-    out = rosters.groupBy(school).agg(F.array_sort(F.collect_list(member)).alias("_m"), F.count_if(F.coalesce("known", F.lit(False))).cast("double").alias("_known"))
-    places = F.sequence(F.lit(0), F.size("_m"))
-    total = lambda part, of: F.aggregate(part, F.lit(0.0), lambda n, m: n + F.coalesce(of(m), F.lit(0.0)))
-    rest = lambda of: F.transform(places, lambda k: total(F.slice("_m", k + 1, F.size("_m")), of))
-    sums = {f"_rest_{n}": rest(lambda m, of=of: m["pct"] * of(m)) for n, of in _SUMS.items()}
-    square = rest(lambda m: m["pct"] * m["usage"] * m["pct"] * m["usage"])
-    return out.withColumns({"_taken": F.transform(places, lambda k: total(F.slice("_m", 1, k), lambda m: m["pct"])), "_rest_pct": rest(lambda m: m["pct"]), "_rest_square": square, **sums})
+    order = Window.partitionBy(school).orderBy("pct", "member")
+    until, since = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rosters.select(school, F.greatest(_or(F.col("min_pct"), 0), F.lit(0.0)).alias("pct"), "member", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("off", "deff", "three", "oreb", "usage")], "position", "known")
+    one = F.struct(*[F.col(c) for c in ("off", "deff", "three", "oreb", "usage", "position")])
+    weighted = {n: F.col("pct") * F.coalesce(of(one), F.lit(0.0)) for n, of in _SUMS.items()} | {"pct": F.col("pct"), "square": F.pow(F.col("pct") * F.col("usage"), 2)}
+    rows = rows.select("*", F.sum("pct").over(until).alias("taken"), *[F.sum(x).over(since).alias(f"rest_{n}") for n, x in weighted.items()])
+    held = F.struct(*[c for c in rows.columns if c not in (school, "known")])
+    return rows.groupBy(school).agg(F.array_sort(F.collect_list(held)).alias("_m"), F.count_if(F.coalesce("known", F.lit(False))).cast("double").alias("_known"))
 
 
 def after_displacement(pairs: DataFrame, index: DataFrame, context: DataFrame, school: str = "school") -> DataFrame:
@@ -153,7 +151,7 @@ def after_displacement(pairs: DataFrame, index: DataFrame, context: DataFrame, s
     df = pairs.join(index, school).join(small(context.select(school, "returning_share", "tier", "tempo")), school)
     give = F.col("displaced") / TEAM_MINUTES * 100
     df = df.withColumns({"_give": F.greatest(give, F.lit(0.0)), "_pct": F.greatest(_or(F.col("minutes"), 0), F.lit(0.0)) / TEAM_MINUTES * 100})
-    df = df.withColumn("_k", F.size(F.filter("_taken", lambda t, i: (i > 0) & (t <= F.col("_give")))))
+    df = df.withColumn("_k", F.size(F.filter("_m", lambda m: m["taken"] <= F.col("_give"))))
     value = _or(F.col("value"), 0)
     own = F.struct(
         F.col("_pct").alias("pct"),
@@ -165,10 +163,10 @@ def after_displacement(pairs: DataFrame, index: DataFrame, context: DataFrame, s
         _or(F.col("cand_usage"), 20).alias("usage"),
         F.coalesce("cand_position", F.lit("SG")).alias("position"),
     )
-    df = df.withColumns({"_own": own, "_part": F.get("_m", F.col("_k"))})
-    left = F.col("_part.pct") - F.greatest(F.lit(0.0), F.col("_give") - F.get("_taken", F.col("_k")))
-    df = df.withColumn("_left", F.coalesce(left, F.lit(0.0)))
-    rest = lambda n: F.coalesce(F.get(f"_rest_{n}", F.col("_k") + 1), F.lit(0.0))
+    df = df.withColumns({"_own": own, "_part": F.get("_m", F.col("_k")), "_rest": F.get("_m", F.col("_k") + 1)})
+    given = F.greatest(F.lit(0.0), F.col("_give") - (F.col("_part.taken") - F.col("_part.pct")))
+    df = df.withColumn("_left", F.coalesce(F.col("_part.pct") - given, F.lit(0.0)))
+    rest = lambda n: F.coalesce(F.col(f"_rest.rest_{n}"), F.lit(0.0))
     square = lambda x: x * x
     kept = F.transform("_m", lambda m, i: F.struct((-F.when(i < F.col("_k"), 0.0).when(i == F.col("_k"), F.col("_left")).otherwise(m["pct"])).alias("minus"), m["member"].alias("member"), m["off"].alias("off")))
     df = df.withColumns({
