@@ -103,18 +103,26 @@ def test_staged_boosting_beats_the_mean(spark):
     assert ((out.low <= out.expected_share) & (out.expected_share <= out.high)).all() and 0.5 < ((out.low <= out.share) & (out.share <= out.high)).mean() < 0.98
 
 
+URLS = {"womens": "/wbb/", "football": "/football/", "wanted": "/basketball/"}
+TEXTS = {"womens": r"(?i)\bwomen's\b", "football": r"(?i)\bquarterback\b", "other": r"(?i)\bpitcher\b", "wanted": r"(?i)\bguard\b|\bbasketball\b"}
+EVENTS = {"portal": r"enters? the portal|transfer portal", "coach": r"coach.*fired"}
+
+
 def test_gate_and_events(spark):
     rows = [
-        ("https://x/mens-college-basketball/a", "Guard enters transfer portal", "", True, None, "player_enters_portal", 0.9),
-        ("https://x/wbb/a", "Guard enters the portal", "", False, "womens_url", "unknown", 0.0),
-        ("https://x/n", "Quarterback hits the portal", "basketball too", False, "conflicting_signals", "player_enters_portal", 0.9),
+        ("https://x/basketball/a", "Guard enters transfer portal", "", True, None, "portal", 0.9),
+        ("https://x/wbb/a", "Guard leaves the portal", "", False, "womens_url", "unknown", 0.0),
+        ("https://x/n", "The Women's cup", "", False, "womens_text:Women's", "unknown", 0.0),
+        ("https://x/n", "Quarterback enters the portal", "basketball too", False, "conflicting_signals", "portal", 0.9),
+        ("https://x/football/n", "Signs", "", False, "football_url", "unknown", 0.0),
         ("https://x/n", "Quarterback signs", "", False, "football_text:Quarterback", "unknown", 0.0),
         ("https://x/n", "Pitcher signs", "", False, "other_text:Pitcher", "unknown", 0.0),
-        ("https://x/n", "News", "The coach was fired on Monday", True, None, "coach_leaves", 0.7),
+        ("https://x/n", "Pitcher and guard", "", True, None, "unknown", 0.0),
+        ("https://x/n", "News", "The coach was fired on Monday", True, None, "coach", 0.7),
         (None, None, None, True, None, "unknown", 0.0),
     ]
     df = spark.createDataFrame([r[:3] for r in rows], "url string, title string, body string")
-    got = df.select(X.topic_gate(F.col("url"), F.col("title"), F.col("body")).alias("g"), X.classify_event(F.col("title"), F.col("body")).alias("e")).collect()
+    got = df.select(X.topic_gate(F.col("url"), F.col("title"), F.col("body"), URLS, TEXTS).alias("g"), X.classify_event(F.col("title"), F.col("body"), EVENTS).alias("e")).collect()
     for r, w in zip(got, rows):
         assert (r["g"]["kept"], r["g"]["reason"], r["e"]["event"], r["e"]["confidence"]) == w[3:], w
 
