@@ -37,6 +37,7 @@ TILE_Q, TILE_C = 256, 2048
 CELL_Q, CELL_C = 1_000_000, 4_000_000
 #: Components of this size are left to whole numbers (operator 2).
 WILD = 1e130
+LEAST = -(1 << 63)
 
 
 def _grid(spark, queries: tuple[int, int], rows: tuple[int, int]) -> tuple[int, int]:
@@ -291,13 +292,17 @@ def top_k(df: DataFrame, prepare, cell, score: str, k: int = 5, every: int = 50,
                         for c_, v_ in zip(found, (i, -v, s), strict=True):
                             c_.append(v_)
         whole = score == "long"
-        scores = pa.array([int(s) for s in found[2]] if whole else found[2], pa.int64() if whole else pa.float64())
+        # a sum above a bigint is an error here; one below it may lose against others, so that only a returned one is an error
+        scores = pa.array([max(int(s), LEAST) for s in found[2]] if whole else found[2], pa.int64() if whole else pa.float64())
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), scores], names=["query_id", "vec_id", "score"])
 
     got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, f"query_id long, vec_id long, score {score}")
     got = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score).alias("score"))
+    got = got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if score == "long":
+        got = got.withColumn("score", F.when(F.col("score") == LEAST, F.raise_error(F.lit("a score is below the bigints")).cast("long")).otherwise(F.col("score")))
+    return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score).alias("score"))
 
 
 def nearest(df: DataFrame, **args) -> DataFrame:
