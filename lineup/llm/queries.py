@@ -23,6 +23,7 @@ SQL = {
     "op1_nearest_neighbours": vectors.SQL_NEAREST,
     "op2_exact_topk": vectors.SQL_PRODUCTS,
     "op7_chat_parts": chat.SQL,
+    "op11_winnowing": winnowing.SQL,
     "op12_collocations": collocations.SQL,
     "op13_importance_resampling": resampling.SQL,
 }

@@ -167,3 +167,30 @@ def query(spark, sf_dir):
     return fingerprints(documents(spark, sf_dir)).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _text(F.col("packed")).alias("fingerprint"), _text(F.col("edited_packed")).alias("edited_fingerprint"), "near_edited", "near_next"
     )
+
+
+_POWERS = [pow(BASE, j, PRIME) for j in range(K)]
+_GRAM = " + ".join(f"(v[i + {j}] * {_POWERS[K - 1 - j]} % {PRIME})" for j in range(K))
+#: The same without shared sums and minima: a polynomial for each gram, a minimum for each window, CRC-32 a distinct unit at a time.
+SQL = rf"""
+WITH polynomial AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER (ORDER BY doc_id DESC, coalesce(text, '')) AS row, doc_id, coalesce(text, '') AS text FROM documents),
+e AS (SELECT d.row, d.doc_id, d.text, left(d.text, length(d.text) - length(d.text) // 3) || left(n.text, length(d.text) // 3) AS edited, n.row AS next_row
+    FROM d JOIN d n ON n.row = d.row % (SELECT count(*) FROM d) + 1),
+texts AS (SELECT row, 'text' AS kind, text FROM e UNION ALL SELECT row, 'edited', edited FROM e),
+units AS (SELECT row, kind, unnest(u) AS unit, generate_subscripts(u, 1) AS place FROM (SELECT row, kind, regexp_extract_all(text, '{UNIT}') AS u FROM texts)),
+hashed AS (SELECT unit, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(unit)), lambda j: ('0x' || substr(hex(unit), (2 * j + 1)::INT, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % {PRIME} AS value FROM (SELECT DISTINCT unit FROM units), polynomial),
+valued AS (SELECT row, kind, list(value ORDER BY place) AS v FROM units JOIN hashed USING (unit) GROUP BY row, kind),
+grams AS (SELECT row, kind, CASE WHEN len(v) < {K} THEN [list_reduce(list_prepend(0::BIGINT, v), lambda a, x: (a * {BASE} + x) % {PRIME})]
+    ELSE list_transform(range(1, len(v) - {K - 2}), lambda i: ({_GRAM}) % {PRIME}) END AS g FROM valued),
+least AS (SELECT row, kind, list_transform(range(1, greatest(len(g) - {W - 1}, 1) + 1), lambda i:
+    list_min(list_transform(range(i, least(i + {W - 1}, len(g)) + 1), lambda j: g[j] * {LAST + 1} + {LAST + 1} - j))) AS m FROM grams),
+kept AS (SELECT row, kind, list_transform(list_sort(list_transform(list_distinct(m), lambda x: ({LAST} - x % {LAST + 1}) * {LAST + 1} + x // {LAST + 1})), lambda x: x % {LAST + 1}) AS h FROM least),
+f AS (SELECT texts.row, texts.kind, coalesce(h, []) AS h, coalesce(array_to_string(list_transform(h, lambda x: lpad(lower(hex(x)), 8, '0')), ' '), '') AS written FROM texts LEFT JOIN kept USING (row, kind))
+SELECT e.doc_id, length(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.written AS fingerprint, b.written AS edited_fingerprint,
+  CASE WHEN len(list_distinct(list_concat(a.h, b.h))) = 0 THEN 1.0 ELSE len(list_intersect(a.h, b.h))::DOUBLE / len(list_distinct(list_concat(a.h, b.h))) END::DOUBLE AS near_edited,
+  CASE WHEN len(list_distinct(list_concat(a.h, c.h))) = 0 THEN 1.0 ELSE len(list_intersect(a.h, c.h))::DOUBLE / len(list_distinct(list_concat(a.h, c.h))) END::DOUBLE AS near_next
+FROM e JOIN f a ON a.row = e.row AND a.kind = 'text' JOIN f b ON b.row = e.row AND b.kind = 'edited' JOIN f c ON c.row = e.next_row AND c.kind = 'text'
+"""
