@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 PARTS, BRACKET, ACCURACY = 64, 0.001, 10_000
 #: Rows of a table of groups that is broadcast at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 10_000
+#: Rows of a group that one task may order; only larger groups are split.
+FEW = 100_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -32,13 +34,28 @@ def join_keys(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inne
     return df.join(own, same, how).drop(*[f"_key{i}" for i in range(len(every))])
 
 
+def _large(rows: DataFrame, g: list[str]) -> DataFrame | None:
+    """The groups of more than ``FEW`` rows with ``_n``, broadcast if they are not many; None if there are none."""
+    large = rows.groupBy(*g).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW)
+    held = large.limit(BROADCAST_ROWS + 1).collect()
+    if not held:
+        return None
+    return F.broadcast(rows.sparkSession.createDataFrame(held, large.schema)) if len(held) <= BROADCAST_ROWS else large
+
+
 def rank_table(df: DataFrame, group, value: str) -> DataFrame:
     """A row per group and value: ``_before`` (rows of the group with a smaller value), ``_ties`` (with the same) and ``_n`` (with any).
 
-    A group's distinct values are dealt to ``PARTS`` parts by approximate cuts; counts of the parts are summed, and running sums are taken inside a part.
+    Where no group has more than ``FEW`` rows, its values are counted and put in order by one task. Else a
+    group's distinct values are dealt to ``PARTS`` parts by approximate cuts; counts of the parts are summed, and running sums are taken inside a part.
     """
     g = _list(group)
     rows = df.where(F.col(value).isNotNull()).select(*g, value)
+    if _large(rows, g) is None:
+        counts = rows.groupBy(*g, value).agg(F.count("*").alias("_ties"))
+        w = Window.partitionBy(*g)
+        before = F.coalesce(F.sum("_ties").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.select(*g, value, before.alias("_before"), "_ties", F.sum("_ties").over(w).alias("_n"))
     cuts = rows.groupBy(*g).agg(F.count("*").alias("_n"), F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
     counts = join_keys(rows.groupBy(*g, value).agg(F.count("*").alias("_ties")), _small(cuts), g)
     counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -64,30 +81,35 @@ def average_rank() -> Column:
 def quantiles(df: DataFrame, keys, value: Column, probs: list[float], out: str = "quantiles") -> DataFrame:
     """Per key the exact interpolated percentiles of the non-null values as an array; keys without a value are left out.
 
-    A sketch brackets each percentile's rank; rows below the bracket are counted, and only the few values inside it are put in order.
+    A group of ``FEW`` rows or less is one buffer. For a larger one, a sketch brackets the rank of each percentile in a first scan; in a second one the
+    rows below each bracket are counted, and only the few values inside it are put in order.
     """
     g = _list(keys)
     rows = df.select(*g, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    large = _large(rows, g)
+    direct = lambda some: some.groupBy(*g).agg(F.percentile("_v", list(probs)).alias(out)).where(F.col(out).isNotNull())
+    if large is None:
+        return direct(rows)
+    known = join_keys(rows, large, g, "left" if g else "inner")
+    return direct(known.where(F.col("_n").isNull())).unionByName(_bracketed(known.where(F.col("_n").isNotNull()), g, probs, out))
+
+
+def _bracketed(rows: DataFrame, g: list[str], probs: list[float], out: str) -> DataFrame:
+    """Percentiles of large groups; ``rows``: keys, ``_v`` and the group's ``_n``."""
     ends = [x for p in probs for x in (max(0.0, p - BRACKET), min(1.0, p + BRACKET))]
-    brackets = rows.groupBy(*g).agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_ends")).where(F.col("_n") > 0)
+    brackets = rows.groupBy(*g).agg(F.percentile_approx("_v", ends, ACCURACY).alias("_ends"))
     near = join_keys(rows, _small(brackets), g)
-    # the bracket of a few values might miss a neighbour, so all of them are inside
-    few = F.col("_n") <= int(4 / BRACKET)
-    low = lambda i: F.when(few, float("-inf")).otherwise(F.get("_ends", F.lit(2 * i)))
-    high = lambda i: F.when(few, float("inf")).otherwise(F.get("_ends", F.lit(2 * i + 1)))
-    # -1 - i: the row lies below bracket i, i: inside; a value of a key is counted once for each
-    v = F.col("_v")
-    marks = F.array_compact(F.array(*[F.when(v < low(i), -1 - i).when(v <= high(i), i) for i in range(len(probs))]))
-    marked = near.select(*g, "_n", F.explode(marks).alias("_i"), "_v")
-    counts = marked.withColumn("_v", F.when(F.col("_i") >= 0, F.col("_v"))).groupBy(*g, "_n", "_i", "_v").agg(F.count("*").alias("_c"))
-    below = counts.where("_i < 0").select(*g, (-1 - F.col("_i")).alias("_i"), F.col("_c").alias("_below"))
-    inside = join_keys(counts.where("_i >= 0"), below, g, "left", ["_i"])
-    w = Window.partitionBy(*g, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce("_below", F.lit(0)) + F.coalesce(F.sum("_c").over(w), F.lit(0))
-    inside = inside.withColumn("_from", start).withColumn("_rank", F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i")) * (F.col("_n") - 1))
-    at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_from") + F.col("_c")), F.col("_v")))
-    a, b = F.floor("_rank"), F.ceil("_rank")
-    found = inside.groupBy(*g, "_i").agg(at(a).alias("_a"), at(b).alias("_b"), F.first(F.col("_rank") - a).alias("_part"))
-    found = found.select(*g, "_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("_q"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"])
-    return found.groupBy(*g).agg(listed.alias(out)).where(F.size(out) == len(probs))
+    v, end = F.col("_v"), lambda k: F.get("_ends", F.lit(k))
+    # a row counts for bracket i if it lies in it, or, without its value, below it
+    marks = F.array_compact(F.array(*[F.when(v <= end(2 * i + 1), F.struct(F.lit(i).alias("i"), F.when(v >= end(2 * i), v).alias("v"))) for i in range(len(probs))]))
+    counts = near.select(*g, "_n", F.explode(marks).alias("_m")).groupBy(*g, "_n", F.col("_m.i").alias("_i"), F.col("_m.v").alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*g, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_from", F.coalesce(F.sum("_c").over(w), F.lit(0))).where(F.col("_v").isNotNull())
+
+    def at(i: int, rank: Column) -> Column:
+        return F.max(F.when((F.col("_i") == i) & (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_c")), F.col("_v")))
+
+    ranks = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    pairs = [F.struct(at(i, F.floor(r)).alias("a"), at(i, F.ceil(r)).alias("b"), F.first(r - F.floor(r)).alias("part")) for i, r in enumerate(ranks)]
+    found = counts.groupBy(*g).agg(F.array(*pairs).alias(out))
+    return found.withColumn(out, F.transform(out, lambda x: x["a"] + (x["b"] - x["a"]) * x["part"]))

@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,7 +18,9 @@ def rows(spark, n=30_000):
     return spark.createDataFrame(data + [("one", 3.0), ("none", None)], "g string, v double")
 
 
-def test_quantiles_equal_percentile(spark):
+@pytest.mark.parametrize("few", [10, 7_000, 100_000])
+def test_quantiles_equal_percentile(spark, monkeypatch, few):
+    monkeypatch.setattr(order, "FEW", few)  # all groups but those of one row are split, some are, none is
     df, probs = rows(spark), [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
     want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()}
     got = {r["g"]: r["quantiles"] for r in order.quantiles(df, "g", F.col("v"), probs).collect()}
@@ -29,7 +32,9 @@ def test_quantiles_equal_percentile(spark):
     assert order.quantiles(df.where("v > 99"), [], F.col("v"), [0.5]).count() == 0
 
 
-def test_ranks_equal_windows(spark):
+@pytest.mark.parametrize("few", [10, 100_000])
+def test_ranks_equal_windows(spark, monkeypatch, few):
+    monkeypatch.setattr(order, "FEW", few)
     df = rows(spark).withColumn("id", F.monotonically_increasing_id())
     w = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_last())
     want = df.where("v is not null").withColumns({"r": F.rank().over(w), "t": F.count("*").over(Window.partitionBy("g", "v")), "n": F.count("*").over(Window.partitionBy("g"))})
