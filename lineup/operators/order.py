@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Ranks: parts of a group; each is sorted by a task of its own. Percentiles: half the width of the bracket of ranks around one, and the sketch's accuracy.
-PARTS, BRACKET, ACCURACY = 64, 0.001, 10_000
+PARTS, BRACKET, ACCURACY = 64, 0.002, 2_000
 #: Rows of a table of groups that is broadcast at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 10_000
 #: Rows of a group that one task may order; only larger groups are split.
@@ -100,16 +100,20 @@ def _bracketed(rows: DataFrame, g: list[str], probs: list[float], out: str) -> D
     brackets = rows.groupBy(*g).agg(F.percentile_approx("_v", ends, ACCURACY).alias("_ends"))
     near = join_keys(rows, _small(brackets), g)
     v, end = F.col("_v"), lambda k: F.get("_ends", F.lit(k))
-    # a row counts for bracket i if it lies in it, or, without its value, below it
-    marks = F.array_compact(F.array(*[F.when(v <= end(2 * i + 1), F.struct(F.lit(i).alias("i"), F.when(v >= end(2 * i), v).alias("v"))) for i in range(len(probs))]))
-    counts = near.select(*g, "_n", F.explode(marks).alias("_m")).groupBy(*g, "_n", F.col("_m.i").alias("_i"), F.col("_m.v").alias("_v")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*g, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    # cells between the brackets' ends are in the order of the values; a row outside all brackets only counts for its cell
+    cell, inside = F.lit(0), F.lit(False)
+    for k in range(len(ends)):
+        cell = cell + (end(k) < v).cast("int")
+    for i in range(len(probs)):
+        inside = inside | ((v >= end(2 * i)) & (v <= end(2 * i + 1)))
+    counts = near.groupBy(*g, "_n", cell.alias("_cell"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*g).orderBy("_cell", F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_from", F.coalesce(F.sum("_c").over(w), F.lit(0))).where(F.col("_v").isNotNull())
 
-    def at(i: int, rank: Column) -> Column:
-        return F.max(F.when((F.col("_i") == i) & (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_c")), F.col("_v")))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_c")), F.col("_v")))
 
     ranks = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    pairs = [F.struct(at(i, F.floor(r)).alias("a"), at(i, F.ceil(r)).alias("b"), F.first(r - F.floor(r)).alias("part")) for i, r in enumerate(ranks)]
+    pairs = [F.struct(at(F.floor(r)).alias("a"), at(F.ceil(r)).alias("b"), F.first(r - F.floor(r)).alias("part")) for r in ranks]
     found = counts.groupBy(*g).agg(F.array(*pairs).alias(out))
     return found.withColumn(out, F.transform(out, lambda x: x["a"] + (x["b"] - x["a"]) * x["part"]))

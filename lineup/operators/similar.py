@@ -99,9 +99,8 @@ def signatures(x: Column, member: bool, least: float, how: str = "edits") -> Col
     return F.array_distinct(_lengths(x, member, least, how, keyed))
 
 
-def token_signatures(x: Column, member: bool, least: float, how: str = "edits") -> Column:
+def token_signatures(first: Column, last: Column, member: bool, least: float, how: str = "edits") -> Column:
     """Hashes of which two strings share one if their first and their last tokens both have the similarity: signatures of the last tokens beside lengths and, with few operations, pieces of the first."""
-    first, last = first_last(x)
     none = F.array(F.lit(0).cast("bigint"))
     keys = lambda own, a, b, k: F.transform(_pieces(own, a, b, k, member), lambda p: p["key"])
     firsts = _lengths(first, member, least, how, lambda a, b, k: F.transform(F.when(k <= SIGNED, keys(first, a, b, k)).otherwise(none), lambda h: F.xxhash64(a, b, h)))
@@ -122,10 +121,19 @@ def _refined(a: DataFrame, b: DataFrame, on: list[str]) -> tuple[DataFrame, Data
     return side(a, False), side(b, True)
 
 
+def _side(df: DataFrame, block: list[str], c: str, tokens: bool) -> DataFrame:
+    """Distinct strings of one side; what each pair of it needs (tokens, letters) is made once a string, in as many tasks as shuffles have."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.select(*block, c).where(F.col(c).isNotNull()).distinct().repartition(n, c)
+    if tokens:
+        first, last = first_last(F.col(c))
+        out = out.withColumns({f"_first_{c}": first, f"_last_{c}": last})
+    return out
+
+
 def candidates(names: DataFrame, members: DataFrame, block: list[str], least: float, how: str = "edits", tokens: bool = False, direct: int = DIRECT) -> DataFrame:
-    """``*block, name, member_name``: pairs of distinct strings that share a signature; a pair may stand several times."""
-    a = names.select(*block, "name").where(F.col("name").isNotNull()).distinct()
-    b = members.select(*block, "member_name").where(F.col("member_name").isNotNull()).distinct()
+    """``*block, name, member_name`` (and their tokens): pairs of distinct strings that share a signature; a pair may stand several times."""
+    a, b = _side(names, block, "name", tokens), _side(members, block, "member_name", tokens)
     on = [*block, "_key"]
     if block:
         large = b.groupBy(*block).agg(F.count("*").alias("_n")).where(F.col("_n") > direct).select(*block, F.lit(True).alias("_large"))
@@ -134,12 +142,13 @@ def candidates(names: DataFrame, members: DataFrame, block: list[str], least: fl
         a, b = a.withColumn("_large", F.lit(True)), b.withColumn("_large", F.lit(True))
 
     def exploded(df: DataFrame, c: str, member: bool) -> DataFrame:
+        own = [x for x in df.columns if x != "_large"]
         if tokens:
             whole = F.array(F.lit(0).cast("bigint"))
-            return df.select(*block, c, F.explode(F.when(F.col("_large"), token_signatures(F.col(c), member, least, how)).otherwise(whole)).alias("_key"))
+            return df.select(*own, F.explode(F.when(F.col("_large"), token_signatures(F.col(f"_first_{c}"), F.col(f"_last_{c}"), member, least, how)).otherwise(whole)).alias("_key"))
         n = F.lit(None).cast("int")
         whole = F.array(F.struct(F.lit(0).cast("bigint").alias("key"), F.lit("").alias("rest"), n.alias("a"), n.alias("b"), n.alias("k")))
-        df = df.select(*block, c, F.explode(F.when(F.col("_large"), signatures(F.col(c), member, least, how)).otherwise(whole)).alias("p"))
+        df = df.select(*own, F.explode(F.when(F.col("_large"), signatures(F.col(c), member, least, how)).otherwise(whole)).alias("p"))
         return df.withColumn("_key", F.col("p.key"))
 
     a, b = exploded(a, "name", False), exploded(b, "member_name", True)
@@ -147,6 +156,8 @@ def candidates(names: DataFrame, members: DataFrame, block: list[str], least: fl
         for _ in range(REFINED):
             a, b = _refined(a, b, on)
         a, b = a.drop("p"), b.drop("p")
+    if how == "sequence" and not tokens:
+        a, b = a.withColumn("_letters", letters(F.col("name"))), b.withColumn("_other", letters(F.col("member_name")))
     return a.join(b, on).drop("_key")
 
 
@@ -157,29 +168,26 @@ def tokenwise_ratio(a: Column, b: Column, how: str = "edits") -> Column:
 
 
 def _possible(a: Column, b: Column, least: float, how: str) -> Column:
-    """Whether lengths and common letters allow the similarity; an upper bound of it inside the JVM."""
+    """Whether the lengths allow the similarity."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    if how == "edits":
-        return short >= least * long - _EPS
-    common = F.size(F.array_intersect(letters(a), letters(b)))
-    return (2 * short >= least * (short + long) - _EPS) & (2 * common >= least * (short + long) - _EPS)
+    return short >= least * long - _EPS if how == "edits" else 2 * short >= least * (short + long) - _EPS
 
 
 def similar_pairs(names: DataFrame, members: DataFrame, block: list[str], least: float, how: str = "edits", tokens: bool = False, direct: int = DIRECT) -> DataFrame:
     """``*block, name, member_name, score`` of all pairs of distinct strings of a block with a similarity of ``least`` or more."""
-    a, b = F.col("name"), F.col("member_name")
     pairs = candidates(names, members, block, least, how, tokens, direct)
     if tokens:
-        possible = F.lit(True)
-        for x, y in zip(first_last(a), first_last(b), strict=True):
-            possible = possible & _possible(x, y, least, how)
-        score = tokenwise_ratio(a, b, how)
+        sides = [(F.col("_first_name"), F.col("_first_member_name")), (F.col("_last_name"), F.col("_last_member_name"))]
     else:
-        possible, score = _possible(a, b, least, how), ratio(how, a, b)
-    pairs = pairs.where(possible)
-    if how == "sequence":  # before the worker sees a pair
+        sides = [(F.col("name"), F.col("member_name"))]
+    for x, y in sides:
+        pairs = pairs.where(_possible(x, y, least, how))
+    if how == "sequence":  # an upper bound inside the JVM, and each pair once, before the worker sees it
+        if not tokens:
+            pairs = pairs.where(2 * F.size(F.array_intersect("_letters", "_other")) >= least * (F.length("name") + F.length("member_name")) - _EPS).drop("_letters", "_other")
         pairs = pairs.distinct()
-    pairs = pairs.withColumn("score", score).where(F.col("score") >= least - _EPS)
+    score = F.least(*[ratio(how, x, y) for x, y in sides]) if tokens else ratio(how, *sides[0])
+    pairs = pairs.withColumn("score", score).where(F.col("score") >= least - _EPS).select(*block, "name", "member_name", "score")
     return pairs if how == "sequence" else pairs.distinct()
 
 
