@@ -12,7 +12,6 @@ from lineup.functions import text as X
 from lineup.operators import aggregates as A
 from lineup.operators import extras as E
 from lineup.operators import joins as J
-from lineup.operators import learn as L
 from lineup.operators import models as M
 from lineup.operators import sets as U
 from lineup.operators import tables as B
@@ -258,23 +257,6 @@ def c03(spark, d):
     return A.median_impute(x, "c_nationkey", ["bal", "mean"]).where("n >= 2").select("c_custkey", F.round("bal", 4).alias("bal"), F.round("mean", 4).alias("mean"), "missing_count")
 
 
-@R("C08_playing_time")
-def c08(spark, d):
-    """Staged seasons, boosted minutes and usage, conformal intervals by tier, usage drawn to the opening, role and role fit."""
-    s = table(spark, d, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("season")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"), F.count("*").alias("games"))
-    s = s.withColumns({"share": F.least(F.greatest((F.col("q") - 15) / 20, F.lit(0.0)), F.lit(1.0)), "usage": 20 + (F.col("disc") - 0.05) * 600, "tier": (F.col("l_suppkey") % 4 + 1)})
-    s = io.stage(s, "playing-time")
-    features = ["disc", "tax", "games"]
-    run = L.staged_boosting(s.where("season < 1998"), features, "share", "usage", rounds=3, depth=3)
-    names = ["p_rotation", "p_starter", "expected_share", "expected_usage"]
-    held, ahead = (io.stage(run(s.where(c)).select("l_suppkey", "season", "tier", "share", "games", *names), "playing-run") for c in ("season = 1998", "season > 1998"))
-    out = L.conformal_interval(held, ahead, "share", "expected_share", ["tier"])
-    out = out.withColumn("expected_usage", P.usage_budget(F.col("expected_usage"), F.lit(18.0), F.lit(0.8), F.col("p_rotation"), F.col("expected_share")))
-    minutes, role = F.col("expected_share") * 40, P.usage_role(F.col("expected_usage"), F.col("expected_share") * 40, F.lit(""), F.create_map().cast("map<string,double>"), F.lit(0.5))
-    fit = P.role_fit_score(minutes, F.col("expected_usage"), (F.col("high") - F.col("low")) * 40, F.lit(12.0), F.lit(60.0), F.col("p_rotation"), F.col("p_starter"))
-    return out.select("l_suppkey", "season", r6("expected_share"), r6("expected_usage"), r6("low"), r6("high"), role["role"].alias("role"), fit.alias("role_fit"))
-
-
 _DEST = f"""WITH y AS {_YEARS}, z AS (SELECT o_custkey, season, total / n / 1000 AS v, n FROM y), p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY season DESC) AS r FROM z),
 s AS (SELECT c_custkey, c_nationkey, v, n, season, (c_nationkey % 4 + 1) AS st, (c_custkey % 4 + 1) AS dt FROM customer JOIN p ON o_custkey = c_custkey AND r = 1),
 k AS (SELECT *, least(greatest((n - 2) * 0.1, -0.75), 0.75) AS d1, least(greatest((c_custkey % 100 - 50) / 50.0 * 0.35 * 0.12, -0.5), 0.5) AS d2, (CASE WHEN g <= 25 THEN -0.5 + g / 25 * 0.25 WHEN g <= 50 THEN -0.25 + (g - 25) / 25 * 0.25 WHEN g <= 75 THEN (g - 50) / 25 * 0.2 ELSE 0.2 + (g - 75) / 25 * 0.3 END) AS d3, least(greatest(CASE WHEN dt < st THEN -0.25 * (st - dt) ELSE 0.15 * (dt - st) END, -0.75), 0.75) AS d4 FROM (SELECT *, (c_custkey % 101)::DOUBLE AS g FROM s)),
