@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lineup.operators.sets import merge_lifecycle
 from lineup.plans.base import Registry, table
 from lineup.sources import io
+from lineup.sources.targets import BucketTarget
 from lineup.streaming import stateful
 
 R = Registry()
@@ -61,3 +63,17 @@ def x04b(spark, d):
     seen = stateful.run_available(stateful.staleness_stream(stream, "user_id", "ts", departure, rebuild, F.col("event_type")), folder, "update")
     last = seen.groupBy(F.col("user_id").alias("c_custkey")).agg(F.max_by(F.struct("stale", "reason"), "batch").alias("s"))
     return stateful.with_affected(table(spark, d, "customer").select("c_custkey").join(last, "c_custkey", "left").select("c_custkey", "s.stale", "s.reason"), _OUTPUTS).select("c_custkey", "stale", "reason", F.array_join("affected", ",").alias("affected"))
+
+
+@R("X03b_lifecycle_buckets", "SELECT o_custkey, list_extract(['O', 'P', 'F'], max(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END)) AS o_orderstatus, epoch_us(min(o_orderdate)::TIMESTAMP) AS first FROM orders GROUP BY 1")
+def x03b(spark, d):
+    """Orders as a stream of files, each batch folded by stage into the buckets that its customers are in."""
+    folder, files = io.new_folder(spark, "lifecycle"), 6
+    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("first"))
+    o.repartition(files).write.parquet(f"{folder}/in")
+    target = BucketTarget(spark, f"{folder}/target", o.schema, ["o_custkey"], buckets=16)
+    fold = target.sink(lambda held, new: merge_lifecycle(held.unionByName(new), ["o_custkey"], "o_orderstatus", ["O", "P", "F"], ["first"]))
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", files // 3).parquet(f"{folder}/in")
+    run = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return target.read()
