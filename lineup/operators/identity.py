@@ -25,21 +25,26 @@ def match_names(names: DataFrame, roster: DataFrame, block: list[str], how: str
     right = roster.select("member", "member_name", "member_position", *block)
     sizes = right.groupBy(*block).agg(F.count("*").alias("_n"))
     held = right.groupBy(*block, F.col("member_position").alias("position")).agg(F.lit(True).alias("_held"))
-    left = left.join(sizes, block, "left").join(held, [*block, "position"], "left")
+    keys = left.select("name", "position", *block).distinct().join(held, [*block, "position"], "left")
     same = F.coalesce(F.col("member_position") == F.col("position"), F.lit(False))
-    pairs = left.join(similar_pairs(names, right, block, relaxed, how), [*block, "name"]).where(F.col("score") >= relaxed)
-    pairs = pairs.join(smallest(right, [*block, "member_name", "member_position"], "member", CLOSE), [*block, "member_name"])
+    pairs = keys.join(similar_pairs(names, right, block, relaxed, how).hint("merge"), [*block, "name"]).where(F.col("score") >= relaxed)
+    pairs = pairs.join(smallest(right, [*block, "member_name", "member_position"], "member", CLOSE).hint("merge"), [*block, "member_name"])
     inside = same | F.col("_held").isNull()
     pairs = pairs.withColumn("_pass", F.when(inside & (F.col("score") >= strict), 1).when(inside, 2).otherwise(3))
-    order = Window.partitionBy("name_id").orderBy("_pass", F.desc("score"), "member")
-    pairs = pairs.withColumns({"_row": F.row_number().over(order), "_first": F.min("_pass").over(Window.partitionBy("name_id"))}).where((F.col("_row") <= CLOSE) & (F.col("_pass") == F.col("_first")))
-    hits = pairs.groupBy("name_id").agg(
+    # rows of one name, position and block have one answer
+    by = [*block, "name", "position"]
+    order = Window.partitionBy(*by).orderBy("_pass", F.desc("score"), "member")
+    pairs = pairs.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= CLOSE).withColumn("_first", F.min("_pass").over(Window.partitionBy(*by))).where(F.col("_pass") == F.col("_first"))
+    hits = pairs.groupBy(*by).agg(
         F.count("*").alias("_hits"),
         F.count_if(same).alias("_same"),
         F.min_by(F.struct("member", "score"), "_row").alias("_best"),
         F.min_by(F.struct("member", "score"), F.when(same, F.col("_row"))).alias("_own"),
     )
-    out = left.select("name_id", "_n").join(hits, "name_id", "left")
+    hits = hits.withColumnRenamed("position", "_position")
+    left = left.join(sizes, block, "left").alias("l")
+    on = [F.col(f"l.{c}") == F.col(f"h.{c}") for c in [*block, "name"]] + [F.col("l.position").eqNullSafe(F.col("h._position"))]
+    out = left.join(hits.alias("h").hint("merge"), on, "left").select("l.name_id", "l._n", "_hits", "_same", "_best", "_own")
     found = F.when(F.col("_hits") == 1, F.col("_best")).when(F.col("_same") == 1, F.col("_own"))
     status = F.when(F.col("_n").isNull(), "no_school").when(F.col("_hits").isNull(), "unmatched").when(found.isNotNull(), "matched").otherwise("ambiguous")
     return out.select("name_id", found["member"].alias("member"), F.round(found["score"], 3).alias("confidence"), status.alias("status"))
@@ -51,11 +56,14 @@ def match_tokenwise(names: DataFrame, members: DataFrame, block: list[str], leas
     The join looks ``margin`` below ``least``, so that every member that can spoil a match is seen; without a block all members are looked through.
     """
     near = similar_pairs(names, members, block, least - margin, how, tokens=True)
-    pairs = names.select("name_id", "name", *block).join(near, [*block, "name"])
-    pairs = pairs.join(smallest(members.select("member", "member_name", *block), [*block, "member_name"], "member", 2), [*block, "member_name"])
-    order = Window.partitionBy("name_id").orderBy(F.desc("score"), "member")
-    pairs = pairs.withColumns({"_row": F.row_number().over(order), "_next": F.lead("score").over(order)}).where("_row = 1")
-    return pairs.where((F.col("score") >= least) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))).select("name_id", "member", "score")
+    # decided once for all rows of a name and block; scores below the second place decide nothing
+    near = near.withColumn("_rank", F.rank().over(Window.partitionBy(*block, "name").orderBy(F.desc("score")))).where("_rank <= 2").drop("_rank")
+    pairs = near.join(smallest(members.select("member", "member_name", *block), [*block, "member_name"], "member", 2).hint("merge"), [*block, "member_name"])
+    order = Window.partitionBy(*block, "name").orderBy(F.desc("score"), "member")
+    pairs = pairs.withColumn("_row", F.row_number().over(order)).where("_row <= 2")
+    best = pairs.groupBy(*block, "name").agg(*[F.min(F.when(F.col("_row") == k, F.col(c))).alias(n) for k, c, n in ((1, "member", "member"), (1, "score", "score"), (2, "score", "_next"))])
+    best = best.where((F.col("score") >= least) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))).drop("_next")
+    return names.select("name_id", "name", *block).join(best.hint("merge"), [*block, "name"]).select("name_id", "member", "score")
 
 
 def resolve_identities(rows: DataFrame, roster: DataFrame, school: list[str], order: list[str], how: str = "edits") -> DataFrame:

@@ -105,3 +105,12 @@ def test_equal_names_tie_and_copies_do_not_multiply(spark):
     got = identity.match_names(names, roster, ["school"])
     assert {(r["member"], r["status"]) for r in got.collect()} == {(900, "matched")}
     assert similar.candidates(names, roster, ["school"], 0.75).count() <= 4
+
+
+def test_pairs_are_never_broadcast(spark):
+    """Rows of signatures compress so well that a side below the limit of a broadcast has filled the driver."""
+    names = spark.createDataFrame([(1, f"anna nr{i}son") for i in range(30)], "school int, name string")
+    members = names.withColumnRenamed("name", "member_name")
+    for tokens, how in ((False, "edits"), (True, "edits"), (False, "sequence")):
+        plan = similar.candidates(names.drop("school"), members.drop("school"), [], 0.75, how, tokens)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
