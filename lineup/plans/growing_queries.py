@@ -57,7 +57,7 @@ n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN full_name WHEN 1 THEN lef
 s AS (SELECT p_partkey, best, 1 - levenshtein(name, member) / greatest(length(name), length(member), 1)::DOUBLE AS score FROM n LEFT JOIN m ON block = left(name, 1) || left(split_part(name, ' ', -1), 1)),
 r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC NULLS LAST, best)),
 t AS (SELECT *, CASE WHEN score IS NULL OR score < 0.75 THEN 'unmatched' WHEN score < 1 AND score - coalesce(second, 0) < 0.05 THEN 'ambiguous' WHEN score >= 0.82 THEN 'matched' ELSE 'relaxed' END AS status FROM r WHERE rn = 1)
-SELECT p_partkey, CASE WHEN status IN ('matched', 'relaxed') THEN best END AS best, CASE WHEN score >= 0.75 THEN round(score, 6) END AS score, status FROM t""")
+SELECT p_partkey, CASE WHEN status IN ('matched', 'relaxed') THEN best END AS best, round(score, 6) AS score, status FROM t""")
 def j14b(spark, d):
     """Every part's name in an altered spelling against the distinct names of its initials; one spelling in six has other initials."""
     word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
@@ -72,7 +72,7 @@ def j14b(spark, d):
         .otherwise(F.regexp_replace(full, "[0-9] ", "x "))
     )
     members = p.groupBy("full_name").agg(F.min("p_partkey").alias("best"))
-    out = J.fuzzy_match(p.select("p_partkey", name.alias("name")), members, "p_partkey", "name", "best", "full_name", J.name_block(F.col("name")), J.name_block(full))
+    out = J.fuzzy_match(p.select("p_partkey", name.alias("name")), members, "p_partkey", "name", "best", "full_name", J.name_block(F.col("name")), J.name_block(full), below=True)
     return out.select("p_partkey", "best", r6("score"), "status")
 
 

@@ -24,6 +24,11 @@ def test_fuzzy_initials_matches(spark):
     assert all(r["score"] is None for r in got if r["p_partkey"] % 6 == 4)
 
 
+def test_fuzzy_initials_keep_the_scores_of_unmatched_names(spark):
+    got = [r for r in rows(spark, "J14b_fuzzy_initials") if r["p_partkey"] % 6 == 3]
+    assert {r["status"] for r in got} == {"unmatched"} and all(r["best"] is None and 0 < r["score"] < 0.75 for r in got)
+
+
 def test_crosswalk_takes_the_first_known_field(spark):
     got = {r["c_custkey"]: r["canonical"] for r in rows(spark, "J26b_key_crosswalk")}
     assert got[1] == "Customer#000000001" and got[3] == "Customer#000000003"  # the second only by its second field
