@@ -21,7 +21,7 @@ _RANKS = ["1-URGENT", "2-HIGH"]
 def _pairs(spark, d):
     """Moves with tiers of both schools by their earlier minutes, the neutral value of the best version, and the rates of the season before."""
     s = io.stage(_stats(spark, d), "seasons")
-    team = Q.team_context(s).select("school", "season", "prior_team_minutes", "prior_team_usage_total")
+    team = Q.team_context(s).select("school", "season", r6("prior_team_minutes"), "prior_team_usage_total")  # schools with equal minutes tie, in whatever order they were added
     tiers = io.stage(W.competition_tier(team, "season", "prior_team_minutes", "tier", "min"), "tiers")
     versions = table(spark, d, "orders").where("o_orderstatus <> 'P'")
     neutral = W.priority_resolve(versions, "o_custkey", "o_orderpriority", _RANKS, F.desc("o_orderdate"), F.desc("o_orderkey"))
@@ -44,7 +44,7 @@ def _pairs(spark, d):
     })
 
 
-@R("C09b_destination_projection", f"""WITH s AS {_STATS}, tc AS (SELECT school, season + 1 AS season, sum(min_pct / 100 * 40) AS tm FROM s GROUP BY school, s.season),
+@R("C09b_destination_projection", f"""WITH s AS {_STATS}, tc AS (SELECT school, season + 1 AS season, round(sum(min_pct / 100 * 40), 6) AS tm FROM s GROUP BY school, s.season),
 t AS (SELECT *, CASE WHEN p >= 0.75 THEN 1 WHEN p >= 0.45 THEN 2 WHEN p >= 0.2 THEN 3 ELSE 4 END AS tier FROM (SELECT *, percent_rank() OVER (PARTITION BY season ORDER BY tm) AS p FROM tc)),
 nv AS (SELECT o_custkey, o_totalprice / 100003 - 2 AS neutral FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END, o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'P') WHERE r = 1),
 m AS (SELECT n.player, n.season, b.school AS source, n.school AS target, coalesce(x.tier, 4) AS st, coalesce(y.tier, 4) AS dt, least(y.tm / 2.03, 100) AS back, y.tm IS NULL AS newcomer, b.usage_rate AS su, n.usage_rate AS u, n.usage_rate - b.usage_rate AS gain, n.min_pct / 100 * 40 AS minutes, b.points_per_game AS pts, b.games_played * 6 AS games, neutral
