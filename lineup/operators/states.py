@@ -30,9 +30,15 @@ def series_nll(observations: Column, q: Column, prior_mean: Column, prior_var: C
 
 
 def noise_grid(series: DataFrame, grid: list[float]) -> DataFrame:
-    """``q, nll`` of each value of a grid over all series (``o, prior_mean, prior_var``): grid times series, one aggregate."""
+    """``q, nll`` of each value of a grid over all series (``o, prior_mean, prior_var``): grid times series, one aggregate.
+
+    Losses of series are added as decimals of nine places, so that the sum does not depend on their order; where one is no such number, as doubles.
+    """
     many = series.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in grid])))
-    return many.groupBy("q").agg(F.sum(series_nll(F.col("o"), F.col("q"), F.col("prior_mean"), F.col("prior_var"))).alias("nll"))
+    many = many.select("q", series_nll(F.col("o"), F.col("q"), F.col("prior_mean"), F.col("prior_var")).alias("nll"))
+    many = many.withColumn("_exact", F.col("nll").try_cast("decimal(28,9)"))
+    total = F.when(F.count("nll") == F.count("_exact"), F.sum("_exact").cast("double")).otherwise(F.sum("nll"))
+    return many.groupBy("q").agg(total.alias("nll"))
 
 
 def fit_process_noise(series: DataFrame, key: str, bounds: tuple[float, float] = NOISE_BOUNDS, points: int = 25, rounds: int = 3, most: int = SEARCH_SERIES) -> float:

@@ -41,7 +41,7 @@ _GRID = [0.01, 0.1, 1.0, 10.0]
 f AS (SELECT user_id, event_type, q, 0::BIGINT AS k, 10.0::DOUBLE AS m, 100.0::DOUBLE AS v, 0.0::DOUBLE AS nll FROM (SELECT DISTINCT user_id, event_type FROM e), g
  UNION ALL SELECT f.user_id, f.event_type, q, e.k, CASE WHEN e.y IS NULL THEN f.m ELSE f.m + (f.v + q) / (f.v + q + e.r) * (e.y - f.m) END, CASE WHEN e.y IS NULL THEN f.v + q ELSE (1 - (f.v + q) / (f.v + q + e.r)) * (f.v + q) END,
   nll + CASE WHEN e.y IS NULL THEN 0 ELSE 0.5 * (ln(2 * pi() * (f.v + q + e.r)) + (e.y - f.m) ** 2 / (f.v + q + e.r)) END FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.k = f.k + 1),
-t AS (SELECT q, sum(nll) AS nll FROM (SELECT user_id, event_type, q, arg_max(nll, k) AS nll FROM f GROUP BY 1, 2, 3) GROUP BY 1)
+t AS (SELECT q, sum(nll::DECIMAL(28, 9))::DOUBLE AS nll FROM (SELECT user_id, event_type, q, arg_max(nll, k) AS nll FROM f GROUP BY 1, 2, 3) GROUP BY 1)
 SELECT q, round(nll, 4) AS nll, nll = min(nll) OVER () AS best FROM t""")
 def m09(spark, d):
     """The pooled loss of each noise of a grid; ``fit_process_noise`` refines around the best."""

@@ -113,3 +113,11 @@ def test_bootstrap_interval_is_as_wide_as_numpys(spark):
         draws.append(o - d)
     low, high = np.percentile(draws, [10, 90])
     assert abs(got["low"] - low) < 0.15 and abs(got["high"] - high) < 0.15
+
+
+def test_noise_grid_does_not_depend_on_the_order_of_series(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [(float(y), 4.0) for y in rng.normal(10, 40, 5)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, o array<struct<y:double,r:double>>").withColumns({"prior_mean": F.lit(5.0), "prior_var": F.lit(4.0)}).cache()
+    sums = {n: tuple(r["nll"] for r in states.noise_grid(df.repartition(n, "k").sortWithinPartitions(F.xxhash64("k", F.lit(n))), [0.1, 1.0, 10.0]).orderBy("q").collect()) for n in (1, 2, 3, 5)}
+    assert len(set(sums.values())) == 1
