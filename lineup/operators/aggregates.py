@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lineup.operators.order import join_keys, quantiles
+from lineup.operators.order import few_rows, join_keys, quantiles
 
 
 def _by(keys) -> list:
@@ -62,14 +62,20 @@ def value_counts_map(df: DataFrame, key, label: str, out: str = "counts", prefix
 def median_impute(df: DataFrame, group, features: list[str]) -> DataFrame:
     """Missing values become the group's median, else the overall median, else 0; counts what was missing."""
     g = _by(group)
-    pairs = ", ".join(f"'{f}', cast(`{f}` as double)" for f in features)
-    long = df.selectExpr(*[f"`{k}`" for k in g], f"stack({len(features)}, {pairs}) as (_f, _v)")
-    middle = lambda keys: quantiles(long, [*keys, "_f"], F.col("_v"), [0.5], "_q").withColumn("_q", F.get("_q", F.lit(0)))
-    wide = lambda keys, p: middle(keys).groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == f, F.col("_q"))).alias(f"{p}{f}") for f in features])
-    out = join_keys(join_keys(df, wide(g, "_g_"), g, "left"), wide([], "_o_"), [])
+    gone = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    holes = [f for f in features if gone[f]]
+    out = df
+    if holes:
+        pairs = ", ".join(f"'{f}', cast(`{f}` as double)" for f in holes)
+        long = df.selectExpr(*[f"`{k}`" for k in g], f"stack({len(holes)}, {pairs}) as (_f, _v)")
+        middle = lambda keys: quantiles(long, [*keys, "_f"], F.col("_v"), [0.5], "_q").withColumn("_q", F.get("_q", F.lit(0)))
+        wide = lambda keys, p: middle(keys).groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == f, F.col("_q"))).alias(f"{p}{f}") for f in holes])
+        # rows are not shuffled by the group, of which there may be a handful
+        out = join_keys(join_keys(df, few_rows(wide(g, "_g_")), g, "left"), few_rows(wide([], "_o_")), [])
     missing = reduce(lambda a, b: a + b, [F.col(f).isNull().cast("int") for f in features])
     out = out.withColumn("missing_count", missing)
-    return out.withColumns({f: F.coalesce(f, f"_g_{f}", f"_o_{f}", F.lit(0.0)) for f in features}).select(*df.columns, "missing_count")
+    filled = {f: F.coalesce(f, f"_g_{f}", f"_o_{f}", F.lit(0.0)) if f in holes else F.col(f).cast("double") for f in features}
+    return out.withColumns(filled).select(*df.columns, "missing_count")
 
 
 def hierarchical_mean_prior(df: DataFrame, value: str, *levels, out: str = "prior") -> DataFrame:

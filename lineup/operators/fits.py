@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 from lineup.functions.fit import _or, clip
 from lineup.functions.playing import POSITIONS, depth_score
-from lineup.functions.scalars import calibrate_to_baseline, pace_match, range_match
+from lineup.functions.scalars import calibrate_to_baseline, pace_match, range_match, rounded
 from lineup.operators.aggregates import median_impute
 from lineup.operators.joins import small
+from lineup.operators.order import few_rows
 from lineup.operators.windows import _by
+from lineup.sources.io import stage
 
 # Weights of the raw overall score with neutral stubs of 50, floors of a range, the gap score's baseline.
 RAW_WEIGHTS, STUB = {"scheme": 0.30, "gap": 0.20}, 0.50
@@ -26,6 +28,11 @@ def _add(xs) -> Column:
     return reduce(lambda a, b: a + b, xs)
 
 
+def _held(x: Column) -> Column:
+    """A score that is there, between 0 and 100."""
+    return F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0))
+
+
 def unit(xs: list[Column]) -> list[Column]:
     """The vector of length one; a zero vector stays zero."""
     norm = F.sqrt(_add([x * x for x in xs]))
@@ -55,36 +62,41 @@ def scheme_fit(players: DataFrame, teams: DataFrame, season: str = "season", sty
 
     def prepared(df: DataFrame, prefix: str) -> DataFrame:
         out = {f"{prefix}{c}": F.col(c) for c in names} | {f"{prefix}tempo": _or(F.col("tempo"), tempo_default)}
-        out |= {f"{prefix}u_{c}": u for c, u in zip(MIX, unit([_or(F.col(c), 0) for c in MIX]))}
+        kept, groups = [season, "player" if prefix == "p_" else "team", *out], [MIX, *([names[3:]] if style else [])]
         if style:
-            out |= {f"{prefix}u_{c}": u for c, u in zip(names[3:], unit([F.col(c) for c in names[3:]]))}
+            kept.append(f"{prefix}covered")
             out[f"{prefix}covered"] = _add([F.col(c).isNull().cast("int") for c in names[3:]]) == 0
-        return df.select(season, *(["player"] if prefix == "p_" else ["team"]), *[v.alias(k) for k, v in out.items()])
-
-    t = prepared(teams, "t_").join(small(width), season).join(small(pace), season)
-    pairs = prepared(held, "p_").join(small(t), season)
-    parts = {c: F.round(F.col(f"p_u_{c}") * F.col(f"t_u_{c}") * 100, part) for c in MIX}
-    fit = F.round(clip(_add([F.col(f"p_u_{c}") * F.col(f"t_u_{c}") for c in MIX]) * 100, 0.0, 100.0), score)
-    out = pairs.select("*", fit.alias("scheme_fit")).select(
+        # norms are columns of their own, so that each is made once a row
+        df = df.select(*kept[:2], *[v.alias(k) for k, v in out.items()])
+        df = df.withColumns({f"_norm{i}": F.sqrt(_add([_or(F.col(f"{prefix}{c}"), 0) * _or(F.col(f"{prefix}{c}"), 0) for c in g])) for i, g in enumerate(groups)})
+        units = {f"{prefix}u_{c}": F.when(F.col(f"_norm{i}") > 0, _or(F.col(f"{prefix}{c}"), 0) / F.col(f"_norm{i}")).otherwise(0.0) for i, g in enumerate(groups) for c in g}
+        return df.withColumns(units).select(*kept, *units)
+
+    t = few_rows(prepared(teams, "t_").join(small(width), season).join(small(pace), season))
+    pairs = stage(prepared(held, "p_"), "scheme-players").join(t, season)
+    # the code of a pair has to stay small, or the JVM does not compile it: players are prepared by a stage of their own, products and rounded values are layers
+    both = lambda c: F.col(f"p_u_{c}") * F.col(f"t_u_{c}")
+    covered = F.col("p_covered") & F.col("t_covered") if style else None
+    made = {f"_part_{c}": both(c) for c in MIX} | {f"_match_{c}": range_match(F.col(f"p_{c}"), F.col(f"t_{c}"), F.col(f"_w_{c}"), RANGE_FLOOR) for c in names}
+    made["_pace"] = pace_match(F.col("p_tempo"), F.col("t_tempo"), F.col("_w_tempo"))
+    if style:
+        made |= {"_style": _add([both(c) for c in names[3:]]), "_covered": covered}
+    pairs = pairs.select("player", "team", season, *[v.alias(k) for k, v in made.items()])
+    pairs = pairs.select("*", rounded(_held(_add([F.col(f"_part_{c}") for c in MIX]) * 100), score).alias("scheme_fit"), *[rounded(F.col(f"_part_{c}") * 100, part).alias(f"{c}_part") for c in MIX])
+    return pairs.select(
         "player",
         "team",
         season,
         "scheme_fit",
-        *[F.round(range_match(F.col(f"p_{c}"), F.col(f"t_{c}"), F.col(f"_w_{c}"), RANGE_FLOOR), match).alias(f"{c}_match") for c in MIX],
-        F.round(pace_match(F.col("p_tempo"), F.col("t_tempo"), F.col("_w_tempo")), match).alias("pace_match"),
-        *[p.alias(f"{c}_part") for c, p in parts.items()],
-        F.round(F.col("scheme_fit") - _add(list(parts.values())), part).alias("adjustment"),
+        *[rounded(F.col(f"_match_{c}"), match).alias(f"{c}_match") for c in MIX],
+        rounded(F.col("_pace"), match).alias("pace_match"),
+        *[f"{c}_part" for c in MIX],
+        # made of rounded values, so that decimal ties are common: these need decimals
+        F.round(F.col("scheme_fit") - _add([F.col(f"{c}_part") for c in MIX]), part).alias("adjustment"),
         F.round(RAW_WEIGHTS["scheme"] * F.col("scheme_fit") + (1 - RAW_WEIGHTS["scheme"]) * 50, 2 if score < 6 else score).alias("overall"),
-        *(
-            [
-                F.when(F.col("p_covered") & F.col("t_covered"), F.round(clip(_add([F.col(f"p_u_{c}") * F.col(f"t_u_{c}") for c in names[3:]]) * 100, 0.0, 100.0), match)).alias("style_fit"),
-                *[F.when(F.col("p_covered") & F.col("t_covered"), F.round(range_match(F.col(f"p_{c}"), F.col(f"t_{c}"), F.col(f"_w_{c}"), RANGE_FLOOR), match)).alias(f"{c}_match") for c in names[3:]],
-            ]
-            if style
-            else []
-        ),
+        *([F.when(F.col("_covered"), rounded(_held(F.col("_style") * 100), match)).alias("style_fit")] if style else []),
+        *[F.when(F.col("_covered"), rounded(F.col(f"_match_{c}"), match)).alias(f"{c}_match") for c in names[3:]],
     )
-    return out
 
 
 def archetype_deficits(df: DataFrame, season: str, school: str, label: str, n: int = 2) -> DataFrame:
@@ -112,7 +124,8 @@ def gap_match(df: DataFrame, features: list[str], season: str = "season", school
     # missing features and sample size, as reliability
     d = median_impute(df, season, features)
     games, pct = F.least(F.greatest(_or(F.col("games"), 0), F.lit(0.0)) / 20, F.lit(1.0)), F.least(F.greatest(_or(F.col("min_pct"), 0), F.lit(0.0)) / 50, F.lit(1.0))
-    d = d.withColumn("_rel", clip(_or(F.col("reliability"), 0.4) * clip(games * F.sqrt(pct), 0.0, 1.0) * clip(1 - 0.5 * F.col("missing_count") / n, 0.5, 1.0), 0.0, 1.0))
+    held = lambda x, low=0.0: F.least(F.greatest(x, F.lit(low)), F.lit(1.0))
+    d = d.withColumn("_rel", held(_or(F.col("reliability"), 0.4) * held(games * F.sqrt(pct)) * held(1 - 0.5 * F.col("missing_count") / n, 0.5)))
     w = [F.get("weights", F.lit(p)) for p in range(m)]
     sums = [F.sum(w[p]).alias(f"_w{p}") for p in range(m)] + [F.sum(w[p] * F.col(f)).alias(f"_s{p}_{k}") for p in range(m) for k, f in enumerate(features)]
     league = d.groupBy(season).agg(*sums, *[F.avg(f).alias(f"_m{k}") for k, f in enumerate(features)])
@@ -126,26 +139,32 @@ def gap_match(df: DataFrame, features: list[str], season: str = "season", school
     at = lambda c, p, k: F.get(c, F.lit(p * n + k))
     units = F.array(*[u for p in range(m) for u in unit([F.round(at("_gap", p, k) / float(spread[k]), noise) for k in range(n)])])
     schools = schools.withColumn("_unit", units).join(archetype_deficits(df, season, school, "archetype"), [season, school], "left")
-    schools = schools.withColumnRenamed(school, "to_school")
-    scaled = unit([F.round((F.col(f) - float(centre[k])) / float(spread[k]), noise) for k, f in enumerate(features)])
-    people = d.select(player, season, "weights", "_rel", "archetype", *[u.alias(f"_p{k}") for k, u in enumerate(scaled)])
-    pairs = people.join(small(schools), season)
-    parts = [F.col(f"_p{k}") * _add([w[p] * at("_unit", p, k) for p in range(m)]) * 100 for k in range(n)]
-    pairs = pairs.select("*", *[x.alias(f"_x{k}") for k, x in enumerate(parts)])
-    raw = clip(_add([F.col(f"_x{k}") for k in range(n)]), 0.0, 100.0)
-    lack = [_add([w[p] * at("_gap", p, k) for p in range(m)]) for k in range(n)]
-    ranked = F.filter(F.array_sort(F.array(*[F.struct((-v).alias("minus"), F.lit(f).alias("f")) for f, v in zip(features, lack)])), lambda s: s["minus"] < -1e-9)
+    # a pair reads plain columns: what concerns one side only is unpacked before the join
+    flat = {f"_{c[1]}{p}_{k}": at(c, p, k) for c in ("_unit", "_gap") for p in range(m) for k in range(n)} | {f"_e{p}": F.get("_depth", F.lit(p)) for p in range(m)}
+    schools = few_rows(schools.select(season, F.col(school).alias("to_school"), "deficit", *[_or(v, 0).alias(c) for c, v in flat.items()]))
+    known = reduce(lambda a, b: a & b, [x.isNotNull() for x in w])
+    plain = [F.col("_rel").alias("_rel"), F.round("_rel", digits[1]).alias("reliability"), "archetype", known.alias("_known"), *[_or(w[p], 0).alias(f"_v{p}") for p in range(m)]]
+    people = d.select(player, season, *plain, *[_or(F.round((F.col(f) - float(centre[k])) / float(spread[k]), noise), 0).alias(f"_z{k}") for k, f in enumerate(features)])
+    people = people.withColumn("_norm", F.sqrt(_add([F.col(f"_z{k}") * F.col(f"_z{k}") for k in range(n)])))
+    people = people.withColumns({f"_p{k}": F.when(F.col("_norm") > 0, F.col(f"_z{k}") / F.col("_norm") * 100).otherwise(0.0) for k in range(n)}).drop("_norm", *[f"_z{k}" for k in range(n)])
+    pairs = people.join(schools, season)
+    meet = lambda c, k: _add([F.col(f"_v{p}") * F.col(f"_{c}{p}_{k}") for p in range(m)])
+    pairs = pairs.select("*", *[(F.col(f"_p{k}") * meet("u", k)).alias(f"_x{k}") for k in range(n)])
+    pairs = pairs.select("*", _held(_add([F.col(f"_x{k}") for k in range(n)])).alias("_raw"))
+    drawn, deep = calibrate_to_baseline(F.col("_raw"), F.col("_rel"), GAP_BASELINE), _add([F.col(f"_v{p}") * F.col(f"_e{p}") for p in range(m)])
+    said = lambda x, k, name: F.when(F.col("_known"), rounded(x, k)).alias(name)
+    ranked = F.filter(F.array_sort(F.array(*[F.struct((-meet("g", k)).alias("minus"), F.lit(f).alias("f")) for k, f in enumerate(features)])), lambda s: s["minus"] < -1e-9)
     return pairs.select(
         player,
         "to_school",
         season,
-        F.round(raw, digits[0]).alias("raw_gap"),
-        F.round(clip(calibrate_to_baseline(raw, F.col("_rel"), GAP_BASELINE), 0.0, 100.0), digits[0]).alias("gap"),
-        F.round("_rel", digits[1]).alias("reliability"),
-        F.round(_add([w[p] * F.get("_depth", F.lit(p)) for p in range(m)]), digits[1]).alias("depth"),
+        said(F.col("_raw"), digits[0], "raw_gap"),
+        said(_held(drawn), digits[0], "gap"),
+        "reliability",
+        said(deep, digits[1], "depth"),
         F.coalesce(F.array_contains("deficit", F.col("archetype")), F.lit(False)).alias("archetype_needed"),
         F.array_join(F.transform(F.slice(ranked, 1, top), lambda s: s["f"]), ",").alias("top_gaps"),
-        *[F.round(f"_x{k}", digits[1]).alias(f"part_{f}") for k, f in enumerate(features)],
+        *[said(F.col(f"_x{k}"), digits[1], f"part_{f}") for k, f in enumerate(features)],
     )
 
 
