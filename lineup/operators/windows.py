@@ -103,8 +103,9 @@ def priority_resolve(df: DataFrame, key, label: str, priorities: list, *order: C
 
 def national_percentile(df: DataFrame, value: str, group, whole: str = "national_pct", rank: str = "group_rank", season="season") -> DataFrame:
     """Cumulative share in the season and rank in the group, best first, ties share."""
+    groups = [*_by(season), *_by(group)]
     share = ranked(df, season, value).withColumn(whole, 100 * (F.col("_before") + F.col("_ties")) / F.col("_n")).select(*df.columns, whole)
-    own = ranked(share, [*_by(season), *_by(group)], value)
+    own = join_keys(share, rank_table(df, groups, value), groups, "left", [value])  # ranked from the rows themselves, not from the joined ones
     return own.withColumn(rank, (F.col("_n") - F.col("_before") - F.col("_ties") + 1).cast("int")).select(*share.columns, rank)
 
 

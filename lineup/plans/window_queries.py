@@ -121,6 +121,7 @@ def w10(spark, d):
 FROM {_YEARS} JOIN customer ON c_custkey = o_custkey""")
 def w11(spark, d):
     rows = seasons(spark, d).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = stage(rows.select("o_custkey", "season", "c_nationkey", "total"), "percentile")  # read by every step of the two ranks
     return W.national_percentile(rows, "total", "c_nationkey").select("o_custkey", "season", r6("national_pct"), "group_rank")
 
 

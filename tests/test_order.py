@@ -121,3 +121,11 @@ def test_noise_grid_does_not_depend_on_the_order_of_series(spark):
     df = spark.createDataFrame(rows, "k int, o array<struct<y:double,r:double>>").withColumns({"prior_mean": F.lit(5.0), "prior_var": F.lit(4.0)}).cache()
     sums = {n: tuple(r["nll"] for r in states.noise_grid(df.repartition(n, "k").sortWithinPartitions(F.xxhash64("k", F.lit(n))), [0.1, 1.0, 10.0]).orderBy("q").collect()) for n in (1, 2, 3, 5)}
     assert len(set(sums.values())) == 1
+
+
+def test_percentile_query_reads_staged_rows(spark):
+    """The seasons' sums and their join are made once, not by every step of the two ranks."""
+    from lineup.plans import registry
+
+    files = registry.QUERIES["W11_national_percentile"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("orders.parquet" in f for f in files)
