@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lineup.operators.similar import sequence_ratio, similar_pairs, smallest, tokenwise_ratio
+from lineup.sources.io import stage
 
 __all__ = ["sequence_ratio", "tokenwise_ratio"]
 # Strict and relaxed similarity, the margin between the best two, the limits inside a roster and over all names.
@@ -118,6 +119,8 @@ def crosswalk_table(events: DataFrame, schools: DataFrame, roster: DataFrame, ho
         return n.groupBy("actor").agg(F.min_by(c, F.struct((-F.col("_n")).alias("n"), F.col(c).alias("v"))).alias(c))
 
     actors = commonest("name").join(commonest("team"), "actor", "left").join(commonest("position"), "actor", "left").join(schools, "team", "left")
+    # a row an actor; the match reads it several times, which would count the events again
+    actors = stage(actors, "actors")
     got = match_names(actors.select(F.col("actor").alias("name_id"), "name", "position", "school"), roster, ["school"], how)
     table = actors.join(got.withColumnRenamed("name_id", "actor"), "actor")
     return table, got.groupBy("status").agg(F.count("*").alias("rows"))

@@ -135,7 +135,9 @@ def j22(spark, d):
     """Suppliers are source actors, their line items' parts give the names and teams; one team in nine has no school."""
     p = _parts(spark, d)
     li = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"), "l_linenumber")
-    events = li.join(p, "p_partkey").select(F.col("l_suppkey").alias("actor"), _altered().alias("name"), F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.lit("B"), "school")).alias("team"), "position")
+    # names and teams are made once a part, not once a line item
+    parts = p.select("p_partkey", _altered().alias("name"), F.concat(F.lit("B"), "school").alias("team"), "position")
+    events = li.join(parts, "p_partkey").select(F.col("l_suppkey").alias("actor"), "name", F.when(F.col("l_linenumber") % 3 > 0, F.col("team")).alias("team"), "position")
     schools = p.select("school").distinct().where("school % 9 > 0").select(F.concat(F.lit("B"), "school").alias("team"), "school")
     got, _ = I.crosswalk_table(events, schools, _roster(p))
     return got.select("actor", "name", "team", "position", "school", "member", "confidence", "status")
